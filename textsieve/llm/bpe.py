@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries that each of a worker's memo tables may hold before it starts anew.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,7 +157,7 @@ class Encoder:
         """As PrefixTable, with one table for all pieces, keyed by the prefix itself: only prefixes not seen in any piece
         before are computed."""
         last, whole, follows, ranks, n = self.prefixes, self.vocabulary.whole, self.vocabulary.follows, self.vocabulary.ranks, len(piece)
-        if len(last) >= 4 * MEMO:
+        if len(last) >= 3 * MEMO:
             last.clear()
         seen = n
         while seen and piece[:seen] not in last:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Parts that each host's pages are dealt to when they meet the host's lines, so that no host lands in one task.
+SALTS = 64
+
 
 def boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """_host, _line (hash) of the lines that more than `ratio` of the host's pages hold, and at least min_pages of them.
@@ -28,13 +31,15 @@ def drop_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col
     A document stays even if all its lines go (its text is then empty); a null text stays null with no lines; null hosts
     are one host of their own; repeated rows are pages of their own. Other columns pass through, whatever their names."""
     known = boilerplate(docs, ratio, min_pages, host_col, text_col).groupBy("_host").agg(F.collect_set("_line").alias("_known"))
-    rows = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(known, "_host", "left")
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+    rows = rows.join(known, ["_host", "_salt"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_known", F.xxhash64(x)), F.lit(False)))
     rows = rows.withColumn("_all", lines).withColumn("_kept", kept)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines, n_kept = F.when(F.col("_all").isNull(), 0).otherwise(n("_all")), F.when(F.col("_kept").isNull(), 0).otherwise(n("_kept"))
-    return rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", (n_lines - n_kept).cast("long")).withColumn(text_col, F.array_join("_kept", "\n")).drop("_host", "_known", "_all", "_kept")
+    return rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", (n_lines - n_kept).cast("long")).withColumn(text_col, F.array_join("_kept", "\n")).drop("_host", "_salt", "_known", "_all", "_kept")
 
 
 #: DuckDB SQL for what op4 returns of the table documents.

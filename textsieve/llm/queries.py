@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, linededup, neighbours, packing, quality, toxicity
+from . import bpe, chat, fingerprint, linededup, neighbours, packing, quality, substrings, toxicity
 from .common import mod_of_id, table, written
 
 
@@ -36,6 +36,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(stats, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -51,7 +56,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op8_neighbours, op9_chat_format, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_neighbours, op9_chat_format, op10_pack)}
 
 _ESC = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 SQL = {

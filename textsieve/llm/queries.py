@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, linededup, neighbours, packing, quality, substrings, toxicity
+from . import bpe, chat, fingerprint, jaccard, linededup, neighbours, packing, quality, substrings, toxicity
 from .common import mod_of_id, table, written
 
 
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_and_next(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_neighbours, op9_chat_format, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_neighbours, op9_chat_format, op10_pack)}
 
 _ESC = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 SQL = {

@@ -178,3 +178,18 @@ def train_rows(stats: DataFrame, labels: DataFrame, label_col: str, held_out: Co
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.max("_label").alias(label_col))
     rows = stats.where(~held_out).join(known, F.col(id_col) == F.col("_id")).select("stats", label_col, id_col)
     return rows.select("stats", label_col, F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(5)).alias("_part"))
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is `least` or more; all of them where there is no model.
+    Texts are read once and not shuffled."""
+    if model is None:
+        return docs
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at):
+            stats = np.array([statistics(x or "") for x in b.column(at).to_pylist()])
+            yield b.filter(pa.array(model.score(stats) >= least)) if b.num_rows else b
+
+    return docs.mapInArrow(run, docs.schema)

@@ -282,3 +282,33 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return docs.select("doc_id", "text").join(gone, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def cut_texts(docs: DataFrame, length: int = 100) -> DataFrame:
+    """docs (doc_id, text and any other columns) without the repeated bytes in text, cut at characters: of a character
+    that is only partly covered nothing goes. Null texts stay null, rows without an id stay as they are."""
+    rows = docs.where("doc_id is not null and text is not null")
+    known = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), F.col("text").cast("string").alias("text"))
+    gone = repeats(known, length).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at, 4 << 20):
+            texts = []
+            for text, gone in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if text is None or not gone:
+                    texts.append(text)
+                    continue
+                raw, kept, done = text.encode(), [], 0
+                for s, e in merged([(x["start"], min(x["end"], len(raw))) for x in gone]):
+                    while s < len(raw) and raw[s] & 0xC0 == 0x80:
+                        s += 1
+                    while s < e < len(raw) and raw[e] & 0xC0 == 0x80:
+                        e -= 1
+                    if s < e:
+                        kept.append(raw[done:s])
+                        done = e
+                texts.append(b"".join([*kept, raw[done:]]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
+
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id").mapInArrow(run, docs.schema)

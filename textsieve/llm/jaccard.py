@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .components import components
 
-GROUPS, FAN_OUT, WORDS = 64, 16, 5
+GROUPS, FAN_OUT, WORDS = 256, 16, 5
 _MEMO = 300_000
 
 
@@ -44,6 +44,10 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes (64 bits) of a text's shingles of so many words; all words, if there are fewer."""
+    return np.unique(_hashes(text, words))
+
+
+def _hashes(text: str, words: int = WORDS) -> np.ndarray:
     found = text.encode().lower().split()
     if not found:
         return np.empty(0, np.uint64)
@@ -54,7 +58,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     for i in range(width):
         total = (total ^ (h[i : i + n] * _ODD[i % 4 or 0])) * _ODD[(i + 1) % 5]
         total ^= total >> np.uint64(29)
-    return np.unique(total)
+    return total
 
 
 def frequent(docs: DataFrame, share: float = 0.001, text_col: str = "text") -> np.ndarray:
@@ -66,7 +70,7 @@ def frequent(docs: DataFrame, share: float = 0.001, text_col: str = "text") -> n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, seen, n_docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0
         for b in slices(batches, 0, 4 << 20):
-            sets = [shingles(x) for x in b.column(0).to_pylist() if x]
+            sets = [_hashes(x) for x in b.column(0).to_pylist() if x]
             n_docs, seen = n_docs + b.num_rows, seen + 1
             if not sets:
                 continue
@@ -92,7 +96,7 @@ def first_shingles(own: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray
     similarity share one."""
     n = len(own)
     wanted = n - -(-percent * n // 100) + 1
-    late = np.isin(own, hot, assume_unique=True) if len(hot) else np.zeros(n, bool)
+    late = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own if len(hot) else np.zeros(n, bool)
     return np.concatenate([own[~late], own[late]])[:wanted]
 
 

@@ -239,14 +239,15 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     first = rows.groupBy("md5").agg(F.min("doc_id").alias("first"))
     copies = rows.join(first, "md5").where((F.col("doc_id") > F.col("first")) & (F.col("n") >= length)).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     # of copies, _repeated() keeps the one of least id
-    found = written(_surroundings(docs, _repeated(_sampled(docs, length)), length), "surroundings")
+    found = written(_surroundings(docs, written(_repeated(_sampled(docs, length)), "repeated"), length), "surroundings")
     key = ["h", "sign", "low", "high"]
     firsts = written(found.groupBy(*key).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.first("around").alias("around")).select(*key, "around", "first.*"), "firsts")
     later = found.select(*key, "doc_id", "at").join(firsts.select(*key, F.struct("doc_id", "at").alias("first")), key).where(F.struct("doc_id", "at") > F.col("first"))
     later = later.select("doc_id", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
-    large = firsts.groupBy("h").count().where(F.col("count") > BUCKET_ROWS).select("h")
-    resolved = _sorted_buckets(firsts.join(large, "h", "left_anti"), length).unionByName(_hashed_buckets(firsts.join(large, "h", "left_semi"), length))
-    return copies.unionByName(later).unionByName(resolved)
+    sizes = written(firsts.groupBy("h").count().where("count > 1"), "sizes")  # alone in its bucket, a row has nothing to meet
+    small, large = sizes.where(F.col("count") <= BUCKET_ROWS).select("h"), sizes.where(F.col("count") > BUCKET_ROWS).select("h")
+    resolved = _sorted_buckets(firsts.join(small, "h", "left_semi"), length).unionByName(_hashed_buckets(firsts.join(large, "h", "left_semi"), length))
+    return written(copies.unionByName(later).unionByName(resolved), "gone")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

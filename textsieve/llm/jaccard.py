@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 from .components import components
 
-GROUPS, FAN_OUT, WORDS = 256, 16, 5
+GROUPS, COARSE, FAN_OUT, WORDS = 1024, 128, 16, 5
 _MEMO = 300_000
 
 
@@ -180,11 +180,32 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most so many shingles two sets have in common: the summed minima of their counts."""
+    return np.minimum(a, b).sum(axis=-1)
+
+
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """a, b, shared of the pairs that the bound lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (2, 3))
+                shared = shared_counts(x, y).astype(np.int64)
+                may = pa.array(shared * (100 + percent) >= percent * (x.sum(axis=1) + y.sum(axis=1)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may), pa.array(shared).filter(may)], names=["a", "b", "shared"])
+
+    x, y = points.select(F.col("doc_id").alias("a"), F.col("counts").alias("x")), points.select(F.col("doc_id").alias("b"), F.col("counts").alias("y"))
+    return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long")
+
+
 class CountTree:
     """An R-tree of count vectors, packed level by level from points sorted by size and then by their largest groups."""
 
     def __init__(self, points: np.ndarray, percent: int):
-        self.percent, self.points, self.sizes = percent, points, points.sum(axis=1)
+        self.percent, self.full, self.sizes = percent, points, points.sum(axis=1)
+        points = points.reshape(len(points), COARSE, -1).sum(axis=2)  # neighbouring groups as one: smaller boxes to compare
         self.order = np.lexsort((points[:, 1], points[:, 0], self.sizes))
         self.points, self.sizes = points[self.order], self.sizes[self.order]
         self.levels = []
@@ -200,9 +221,9 @@ class CountTree:
         return shared * (100 + self.percent) >= self.percent * (low_a + low_b)
 
     def pairs(self) -> np.ndarray:
-        """Places (i, j) of points that the bound lets through."""
+        """Places (i, j) of points that the bound lets through, and the bound."""
         if len(self.points) < 2:
-            return np.empty((0, 2), np.int64)
+            return np.empty((0, 3), np.int64)
         todo = np.zeros((1, 2), np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low = (self.points, self.sizes) if depth == 0 else self.levels[depth - 1]
@@ -216,20 +237,25 @@ class CountTree:
                 may = self._may(high[i], low[i], high[j], low[j])
                 out.append(np.column_stack([i[may], j[may]]))
             todo = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return self.order[todo]
+        todo = self.order[todo]
+        shared = [shared_counts(self.full[some[:, 0]], self.full[some[:, 1]]) for some in np.array_split(todo, max(1, len(todo) // 4096))]
+        shared = np.concatenate(shared)
+        n = self.full.sum(axis=1)
+        may = shared * (100 + self.percent) >= self.percent * (n[todo[:, 0]] + n[todo[:, 1]])
+        return np.column_stack([todo[may], shared[may]])
 
 
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     """a, b from members (key, doc_id, component, counts): pairs of different components that a shard's tree gives."""
 
-    def join(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def join(rows: list[tuple]) -> tuple[np.ndarray, ...]:
         _, docs, parts, counts = zip(*rows, strict=True)
         points = np.frombuffer(b"".join(counts), np.int32).reshape(-1, GROUPS).astype(np.int64)
         docs, parts = np.array(docs), np.array(parts)
         found = CountTree(points, percent).pairs()
         found = found[parts[found[:, 0]] != parts[found[:, 1]]]
         a, b = docs[found[:, 0]], docs[found[:, 1]]
-        return np.minimum(a, b), np.maximum(a, b)
+        return np.minimum(a, b), np.maximum(a, b), found[:, 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -242,12 +268,35 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
                 held.append(row)
             if out:
                 pairs = np.unique(np.column_stack([np.concatenate(c) for c in zip(*out, strict=True)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "shared"])
         if held:
-            a, b = join(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in join(held)], names=["a", "b", "shared"])
+
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+
+
+def _settled(candidates: DataFrame, links: DataFrame | None, texts: DataFrame, percent: int, rounds: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(links, components) after verifying candidates (a, b, shared). Pairs within one component need no look: in each of
+    `rounds` rounds, of the pairs between two components the likeliest is verified; then, if `whole`, all that are left."""
+    tried, found = None, components(links) if links is not None else None
+    for k in range(rounds + whole):
+        left = candidates if tried is None else candidates.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if found is not None:
+            of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+            left = left.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            left = left.select("a", "b", "shared", F.coalesce("a_in", "a").alias("x"), F.coalesce("b_in", "b").alias("y")).where("x <> y")
+        else:
+            left = left.select("a", "b", "shared", F.col("a").alias("x"), F.col("b").alias("y"))
+        if k < rounds:
+            # one for each smaller component, its likeliest: as many as there are components, not pairs of them
+            left = left.groupBy(F.greatest("x", "y")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.*")
+        now = written(verified(left, texts, percent), "tried")
+        tried = now if tried is None else tried.unionByName(now)
+        new = now.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if k < rounds or whole:
+            found = components(links)
+    return links, found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -264,20 +313,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     points = written(sets.select("doc_id", "n", "counts").join(shards.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "points")
     texts = written(docs.join(points.select("doc_id"), "doc_id", "left_semi"), "texts")
 
-    # 1: every member to its shard's center; of the pairs that the bound lets through, the best for each document
-    near = shards.where("doc_id <> center").where(_similar_sizes("n", "center_n", percent)).select(F.col("center").alias("a"), F.col("doc_id").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a"))
-    tried = written(verified(best, texts, percent), "tried")
-    links = tried.where("linked").select("a", "b")
-    found = components(links)
+    # 1: members and their shard's center
+    near = shards.where("doc_id <> center").where(_similar_sizes("n", "center_n", percent)).select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
+    links, found = _settled(written(_bounded(near, points, percent), "near"), None, texts, percent, 2, False)
 
     # 2: what different components have in a shard, by its tree
     members = shards.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("mark2")).where("x <> y")
     once = mixed.groupBy("size", "mark", "mark2").agg(F.min("key").alias("key")).select("key")  # many shards have the same members
     left = members.join(once, "key", "left_semi").select("key", "doc_id", "component").join(points.select("doc_id", "counts"), "doc_id").select("key", "doc_id", "component", "counts")
-    more = _tree_pairs(left, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    linked = written(links.unionByName(verified(more, texts, percent).where("linked").select("a", "b")), "links")
+    linked, _ = _settled(written(_tree_pairs(left, percent), "pairs"), links, texts, percent, 2, True)
 
     # equal sets, and ids that are repeated, are links too
     same = sets.where("n > 0").join(equal, ["sign", "sign2"]).where("doc_id <> same_as").select(F.col("same_as").alias("a"), F.col("doc_id").alias("b"))

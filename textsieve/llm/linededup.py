@@ -10,19 +10,19 @@ SALTS = 64
 
 
 def boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """_host, _line (hash) of the lines that more than `ratio` of the host's pages hold, and at least min_pages of them.
+    """__ld_host, __ld_line (hash) of the lines that more than `ratio` of the host's pages hold, and at least min_pages of them.
     A line counts once a page. Blank lines never count. Counts are partially summed before the shuffle, so one host with
     most of the pages, or one line on all of them, stays spread over the tasks. A host has at most (lines per page) /
     ratio such lines."""
     # a line's hash: 64 bits, so that what is shuffled does not grow with the length of lines
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     lines = F.array_distinct(F.filter(F.split(F.coalesce(text_col, F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
-    pages = docs.select(host.alias("_host"), F.transform(lines, lambda x: F.xxhash64(x)).alias("_lines"))
+    pages = docs.select(host.alias("__ld_host"), F.transform(lines, lambda x: F.xxhash64(x)).alias("__ld_lines"))
     # the total of a host rides along as a line of its own, so that one pass and one shuffle give both counts
-    counts = pages.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "_lines")).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_pages"))
-    frequent = counts.where(F.col("_line").isNotNull() & (F.col("_pages") >= min_pages))
-    totals = counts.where(F.col("_line").isNull()).select("_host", F.col("_pages").alias("_total"))
-    return frequent.join(totals, "_host").where(F.col("_pages") > F.lit(ratio) * F.col("_total")).select("_host", "_line")
+    counts = pages.select("__ld_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "__ld_lines")).alias("__ld_line")).groupBy("__ld_host", "__ld_line").agg(F.count(F.lit(1)).alias("__ld_pages"))
+    frequent = counts.where(F.col("__ld_line").isNotNull() & (F.col("__ld_pages") >= min_pages))
+    totals = counts.where(F.col("__ld_line").isNull()).select("__ld_host", F.col("__ld_pages").alias("__ld_total"))
+    return frequent.join(totals, "__ld_host").where(F.col("__ld_pages") > F.lit(ratio) * F.col("__ld_total")).select("__ld_host", "__ld_line")
 
 
 def drop_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -30,16 +30,16 @@ def drop_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col
 
     A document stays even if all its lines go (its text is then empty); a null text stays null with no lines; null hosts
     are one host of their own; repeated rows are pages of their own. Other columns pass through, whatever their names."""
-    known = boilerplate(docs, ratio, min_pages, host_col, text_col).groupBy("_host").agg(F.collect_set("_line").alias("_known"))
-    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-    rows = rows.join(known, ["_host", "_salt"], "left")
+    known = boilerplate(docs, ratio, min_pages, host_col, text_col).groupBy("__ld_host").agg(F.collect_set("__ld_line").alias("__ld_known"))
+    known = known.withColumn("__ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = docs.withColumn("__ld_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("__ld_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+    rows = rows.join(known, ["__ld_host", "__ld_salt"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_known", F.xxhash64(x)), F.lit(False)))
-    rows = rows.withColumn("_all", lines).withColumn("_kept", kept)
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__ld_known", F.xxhash64(x)), F.lit(False)))
+    rows = rows.withColumn("__ld_all", lines).withColumn("__ld_kept", kept)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    n_lines, n_kept = F.when(F.col("_all").isNull(), 0).otherwise(n("_all")), F.when(F.col("_kept").isNull(), 0).otherwise(n("_kept"))
-    return rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", (n_lines - n_kept).cast("long")).withColumn(text_col, F.array_join("_kept", "\n")).drop("_host", "_salt", "_known", "_all", "_kept")
+    n_lines, n_kept = F.when(F.col("__ld_all").isNull(), 0).otherwise(n("__ld_all")), F.when(F.col("__ld_kept").isNull(), 0).otherwise(n("__ld_kept"))
+    return rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", (n_lines - n_kept).cast("long")).withColumn(text_col, F.array_join("__ld_kept", "\n")).drop("__ld_host", "__ld_salt", "__ld_known", "__ld_all", "__ld_kept")
 
 
 #: DuckDB SQL for what op4 returns of the table documents.

@@ -312,4 +312,5 @@ def cut_texts(docs: DataFrame, length: int = 100) -> DataFrame:
                 texts.append(b"".join([*kept, raw[done:]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left").drop("_id").mapInArrow(run, docs.schema)
+    gone = gone.select(F.col("_id").alias("doc_id"), F.col("_gone").alias("__gone"))
+    return docs.join(gone, "doc_id", "left").select(*docs.columns, "__gone").mapInArrow(run, docs.schema)

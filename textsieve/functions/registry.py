@@ -56,3 +56,40 @@ def search_terms(main: Column, additional: Column, person: Column, russian: Colu
 
 def status_label(included: Column, excluded: Column) -> Column:
     return F.when(included.isNull(), "—").when(excluded.isNull() | (included > excluded), "Числится").otherwise("Снят")
+
+
+def full_name_terms(c: Column) -> Column:
+    """array<struct<text, type>>: three capitalised Russian words as full name and surname, then nicknames in quotes behind."""
+    pattern = r'((?:[А-ЯЁ][а-яё]+\s?){3})(?:"([^"]*)")?'
+    name, nick = F.trim(F.regexp_extract(c, pattern, 1)), F.regexp_extract(c, pattern, 2)
+    nicks = F.filter(F.transform(F.split(nick, ","), lambda x: F.trim(x)), lambda x: x != "")
+    of = lambda x, kind: F.struct(x.alias("text"), F.lit(kind).alias("type"))
+    found = F.concat(F.array(of(name, "full_name"), of(surname_of(name), "surname")), F.transform(nicks, lambda x: of(x, "text")))
+    return F.when(name != "", F.array_distinct(found)).otherwise(F.array().cast("array<struct<text:string,type:string>>"))
+
+
+def org_title(c: Column) -> Column:
+    """What stands in quotes behind Russian words."""
+    return F.nullif(F.regexp_extract(c, r'(?:[А-я]+\s)+?[«"](.*?)[»"]', 1), F.lit(""))
+
+
+def org_names_ru(c: Column) -> Column:
+    """struct(main, additional, parsing_problem) of a numbered entry: a plain name up to closing signs, or else what stands
+    before `*`, or before `(`; only the latter two have additional names, from `(a; b),`, and count as parsed."""
+    raw, word = strip_number(c), r"[\s\p{L}\p{N}_\-`]+"
+    plain = F.regexp_extract(raw, rf"^({word})[\s*,;]+$", 1)
+    lead = F.regexp_extract(raw, rf"^{word}", 0)
+    starred, bracket = (plain == "") & raw.contains("*"), (plain == "") & ~raw.contains("*") & raw.contains("(") & (lead != "")
+    found = starred | bracket
+    inner = F.regexp_extract(raw, r"\((.*?)\),", 1)
+    more = F.when(found & (inner != ""), F.transform(F.split(inner, ";"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.trim(F.when(plain != "", plain).when(starred, F.substring_index(raw, "*", 1)).when(bracket, lead).otherwise("")).alias("main"), more.alias("additional"), (~found).alias("parsing_problem"))
+
+
+def term_slots(terms: Column, n: int = 6) -> Column:
+    """The first n terms, empty texts after the last."""
+    return F.slice(F.concat(F.coalesce(terms, F.array().cast("array<string>")), F.array_repeat(F.lit(""), n)), 1, n)
+
+
+def has_terms(terms: Column) -> Column:
+    return F.coalesce(F.size(terms), F.lit(0)) > 0

@@ -30,12 +30,32 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(WORD), F.lit(0))
 
 
+def _let(c: Column, f) -> Column:
+    """f of c, with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _running(items: Column, length, start: Column) -> Column:
+    """Where each item starts, from start on. The array is copied for each item, so items are few."""
+    sums = F.aggregate(items, F.array(start), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + length(t))))
+    return F.slice(sums, 1, F.size(items))
+
+
+def starts(parts: Column, block: int = 256) -> Column:
+    """Where each of the parts starts in their concatenation; summed by blocks, as one running array over all of a long
+    text's parts would be copied for each part."""
+    total = lambda b: F.aggregate(b, F.lit(0), lambda acc, t: acc + F.char_length(t))
+    last = F.greatest(F.lit(0), F.floor((F.size(parts) - 1) / block).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(parts, i * block + 1, F.lit(block)))
+    at = lambda bs: _running(F.transform(bs, total), lambda n: n, F.lit(0))
+    return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, at(bs), lambda b, s: _running(b, F.char_length, s))))
+
+
 def tokens(c: Column) -> Column:
     """array<struct<text, start, type>>: tokens tile the text; start counts characters of the original text."""
-    parts = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
     kind = lambda t: F.when(t.rlike(rf"^{WORD}"), "word").when(t.rlike(rf"^{SPACE}"), "space").otherwise("punct")
-    starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(t))))
-    return F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda t, s: F.struct(folded(t).alias("text"), s.alias("start"), kind(t).alias("type")))
+    each = lambda t, s: F.struct(folded(t).alias("text"), s.alias("start"), kind(t).alias("type"))
+    return _let(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda parts: F.zip_with(parts, starts(parts), each))
 
 
 def clean_word(c: Column) -> Column:
@@ -85,3 +105,45 @@ def letters_only(c: Column) -> Column:
 def any_date(c: Column) -> Column:
     """A date as dd.mm.yyyy, yyyy-mm-dd or dd/mm/yyyy; null otherwise."""
     return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)).cast("date") for f in ("dd.MM.yyyy", "yyyy-MM-dd", "dd/MM/yyyy")))
+
+
+def match_kind(words_of_phrase: Column, is_regex: Column) -> Column:
+    return F.when(is_regex, "regex").when(F.size(words_of_phrase) > 1, "phrase").otherwise("word")
+
+
+def hyphen_pairs(c: Column) -> Column:
+    """`word-word` from left to right, no word in two of them."""
+    return F.regexp_extract_all(folded(c), F.lit(f"{WORD}-{WORD}"), F.lit(0))
+
+
+def regex_hits(c: Column, pattern: str) -> Column:
+    """array<struct<start, end, text>> of the matches over the lower-cased text, end exclusive. The pattern has no groups
+    and no empty matches: a match starts where the pieces and matches before it end."""
+    low = F.lower(c)
+    found, pieces = F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern, -1)
+    fold = F.aggregate(
+        F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("hits")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("at"),
+            F.concat(acc["hits"], F.array(F.struct((acc["at"] + F.char_length(x["p"])).alias("start"), (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("end"), x["m"].alias("text")))).alias("hits"),
+        ),
+    )
+    return F.when(F.size(found) > 0, fold["hits"]).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+
+def token_at(toks: Column, pos: Column) -> Column:
+    """The index of the token that covers a place; tokens tile the text, so it is the last that starts there or before."""
+    return F.size(F.filter(toks, lambda t: t["start"] <= pos)) - 1
+
+
+def token_equal(a: Column, b: Column) -> Column:
+    """Tokens (text, lemma, stem) are equal by text, or by lemma and stem where both have them."""
+    return (a["text"] == b["text"]) | F.coalesce((a["lemma"] != "") & (a["lemma"] == b["lemma"]) & (a["stem"] != "") & (a["stem"] == b["stem"]), F.lit(False))
+
+
+def sequence_equal(a: Column, b: Column) -> Column:
+    """Token arrays (text, lemma, stem, type) of one length whose tokens agree in type and in text, lemma or stem, place by
+    place; two nulls agree."""
+    same = F.zip_with(a, b, lambda x, y: (x["type"] == y["type"]) & ((x["text"] == y["text"]) | x["lemma"].eqNullSafe(y["lemma"]) | x["stem"].eqNullSafe(y["stem"])))
+    return (F.size(a) == F.size(b)) & F.forall(same, lambda x: x)

@@ -40,3 +40,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str], keep_if
     there = F.col(f"n.{key}").isNotNull()
     cell = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keep_if_set else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *(cell(c).alias(c) for c in columns))
+
+
+def prepared_terms(terms: DataFrame, words_of: Column, order: Column) -> DataFrame:
+    """term, kind (phrase, word) and key (its words in order of the alphabet), the first of those that differ in case alone."""
+    clean = one_each(terms.withColumn("_key", F.lower(F.trim("term"))).where("_key <> ''"), F.col("_key"), order)
+    return clean.select(F.trim("term").alias("term"), F.when(F.size(words_of) > 1, "phrase").otherwise("word").alias("kind"), F.array_join(F.array_sort(words_of), " ").alias("key"))
+
+
+def sync(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """old with the values of new where all keys agree, nulls included, and the rest of new."""
+    o, n = old.withColumn("_o", F.lit(True)).alias("o"), new.withColumn("_n", F.lit(True)).alias("n")
+    same = reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
+    joined = o.join(n, same, "full_outer")
+    pick = lambda c: F.when(F.col("n._n"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return joined.select(*(pick(c).alias(c) for c in [*keys, *values]))

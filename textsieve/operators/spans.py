@@ -36,3 +36,32 @@ def clusters(df: DataFrame, key: str) -> DataFrame:
     before = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = df.withColumn("_new", F.when(before.isNull() | (F.col("start_pos") > before), 1).otherwise(0))
     return new.withColumn("cluster", (F.sum("_new").over(order) - 1).cast("long")).drop("_new")
+
+
+def split_at(df: DataFrame, start: Column, end: Column, points: Column) -> DataFrame:
+    """Spans [start, end) cut at the points inside: a row for each piece, with part_start and part_end."""
+    inside = F.array_sort(F.array_distinct(F.filter(points, lambda p: (p > start) & (p < end))))
+    cuts = F.concat(F.array(start), inside, F.array(end))
+    pieces = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("part_start"), b.alias("part_end")))
+    return df.select("*", F.explode(pieces).alias("_p")).select(*df.columns, "_p.*")
+
+
+def join_hyphenated(words: DataFrame) -> DataFrame:
+    """OCR words (page, block, par, line, word_num, text, conf, left, width, height): one that ends in a hyphen takes in the
+    first word of the next line of its paragraph. A word that was taken in takes in none, so in a run of such words every
+    other one does."""
+    at = Window.partitionBy("page").orderBy("block", "par", "line", "word_num")
+    following = F.lead(F.struct("block", "par", "line", "word_num", "text", "conf", "left", "width", "height")).over(at)
+    near = (F.col("_n.block") == F.col("block")) & (F.col("_n.par") == F.col("par")) & (F.col("_n.line") == F.col("line") + 1) & (F.col("_n.word_num") == 1)
+    rows = words.withColumn("_n", following).withColumn("_i", F.row_number().over(at))
+    rows = rows.withColumn("_opens", F.coalesce(F.col("text").endswith("-") & (F.char_length("text") > 1) & near, F.lit(False)))
+    closed = F.coalesce(F.max(F.when(~F.col("_opens"), F.col("_i"))).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_joins", F.col("_opens") & ((F.col("_i") - closed) % 2 == 1))
+    rows = rows.withColumn("_gone", F.coalesce(F.lag("_joins").over(at), F.lit(False))).where("not _gone")
+    merged = {
+        "text": F.concat(F.expr("left(text, length(text) - 1)"), F.col("_n.text")),
+        "conf": F.least("conf", "_n.conf"),
+        "width": F.col("_n.left") + F.col("_n.width") - F.col("left"),
+        "height": F.greatest("height", "_n.height"),
+    }
+    return rows.select(*(F.when(F.col("_joins"), merged[c]).otherwise(F.col(c)).alias(c) if c in merged else F.col(c) for c in words.columns))

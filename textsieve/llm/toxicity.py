@@ -208,16 +208,26 @@ def _machine_of_words(vocabulary: list[bytes], toxic: list[np.ndarray], clean: l
         usual = draw.choice(clean_words, min(2000, len(clean_words)), replace=False)
         good = list(dict.fromkeys([*hard.tolist(), *usual.tolist()]))
         marks = [vocabulary[w] for w in [*bad[: n_landmarks * 3 // 4], *good[: n_landmarks // 8], *good[-n_landmarks // 8 :]]]
-        phi = np.array([weights_of(m) for m in marks])
         words = [vocabulary[w] for w in [*bad, *good]]
-        kernel = np.column_stack([applied(row, words) for row in phi])
+        # one landmark's table at a time; of all of them only the subsequences that some landmark has
+        kernel, parts_of = np.empty((len(words), len(marks))), []
+        for j, m in enumerate(marks):
+            row = weights_of(m)
+            kernel[:, j] = applied(row, words)
+            at = np.flatnonzero(row)
+            parts_of.append((at, row[at]))
+        used = np.unique(np.concatenate([at for at, _ in parts_of]))
+        phi = np.zeros((len(marks), len(used)))
+        for j, (at, value) in enumerate(parts_of):
+            phi[j, np.searchsorted(used, at)] = value
         values, vectors = np.linalg.eigh(phi @ phi.T)
         keep = values > 1e-6 * values[-1]
         white = vectors[:, keep] / np.sqrt(values[keep])
         target = np.r_[np.ones(len(bad)), -np.ones(len(good))]
         weight = np.r_[np.full(len(bad), 0.5 * len(good) / len(bad)), np.ones(len(good))]
         w = _machine(np.column_stack([kernel @ white, np.ones(len(words))]), target, weight / weight.mean())
-        table = (white @ w[:-1]) @ phi
+        table = np.zeros(1 << 18)
+        table[used] = (white @ w[:-1]) @ phi
         score, floor = applied(table, vocabulary) + w[-1], 0.2
     return table, w[-1]
 

@@ -179,3 +179,23 @@ def test_classifiers(spark):
 
 def test_pooled():
     assert quality.pooled(np.array([1.0, 0.0, 2.0]), np.array([1.0, 1.0, 1.0])).tolist() == [0.5, 0.5, 2.0]
+
+
+def test_fingerprint_without_rare_terms(spark):
+    """Texts of frequent terms only, and a group of copies of a third of the rows."""
+    draw = np.random.default_rng(6)
+    common = ["a b c d", "a b c e", "d e", "!!! ???", "--- ---", "A b, c d."]
+    copies = ["one large group of copies has terms of its own"] * 40
+    rest = [" ".join(["a b c d e", *(f"w{x}" for x in draw.integers(0, 60, 12))]) for _ in range(80)]
+    texts = [*common, *copies, *rest, "", None]
+    rows = {r["doc_id"]: r for r in fingerprint.edited_and_next(docs_of(spark, texts)).collect()}
+    prints = [rows[i]["fingerprint"] for i in range(len(texts))]
+    empty = "." * (fingerprint.SUBSETS - 1)
+    assert prints[-1] == prints[-2] == empty and empty not in prints[:-2]
+    assert len(set(prints[:6])) == 5 and prints[0] == prints[5]  # the same terms
+    assert len(set(prints[6:46])) == 1 and prints[6] not in prints[:6] + prints[46:]
+    for i in range(len(texts)):
+        a, b = prints[i], prints[i - 1]
+        assert (rows[i]["near_next"] == 1) == (a == b)
+    few = fingerprint.edited_and_next(docs_of(spark, ["x y", "x z", ""])).collect()  # no term is in the band
+    assert len({r["fingerprint"] for r in few}) == 3 and all(r["near_next"] == 0 for r in few)

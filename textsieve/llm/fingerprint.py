@@ -2,7 +2,9 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither those of most documents nor those
 of a handful. Each of several randomised subsets of it gives one hash of a document's distinct terms in the subset,
-sorted. Subsets are of falling density, so that short and long documents both have subsets that catch a few terms.
+sorted. Subsets are of falling density, so that short and long documents both have subsets that catch a few terms. A text
+that has no term in any subset (one of frequent terms only, or one of a large group of copies) has one hash of all its terms
+instead.
 """
 
 from __future__ import annotations
@@ -50,6 +52,16 @@ def subset_hashes(held: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
 
 
+def whole_hash(text: Column, found: Column) -> Column:
+    """The hash of all of a text's terms (found, distinct), or of the text itself if it has none; null for an empty text."""
+    return F.when(F.size(found) > 0, F.xxhash64(F.sort_array(found), F.lit("terms"))).when(text != "", F.xxhash64(text, F.lit("text")))
+
+
+def hashes_or_whole(held: Column, whole: Column) -> Column:
+    """subset_hashes; where `held` is empty, `whole` in the first place and nothing in the others."""
+    return F.when(F.size(held) > 0, subset_hashes(held)).otherwise(F.concat(F.array(whole), F.array_repeat(F.lit(None).cast("long"), SUBSETS - 1)))
+
+
 def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit(""))), ".")
 
@@ -62,7 +74,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], known: DataFrame, keep: list[str]) -> DataFrame:
-    """keys, the columns of keep, and for each name in texts (text column -> name) an array of subset hashes. If rows are
+    """keys, the columns of keep, and for each name in texts (text column, not null -> name) an array of subset hashes, or
+    whole_hash and nulls for a text that has no term in any subset. If rows are
     already partitioned by a subset of the keys there is no shuffle: the lexicon is small enough to be broadcast, or else
     is joined by term."""
     small = known.count() <= BROADCAST_TERMS
@@ -70,14 +83,17 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], known:
     def tag(of: int) -> Callable[[Column], Column]:
         return lambda t: F.struct(t.alias("t"), F.lit(of).alias("of"))
 
-    tagged = [F.transform(terms(F.col(c)), tag(i)) for i, c in enumerate(texts)]
+    wholes = [f"_whole_{i}" for i in range(len(texts))]
+    rows = rows.select(*keys, *keep, *texts, *(terms(F.col(c)).alias(f"_found_{i}") for i, c in enumerate(texts)))
+    rows = rows.select(*keys, *keep, *(whole_hash(F.col(c), F.col(f"_found_{i}")).alias(w) for i, (c, w) in enumerate(zip(texts, wholes, strict=True))), *(f"_found_{i}" for i in range(len(texts))))
+    tagged = [F.transform(F.col(f"_found_{i}"), tag(i)) for i in range(len(texts))]
     first = F.array(F.struct(F.lit(None).cast("long").alias("t"), F.lit(-1).alias("of")))  # so that no row goes for want of terms
-    flat = rows.select(*keys, F.struct(*keep).alias("_keep"), F.explode(F.concat(first, *tagged)).alias("_x"))
+    flat = rows.select(*keys, F.struct(*keep, *wholes).alias("_keep"), F.explode(F.concat(first, *tagged)).alias("_x"))
     flat = flat.select(*keys, F.when(F.col("_x.of") < 0, F.col("_keep")).alias("_keep"), F.col("_x.t").alias("_term"), F.col("_x.of").alias("_of"))
     met = flat.join(F.broadcast(known) if small else known, "_term", "left").where("_subsets is not null or _of < 0")
     item = F.struct("_term", "_subsets")
     grouped = met.groupBy(*keys).agg(F.first("_keep", ignorenulls=True).alias("_keep"), *(F.sort_array(F.collect_set(F.when(F.col("_of") == i, item))).alias(name) for i, name in enumerate(texts.values())))
-    return grouped.select(*keys, "_keep.*", *(subset_hashes(F.col(name)).alias(name) for name in texts.values()))
+    return grouped.select(*keys, *(f"_keep.{c}" for c in keep), *(hashes_or_whole(F.col(name), F.col(f"_keep.{w}")).alias(name) for name, w in zip(texts.values(), wholes, strict=True)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", span: int = 1024) -> DataFrame:
@@ -99,7 +115,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     """For each row of docs with an id: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next; the edited text ends in the start of the next document instead of its own second half.
 
-    Null texts count as empty; empty texts have empty fingerprints, which are like each other; rows without an id have no
+    Null texts count as empty; empty texts have empty fingerprints, which are like each other and no other; rows without an id have no
     place in the order and take no part; of rows with the same id each is followed by the other; other columns take no
     part. Texts are shuffled once, to spans of ids."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

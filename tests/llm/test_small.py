@@ -199,3 +199,66 @@ def test_fingerprint_without_rare_terms(spark):
         assert (rows[i]["near_next"] == 1) == (a == b)
     few = fingerprint.edited_and_next(docs_of(spark, ["x y", "x z", ""])).collect()  # no term is in the band
     assert len({r["fingerprint"] for r in few}) == 3 and all(r["near_next"] == 0 for r in few)
+
+
+def hot_group(m):
+    """m near copies, of which few are alike enough to a given one, and texts that share only their first words."""
+    draw = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(900)])
+    base = draw.choice(words, 120)
+    group = []
+    for _ in range(m):
+        own = base.copy()
+        own[draw.integers(6, 120, draw.integers(0, 5))] = draw.choice(words, 1)
+        group.append(" ".join(own))
+    return group + [" ".join([*base[:5], *draw.choice(words, 115)]) for _ in range(m // 3)]
+
+
+def brute_components(texts, percent=80):
+    sets, of = [set(jaccard.shingles(t).tolist()) for t in texts], np.arange(len(texts))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if of[i] != of[j] and both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                of[(of == of[i]) | (of == of[j])] = min(of[i], of[j])
+    return of.tolist()
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_jaccard_hot_group(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    made, tree_pairs = [], jaccard._tree_pairs
+    def noted(members, *a):
+        out = tree_pairs(members, *a)
+        made.append((members.count(), members.groupBy("unit", "side").count().agg({"count": "max"}).first()[0], out.count()))
+        return out
+    monkeypatch.setattr(jaccard, "_tree_pairs", noted)
+    texts = hot_group(60)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+    assert made[0][0] and all(pairs <= members for members, _, pairs in made)
+    assert block > 7 or all((most or 0) <= 4 * block for _, most, _ in made)
+
+
+def test_tree_skips_one_component():
+    points = np.repeat(np.random.default_rng(9).poisson(0.2, (1, jaccard.GROUPS)), 2001, axis=0)
+    parts = np.r_[np.zeros(2000, int), 1]
+    tree, seen = jaccard.CountTree(points, 80, (parts,)), []
+    may = tree._may
+    tree._may = lambda *a: (seen.append(len(a[0])), may(*a))[1]
+    found = tree.pairs()
+    assert len(found) == 2000 and (parts[found[:, 0]] != parts[found[:, 1]]).all() and sum(seen) < 10_000
+    assert len(jaccard.forest(found[:, 0], found[:, 1], found[:, 2], parts)) == 1
+
+
+def test_forest_spans():
+    draw = np.random.default_rng(10)
+    i, j, of = draw.integers(0, 80, 150), draw.integers(0, 80, 150), np.arange(80) // 2
+    w = draw.integers(0, 9, 150)
+    picked = jaccard.forest(i, j, w, of)
+    def joined(edges):
+        part = of.copy()
+        for e in edges:
+            part[part == part[i[e]]] = part[j[e]]
+        return [[a == b for b in part] for a in part], len(set(part))
+    assert joined(picked) == joined(range(150)) and len(picked) == 40 - joined(picked)[1]

@@ -9,7 +9,8 @@ One tree over all documents can't be cut by machine: the counts of unrelated tex
 left out. So there is one tree for each shard, and a shard is the documents that hold one shingle among the first of an
 order over all shingles, rarest first: two sets of similarity t have one of their first (1 - t) * n + 1 shingles in
 common, so every similar pair meets in a shard (exactly, not with some probability). Documents that already are in one
-component need not be compared, so a shard first links its documents to one of them; the tree then joins what is left.
+component need not be compared, so a shard first links its documents to one of them; the tree then joins what is left,
+and does not compare boxes of one component. A large shard is cut into blocks, and each pair of these is a task's work.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import slices, written
 from .components import components
 
 GROUPS, COARSE, FAN_OUT, WORDS = 1024, 128, 16, 5
+#: Members of a shard, or of a block of a larger one, that one task compares with each other or with those of another block.
+BLOCK = 1000
 _MEMO = 300_000
 
 
@@ -200,20 +203,55 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long")
 
 
+def forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j) make up a forest of greatest weight over the components `of` (Boruvka): it joins all that
+    the edges join, with fewer edges than there are components."""
+    own = np.unique(of, return_inverse=True)[1]
+    alive, picked = np.argsort(-weight, kind="stable"), []
+    while True:
+        x, y = own[i[alive]], own[j[alive]]
+        apart = x != y
+        alive, x, y = alive[apart], x[apart], y[apart]
+        if not len(alive):
+            return np.sort(np.concatenate(picked)) if picked else np.empty(0, np.int64)
+        best = np.full(own.max() + 1, len(alive))  # of each component its heaviest edge
+        np.minimum.at(best, x, np.arange(len(alive)))
+        np.minimum.at(best, y, np.arange(len(alive)))
+        at = np.flatnonzero(best < len(alive))
+        edge = best[at]
+        picked.append(alive[np.unique(edge)])
+        parent = np.arange(len(best))
+        parent[at] = x[edge] + y[edge] - at
+        both = (parent[parent] == np.arange(len(parent))) & (np.arange(len(parent)) < parent)
+        parent[both] = np.flatnonzero(both)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        own = parent[own]
+
+
 class CountTree:
-    """An R-tree of count vectors, packed level by level from points sorted by size and then by their largest groups."""
+    """An R-tree of count vectors, packed level by level from points sorted by size and then by their largest groups. Of
+    each of `labels` (one value for each point) the boxes hold the least and the greatest: two boxes whose members all have
+    one and the same value of a label are not compared."""
 
-    def __init__(self, points: np.ndarray, percent: int):
+    def __init__(self, points: np.ndarray, percent: int, labels: tuple[np.ndarray, ...] = ()):
         self.percent, self.full, self.sizes = percent, points, points.sum(axis=1)
         points = points.reshape(len(points), COARSE, -1).sum(axis=2)  # neighbouring groups as one: smaller boxes to compare
-        self.order = np.lexsort((points[:, 1], points[:, 0], self.sizes))
+        # a label that fills a box comes first, so that such boxes are of one label
+        first = []
+        for label in labels:
+            _, inverse, times = np.unique(label, return_inverse=True, return_counts=True)
+            first.append(np.where(times[inverse] >= FAN_OUT, inverse, -1))
+        self.order = np.lexsort((points[:, 1], points[:, 0], self.sizes, *first))
         self.points, self.sizes = points[self.order], self.sizes[self.order]
         self.levels = []
+        self.labels = [[(label[self.order], label[self.order]) for label in labels]]
         high, low = self.points, self.sizes
         while len(high) > 1:
             starts = np.arange(0, len(high), FAN_OUT)
             high, low = np.maximum.reduceat(high, starts), np.minimum.reduceat(low, starts)
             self.levels.append((high, low))
+            self.labels.append([(np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)) for least, most in self.labels[-1]])
 
     def _may(self, high_a, low_a, high_b, low_b) -> np.ndarray:
         """Can two members be similar? They share at most the summed minima, and need percent of their union."""
@@ -221,7 +259,7 @@ class CountTree:
         return shared * (100 + self.percent) >= self.percent * (low_a + low_b)
 
     def pairs(self) -> np.ndarray:
-        """Places (i, j) of points that the bound lets through, and the bound."""
+        """Places (i, j) of points that the bound lets through, and the bound; none of two points that share a label."""
         if len(self.points) < 2:
             return np.empty((0, 3), np.int64)
         todo = np.zeros((1, 2), np.int64)
@@ -234,6 +272,9 @@ class CountTree:
                 j = np.tile(some[:, 1, None] * FAN_OUT + np.arange(FAN_OUT), FAN_OUT).ravel()
                 fits = (i < len(high)) & (j < len(high)) & ((i < j) if depth == 0 else (i <= j))
                 i, j = i[fits], j[fits]
+                for least, most in self.labels[depth]:
+                    apart = (least[i] != most[i]) | (least[j] != most[j]) | (least[i] != least[j])
+                    i, j = i[apart], j[apart]
                 may = self._may(high[i], low[i], high[j], low[j])
                 out.append(np.column_stack([i[may], j[may]]))
             todo = np.concatenate(out) if out else np.empty((0, 2), np.int64)
@@ -245,40 +286,73 @@ class CountTree:
         return np.column_stack([todo[may], shared[may]])
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b from members (key, doc_id, component, counts): pairs of different components that a shard's tree gives."""
-
-    def join(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-        _, docs, parts, counts = zip(*rows, strict=True)
+def _units(members: DataFrame, shards: DataFrame) -> DataFrame:
+    """unit, doc_id, component, side: the work to compare members (key, doc_id, component) of shards (key, size), in units
+    of about 2 * BLOCK members at most. A shard of more than BLOCK members is cut into blocks, of one large component or of
+    whole small ones, and each pair of blocks is a unit of two sides, which are compared with each other; each block is a
+    unit of its own. Blocks of one and the same component are not compared."""
+    small = members.join(shards.where(F.col("size") <= BLOCK).select("key"), "key", "left_semi")
+    small = small.select(F.col("key").alias("unit"), "doc_id", "component", F.lit(None).cast("int").alias("side"))
+    large = members.join(shards.where(F.col("size") > BLOCK).select("key"), "key", "left_semi")
+    parts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("alone", F.col("n") > BLOCK)
+    rest = parts.where("not alone").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("rest"))
+    cut = F.when(F.col("alone"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("rest", F.lit(1))))
+    placed = large.join(parts, ["key", "component"]).join(rest, "key", "left")
+    placed = placed.select("key", "doc_id", "component", F.when(F.col("alone"), F.col("component")).alias("whole"), cut.alias("cut"))
+    blocks = placed.select("key", "whole", "cut").distinct()
+    name = F.struct("whole", "cut")
+    x, y = blocks.select("key", name.alias("x")), blocks.select("key", name.alias("y"))
+    met = x.join(y, "key").where("x <= y and not coalesce(x.whole = y.whole, false)")
+    met = met.withColumn("unit", F.xxhash64("key", "x", "y"))
+    sides = met.select("key", "unit", F.col("x").alias("at"), F.when(F.expr("x <> y"), 0).alias("side"))
+    sides = sides.unionByName(met.where("x <> y").select("key", "unit", F.col("y").alias("at"), F.lit(1).alias("side")))
+    sides = sides.select("key", "unit", "side", F.col("at.whole").alias("w"), F.col("at.cut").alias("c"))
+    of = placed.withColumnRenamed("key", "k").join(sides, (F.col("k") == F.col("key")) & F.col("whole").eqNullSafe(F.col("w")) & (F.col("cut") == F.col("c")))
+    return small.unionByName(of.select("unit", "doc_id", "component", "side"))
+
+
+def _tree_pairs(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """unit, a, b, shared from members (unit, doc_id, component, side, counts): pairs of different components that a unit's
+    tree gives; if `spanning`, only the likeliest that join all that these join, fewer than the unit's members."""
+
+    def join(rows: list[tuple]) -> pa.RecordBatch:
+        units, docs, parts, sides, counts = zip(*rows, strict=True)
         points = np.frombuffer(b"".join(counts), np.int32).reshape(-1, GROUPS).astype(np.int64)
         docs, parts = np.array(docs), np.array(parts)
-        found = CountTree(points, percent).pairs()
-        found = found[parts[found[:, 0]] != parts[found[:, 1]]]
+        # sides are null in a unit that is compared with itself
+        labels = (parts,) if None in sides else (parts, np.array(sides))
+        found = CountTree(points, percent, labels).pairs()
+        if spanning:
+            n = points.sum(axis=1)
+            found = found[forest(found[:, 0], found[:, 1], found[:, 2] / (n[found[:, 0]] + n[found[:, 1]]), parts)]
         a, b = docs[found[:, 0]], docs[found[:, 1]]
-        return np.minimum(a, b), np.maximum(a, b), found[:, 2]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), units[0])), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[:, 2])], names=["unit", "a", "b", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    out.append(join(held))
-                    held = []
-                held.append(row)
-            if out:
-                pairs = np.unique(np.column_stack([np.concatenate(c) for c in zip(*out, strict=True)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "shared"])
+            for small in slices([batch], 4, 4 << 20):
+                for row in zip(*(c.to_pylist() for c in small.columns), strict=True):
+                    if held and row[0] != held[0][0]:
+                        if (pairs := join(held)).num_rows:
+                            yield pairs
+                        held = []
+                    held.append(row)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in join(held)], names=["a", "b", "shared"])
+            yield join(held)
+
+    return members.select("unit", "doc_id", "component", "side", "counts").repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "unit long, a long, b long, shared long")
+
 
-    return members.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.max("shared").alias("shared"))
+def _in_components(rows: DataFrame, found: DataFrame, of: str, name: str) -> DataFrame:
+    return rows.join(found.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
 
-def _settled(candidates: DataFrame, links: DataFrame | None, texts: DataFrame, percent: int, rounds: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+def _settled(candidates: DataFrame, links: DataFrame | None, found: DataFrame | None, texts: DataFrame, percent: int, rounds: int, whole: bool, last: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, components) after verifying candidates (a, b, shared). Pairs within one component need no look: in each of
-    `rounds` rounds, of the pairs between two components the likeliest is verified; then, if `whole`, all that are left."""
-    tried, found = None, components(links) if links is not None else None
+    `rounds` rounds, of the pairs between two components the likeliest is verified; then, if `whole`, all that are left. `found` are the components of
+    links; with `last`, those that are returned lack the links of the last round."""
+    tried = None
     for k in range(rounds + whole):
         left = candidates if tried is None else candidates.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         if found is not None:
@@ -294,7 +368,7 @@ def _settled(candidates: DataFrame, links: DataFrame | None, texts: DataFrame, p
         tried = now if tried is None else tried.unionByName(now)
         new = now.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
-        if k < rounds or whole:
+        if not last or k + 1 < rounds + whole:
             found = components(links)
     return links, found
 
@@ -315,14 +389,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # 1: members and their shard's center
     near = shards.where("doc_id <> center").where(_similar_sizes("n", "center_n", percent)).select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
-    links, found = _settled(written(_bounded(near, points, percent), "near"), None, texts, percent, 2, False)
+    links, found = _settled(written(_bounded(near, points, percent), "near"), None, None, texts, percent, 2, False)
 
     # 2: what different components have in a shard, by its tree
-    members = shards.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = _in_components(shards, found, "doc_id", "component")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("mark2")).where("x <> y")
-    once = mixed.groupBy("size", "mark", "mark2").agg(F.min("key").alias("key")).select("key")  # many shards have the same members
-    left = members.join(once, "key", "left_semi").select("key", "doc_id", "component").join(points.select("doc_id", "counts"), "doc_id").select("key", "doc_id", "component", "counts")
-    linked, _ = _settled(written(_tree_pairs(left, percent), "pairs"), links, texts, percent, 2, True)
+    once = written(mixed.groupBy("size", "mark", "mark2").agg(F.min("key").alias("key")).select("key", "size"), "once")  # many shards have the same members
+    units = written(_units(members.select("key", "doc_id", "component"), once), "units")
+    counts = points.select("doc_id", "counts")
+    likeliest = lambda pairs: pairs.groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    # the likeliest pairs that span what may be linked: as many as members, however large a group
+    spans = written(_tree_pairs(units.join(counts, "doc_id"), percent, True), "spans")
+    linked, found = _settled(likeliest(spans), links, found, texts, percent, 1, True)
+    # 3: where all of a unit's were links, what its tree gives is in one component; where one was not, every pair that still
+    # lies between two is verified
+    open_units = _in_components(_in_components(spans, found, "a", "x"), found, "b", "y").where("x <> y").select("unit").distinct()
+    rest = _in_components(units.join(open_units, "unit", "left_semi").drop("component"), found, "doc_id", "component")
+    pairs = written(likeliest(_tree_pairs(rest.join(counts, "doc_id"), percent, False)), "pairs")
+    if not pairs.isEmpty():
+        linked, _ = _settled(pairs, linked, found, texts, percent, 1, True, last=True)
 
     # equal sets, and ids that are repeated, are links too
     same = sets.where("n > 0").join(equal, ["sign", "sign2"]).where("doc_id <> same_as").select(F.col("same_as").alias("a"), F.col("doc_id").alias("b"))

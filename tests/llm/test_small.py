@@ -262,3 +262,21 @@ def test_forest_spans():
             part[part == part[i[e]]] = part[j[e]]
         return [[a == b for b in part] for a in part], len(set(part))
     assert joined(picked) == joined(range(150)) and len(picked) == 40 - joined(picked)[1]
+
+
+def test_neighbours_recall_on_table(spark):
+    """Production parameters on the table itself, against brute force over all its vectors."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    got = {}
+    for r in neighbours.search(df, lambda i: i % 10 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = {}
+    for at in np.flatnonzero(ids % 10 == 0):
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        d[at] = np.inf
+        hits[ids[at]] = len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & got[ids[at]]) / 10
+    contract = [h for i, h in hits.items() if i % 100 == 0]
+    print("recall", len(contract), np.mean(contract), len(hits), np.mean(list(hits.values())))
+    assert np.mean(contract) >= 0.93 and np.mean(list(hits.values())) >= 0.93

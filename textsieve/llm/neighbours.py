@@ -85,7 +85,7 @@ def valid(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
     return df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull() & fine).dropDuplicates(["_id"])
 
 
-def fit(rows: DataFrame, tables: int = 8, projections: int = 8, probes: int = 600, slot: float = 1.06, coarse: int = 3, sample: int = 1000, seed: int = 3) -> Hashes | None:
+def fit(rows: DataFrame, tables: int = 8, projections: int = 8, probes: int = 600, slot: float = 1.15, coarse: int = 3, sample: int = 1000, seed: int = 3) -> Hashes | None:
     """Slots are `slot` times the median distance in a sample of at most `sample` rows (the first by a hash of the id)."""
     got = [r["_v"] for r in rows.orderBy(F.xxhash64("_id")).limit(sample).select("_v").collect()]
     if not got:

@@ -21,17 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new folder where it is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes a new
+    folder of its machine and keeps to it; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dirs.get(spark.sparkContext.applicationId)
     if not base:
-        base = tempfile.mkdtemp(prefix="textsieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="textsieve-")
     return base
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there, so a lost executor costs no recomputation
-    of what came before, and the shuffle files that made it go at once. The folder goes when the driver's process ends."""
+    of what came before, and the shuffle files that made it go at once. forget() frees the table, or else the end of the
+    driver's process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textsieve-{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(CLEANUP, None)
@@ -40,11 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._textsieve_path = path
+    atexit.register(_remove, spark, path)
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that written() made, once all that is made of them is written."""
+    for t in tables:
+        _remove(t.sparkSession, t._textsieve_path)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

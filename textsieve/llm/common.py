@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
     does not depend on how long the texts are (one text is never cut)."""
     for b in batches:
         ends = b.column(column).cast(pa.large_string()) if pa.types.is_string(b.column(column).type) else b.column(column)
-        sizes = pa.compute.binary_length(ends).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(ends).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most_bytes:

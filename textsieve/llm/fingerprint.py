@@ -9,91 +9,84 @@ instead.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import written
 
-#: Subsets, and how many of them share a density; densities fall from 1/8 by a factor of 4.
-SUBSETS, PER_DENSITY = 60, 12
-#: A lexicon of more terms isn't broadcast but joined by a shuffle.
+#: How many subsets hold one of so many terms of the lexicon: sparse ones catch a few terms of long texts, dense ones of
+#: short texts.
+SUBSETS = {16: 4, 64: 14, 256: 18, 1024: 16, 4096: 8}
+#: A lexicon of more terms isn't broadcast but joined by a shuffle. A term takes 8 bytes and 4 for each of its subsets, of
+#: which it has one on average: 2 million are some 60 MB.
 BROADCAST_TERMS = 2_000_000
 
 
-def terms(text: Column) -> Column:
-    """The hashes of a text's distinct terms: runs of letters and digits, in lower case."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda x: x != ""), lambda x: F.xxhash64(x)))
+def words(text: Column) -> Column:
+    """A text's distinct terms: runs of letters and digits, in lower case; also "", which isn't one."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least_idf: float = 3.0, most_idf: float = 7.6, least_docs: int = 2) -> DataFrame:
-    """_term and _subsets (bit k: subset k holds the term) of the terms in the band of ln(documents / documents with the
-    term). At most (terms per document) * e**most_idf terms, however many documents there are. Written to the shared
-    folder."""
+    """_term (hash) and _subsets (the numbers of the subsets that hold it, maybe none) of the terms in the band of
+    ln(documents / documents with the term). At most (mean distinct terms of a document) * e**most_idf terms, however many
+    documents there are. Written to the shared folder."""
     n = docs.count()
-    counts = docs.select(F.explode(terms(F.coalesce(text_col, F.lit("")))).alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
+    found = docs.select(F.explode(words(F.coalesce(text_col, F.lit("")))).alias("_word")).where("_word <> ''").select(F.xxhash64("_word").alias("_term"))
+    counts = found.groupBy("_term").agg(F.count(F.lit(1)).alias("_df"))
     idf = F.log(F.lit(float(max(n, 1))) / F.col("_df"))
     kept = counts.where((F.col("_df") >= least_docs) & idf.between(least_idf, most_idf))
-    density = lambda k: (F.lit(2) * F.pow(F.lit(4), F.floor(k / F.lit(PER_DENSITY)) + 1)).cast("long")
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.when(F.pmod(F.xxhash64("_term", k), density(k)) == 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))))
-    return written(kept.select("_term", bits.alias("_subsets")).where("_subsets <> 0"), "lexicon")
-
-
-def subset_hashes(held: Column) -> Column:
-    """For each subset the hash of its terms in `held` (sorted array of struct(term, subsets)), null where it has none."""
-
-    def one(k: Column) -> Column:
-        mine = F.transform(F.filter(held, lambda x: F.call_function("getbit", x["_subsets"], k) == 1), lambda x: x["_term"])
-        return F.when(F.size(mine) > 0, F.xxhash64(mine))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    of = [one_in for one_in, times in SUBSETS.items() for _ in range(times)]
+    # no filter on this column: it would be moved below the counting and run for each word of each text
+    held = F.array_compact(F.array(*(F.when(F.pmod(F.xxhash64("_term", F.lit(k)), F.lit(one_in)) == 0, F.lit(k)) for k, one_in in enumerate(of))))
+    return written(kept.select("_term", held.alias("_subsets")), "lexicon")
 
 
 def whole_hash(text: Column, found: Column) -> Column:
-    """The hash of all of a text's terms (found, distinct), or of the text itself if it has none; null for an empty text."""
-    return F.when(F.size(found) > 0, F.xxhash64(F.sort_array(found), F.lit("terms"))).when(text != "", F.xxhash64(text, F.lit("text")))
-
-
-def hashes_or_whole(held: Column, whole: Column) -> Column:
-    """subset_hashes; where `held` is empty, `whole` in the first place and nothing in the others."""
-    return F.when(F.size(held) > 0, subset_hashes(held)).otherwise(F.concat(F.array(whole), F.array_repeat(F.lit(None).cast("long"), SUBSETS - 1)))
+    """The hash of all of a text's terms (found: words), or of the text itself if it has none; null for an empty text."""
+    terms = F.array_remove(found, "")
+    return F.when(F.size(terms) > 0, F.xxhash64(F.sort_array(terms), F.lit("terms"))).when(text != "", F.xxhash64(text, F.lit("text")))
 
 
-def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit(""))), ".")
+def as_text(prints: Column) -> Column:
+    return F.array_join(F.transform(prints, lambda x: F.concat_ws(":", x["subset"].cast("string"), F.lower(F.lpad(F.hex(x["hash"]), 16, "0")))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal hashes among the subsets that either has terms in; 1 if neither has any."""
-    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), None).otherwise(F.when(x.eqNullSafe(y), 1).otherwise(0)))
-    known = F.filter(both, lambda x: x.isNotNull())
-    return F.when(F.size(known) == 0, F.lit(1.0)).otherwise(F.aggregate(known, F.lit(0), lambda s, x: s + x) / F.size(known)).cast("double")
+    either = F.size(a) + F.size(b) - F.size(F.array_intersect(a["subset"], b["subset"]))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a["hash"], b["hash"])) / either).cast("double")
 
 
 def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], known: DataFrame, keep: list[str]) -> DataFrame:
-    """keys, the columns of keep, and for each name in texts (text column, not null -> name) an array of subset hashes, or
-    whole_hash and nulls for a text that has no term in any subset. If rows are
-    already partitioned by a subset of the keys there is no shuffle: the lexicon is small enough to be broadcast, or else
-    is joined by term."""
-    small = known.count() <= BROADCAST_TERMS
-
-    def tag(of: int) -> Callable[[Column], Column]:
-        return lambda t: F.struct(t.alias("t"), F.lit(of).alias("of"))
-
-    wholes = [f"_whole_{i}" for i in range(len(texts))]
-    rows = rows.select(*keys, *keep, *texts, *(terms(F.col(c)).alias(f"_found_{i}") for i, c in enumerate(texts)))
-    rows = rows.select(*keys, *keep, *(whole_hash(F.col(c), F.col(f"_found_{i}")).alias(w) for i, (c, w) in enumerate(zip(texts, wholes, strict=True))), *(f"_found_{i}" for i in range(len(texts))))
-    tagged = [F.transform(F.col(f"_found_{i}"), tag(i)) for i in range(len(texts))]
-    first = F.array(F.struct(F.lit(None).cast("long").alias("t"), F.lit(-1).alias("of")))  # so that no row goes for want of terms
-    flat = rows.select(*keys, F.struct(*keep, *wholes).alias("_keep"), F.explode(F.concat(first, *tagged)).alias("_x"))
-    flat = flat.select(*keys, F.when(F.col("_x.of") < 0, F.col("_keep")).alias("_keep"), F.col("_x.t").alias("_term"), F.col("_x.of").alias("_of"))
-    met = flat.join(F.broadcast(known) if small else known, "_term", "left").where("_subsets is not null or _of < 0")
-    item = F.struct("_term", "_subsets")
-    grouped = met.groupBy(*keys).agg(F.first("_keep", ignorenulls=True).alias("_keep"), *(F.sort_array(F.collect_set(F.when(F.col("_of") == i, item))).alias(name) for i, name in enumerate(texts.values())))
-    return grouped.select(*keys, *(f"_keep.{c}" for c in keep), *(hashes_or_whole(F.col(name), F.col(f"_keep.{w}")).alias(name) for name, w in zip(texts.values(), wholes, strict=True)))
+    """keys, the columns of keep, and for each name in texts (text column, not null -> name) the sorted array of (subset,
+    hash of the text's sorted terms in it), or subset -1 with whole_hash for a text that has no term in any subset. If rows
+    are already partitioned by a subset of the keys there is no shuffle: the lexicon is small enough to be broadcast, or
+    else is joined by term."""
+    flat = rows.select(*keys, F.struct(*keep).alias("_keep"), F.explode(F.array(*(F.struct(F.lit(i).alias("of"), F.col(c).alias("text")) for i, c in enumerate(texts)))).alias("_x"))
+    flat = flat.select(*keys, "_keep", F.col("_x.of").alias("_of"), F.col("_x.text").alias("_text"), words(F.col("_x.text")).alias("_found"))
+    # one more row for each text, with what belongs to all of it
+    flat = flat.select(*keys, "_of", F.struct("_keep", whole_hash(F.col("_text"), F.col("_found")).alias("whole")).alias("_base"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "_found")).alias("_word"))
+    flat = flat.where("_word is null or _word <> ''")
+    flat = flat.select(*keys, "_of", F.when(F.col("_word").isNull(), F.col("_base")).alias("_base"), F.when(F.col("_word").isNotNull(), F.xxhash64("_word")).alias("_term"))
+    if known.count() <= BROADCAST_TERMS:
+        met = flat.join(F.broadcast(known), "_term", "left")
+    else:
+        base = flat.where("_term is null").withColumn("_subsets", F.lit(None).cast("array<int>"))
+        met = flat.where("_term is not null").join(known, "_term").unionByName(base)
+    met = met.where("_base is not null or size(_subsets) > 0").select(*keys, "_of", "_base", "_term", F.explode_outer("_subsets").alias("_subset"))
+    by_subset = met.groupBy(*keys, "_of", "_subset").agg(F.first("_base", ignorenulls=True).alias("_base"), F.sort_array(F.collect_list("_term")).alias("_terms"))
+    by_subset = by_subset.select(*keys, "_of", "_base", F.when(F.col("_subset").isNotNull(), F.struct(F.col("_subset").alias("subset"), F.xxhash64("_subset", "_terms").alias("hash"))).alias("_print"))
+    mine = lambda i, c: F.when(F.col("_of") == i, F.col(c))
+    of_text = [F.sort_array(F.collect_list(mine(i, "_print"))).alias(f"_prints_{i}") for i in range(len(texts))] + [F.first(mine(i, "_base.whole"), ignorenulls=True).alias(f"_whole_{i}") for i in range(len(texts))]
+    grouped = by_subset.groupBy(*keys).agg(F.first("_base._keep", ignorenulls=True).alias("_keep"), *of_text)
+
+    def prints(i: int) -> Column:
+        whole = F.array(F.struct(F.lit(-1).alias("subset"), F.col(f"_whole_{i}").alias("hash")))
+        return F.when((F.size(f"_prints_{i}") == 0) & F.col(f"_whole_{i}").isNotNull(), whole).otherwise(F.col(f"_prints_{i}"))
+
+    return grouped.select(*keys, *(f"_keep.{c}" for c in keep), *(prints(i).alias(name) for i, name in enumerate(texts.values())))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", span: int = 1024) -> DataFrame:

@@ -2,43 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Endings by case (nominative, genitive, dative, accusative, instrumental, prepositional).
-ADJECTIVE_M = ["ый", "ого", "ому", "ого", "ым", "ом"]
+CASES = ["nom", "gen", "dat", "acc", "ins", "pre"]
+
+# Endings by case, in the order of CASES.
+ADJECTIVE = ["ый", "ого", "ому", "ого", "ым", "ом"]
 ADJECTIVE_SKY = ["ий", "ого", "ому", "ого", "им", "ом"]
+ADJECTIVE_SOFT = ["ий", "его", "ему", "его", "им", "ем"]
 ADJECTIVE_F = ["ая", "ой", "ой", "ую", "ой", "ой"]
+ADJECTIVE_F_SOFT = ["яя", "ей", "ей", "юю", "ей", "ей"]
 HARD = ["", "а", "у", "а", "ом", "е"]
 HARD_OV = ["", "а", "у", "а", "ым", "е"]
-SOFT_SIGN = ["ь", "я", "ю", "я", "ем", "е"]
-SHORT_I = ["й", "я", "ю", "я", "ем", "е"]
+SOFT = ["ь", "я", "ю", "я", "ем", "е"]
 END_A = ["а", "ы", "е", "у", "ой", "е"]
 END_A_VELAR = ["а", "и", "е", "у", "ой", "е"]
 END_YA = ["я", "и", "е", "ю", "ей", "е"]
-FIXED = r"(енко|ко|ых|их|аго|яго|ово|[еиоуыэю]|[аеёиоуыэюя]а|иа)$"
 
+# Endings of surnames that don't decline, and particles, which don't either.
+FIXED_ENDINGS = ["енко", "ко", "ых", "их", "аго", "яго", "ово", "е", "и", "о", "у", "ы", "э", "ю"]
+VOWELS = "аеёиоуыэюя"
+PARTICLES = ["де", "фон", "ван", "дер", "да", "дель", "ди", "ду", "ле", "ла"]
 
-def _with(stem: Column, endings: list[str]) -> Column:
-    return F.array(*(F.concat(stem, F.lit(e)) for e in endings))
+# Surnames with forms of their own, by case; a single one stands for all cases.
+EXCEPTIONS = {
+    "m": {
+        "гайдай": ["гайдай", "гайдая", "гайдаю", "гайдая", "гайдаем", "гайдае"],
+        "заяц": ["заяц", "заяца зайца", "заяцу зайцу", "заяца зайца", "заяцем зайцем", "заяце зайце"],
+        "топчий": ["топчий", "топчего топчия", "топчему топчию", "топчего топчия", "топчим топчием", "топчем топчие"],
+        **{s: [s] for s in ("дюма", "золя", "гавальда", "ли", "шоу", "гюго")},
+    },
+    "f": {s: [s] for s in ("дюма", "золя", "гавальда", "ли", "шоу", "гюго")},
+}
 
 
-def surname_forms(c: Column, gender: str) -> Column:
-    """The six cases of a simple surname, in order; surnames that don't decline give the same form for each."""
-    s = F.lower(F.translate(F.trim(c), "Ёё", "Ее"))
-    drop = lambda n: s.substr(F.lit(1), F.char_length(s) - n)
-    same = F.array(*([s] * 6))
+def _normal(c: Column) -> Column:
+    return F.lower(F.translate(F.trim(c), "Ёё", "Ее"))
+
+
+def _simple(s: Column, gender: str, y: Column, foreign_ov_in: Column, fixed_a: Column) -> Column:
+    """The paradigm of a normalised surname of one part: an array of CASES, each an array of variants."""
+
+    def ends(drop: int, *paradigms: list[str]) -> Column:
+        stem = s.substr(F.lit(1), F.char_length(s) - drop)
+        cases = zip(*paradigms, strict=True)
+        # the first form is the surname as it is
+        return F.array(F.array(s), *(F.array_distinct(F.array(*(F.concat(stem, F.lit(e)) for e in case))) for case in list(cases)[1:]))
+
+    same = F.array(*[F.array(s)] * 6)
+    rules: list[tuple[Column, Column]] = []
+    for name, cases in EXCEPTIONS[gender].items():
+        rules.append((s == name, F.array(*(F.array(*map(F.lit, case.split())) for case in (cases if len(cases) > 1 else cases * 6)))))
+    rules += [(s.rlike(f"иа$|[{VOWELS}]а$|({'|'.join(FIXED_ENDINGS)})$") | fixed_a, same)]
+    adjective = F.when(s.rlike("ий$"), ends(2, ADJECTIVE_SOFT)).otherwise(ends(2, ADJECTIVE))
+    both = F.when(s.rlike("ий$"), F.zip_with(ends(2, ADJECTIVE_SOFT), ends(1, SOFT), F.array_union)).otherwise(F.zip_with(ends(2, ADJECTIVE), ends(1, SOFT), F.array_union))
     if gender == "f":
-        return F.when(s.rlike(FIXED), same).when(s.rlike("(ая|яя)$"), _with(drop(2), ADJECTIVE_F)).when(s.rlike("(ова|ева|ина|ына)$"), _with(drop(1), ["а", "ой", "ой", "у", "ой", "ой"])).when(s.rlike("[бвгджзклмнпрстфхцчшщьй]$"), same).when(s.rlike("я$"), _with(drop(1), END_YA)).when(s.rlike("[гкхжчшщц]а$"), _with(drop(1), END_A_VELAR)).when(s.rlike("а$"), _with(drop(1), END_A)).otherwise(same)
-    return F.when(s.rlike(FIXED), same).when(s.rlike("(ск|цк)(ий|ой)$"), _with(drop(2), ADJECTIVE_SKY)).when(s.rlike("ый$"), _with(drop(2), ADJECTIVE_M)).when(s.rlike("ь$"), _with(drop(1), SOFT_SIGN)).when(s.rlike("й$"), _with(drop(1), SHORT_I)).when(s.rlike("я$"), _with(drop(1), END_YA)).when(s.rlike("[гкхжчшщц]а$"), _with(drop(1), END_A_VELAR)).when(s.rlike("а$"), _with(drop(1), END_A)).when(s.rlike("(ов|ев|ин|ын)$"), _with(s, HARD_OV)).when(s.rlike("[бвгджзклмнпрстфхцчшщ]$"), _with(s, HARD)).otherwise(same)
+        rules += [(s.rlike("яя$"), ends(2, ADJECTIVE_F_SOFT)), (s.rlike("ая$"), ends(2, ADJECTIVE_F)), (s.rlike("[бвгджзклмнпрстфхцчшщьй]$"), same)]
+    else:
+        rules += [(s.rlike("[сц]к[ио]й$"), ends(2, ADJECTIVE_SKY)), (s.rlike("ый$"), ends(2, ADJECTIVE))]
+        rules += [(s.rlike("[ио]й$") & (y == "noun"), ends(1, SOFT)), (s.rlike("[ио]й$") & (y == "both"), both), (s.rlike("[ио]й$"), adjective)]
+        rules += [(s.rlike("ь$"), ends(1, SOFT)), (s.rlike("й$") & (y == "adjective"), same), (s.rlike("й$") & (y == "both"), F.zip_with(same, ends(1, SOFT), F.array_union)), (s.rlike("й$"), ends(1, SOFT))]
+    rules += [(s.rlike("я$"), ends(1, END_YA)), (s.rlike("[гкхжчшщц]а$"), ends(1, END_A_VELAR)), (s.rlike("а$"), ends(1, END_A))]
+    if gender == "m":
+        rules += [(s.rlike("(ов|ев|ин|ын)$") & ~foreign_ov_in, ends(0, HARD_OV)), (s.rlike("[бвгджзклмнпрстфхцчшщ]$"), ends(0, HARD))]
+    (when, then), *more = rules
+    out = F.when(when, then)
+    for when, then in more:
+        out = out.when(when, then)
+    return out.otherwise(same)
+
+
+def paradigm(c: Column, gender: str, y: Column | None = None, foreign_ov_in: Column | None = None, fixed_a: Column | None = None) -> Column:
+    """The forms of a surname by case, normalised: an array of CASES, each an array of variants. Particles before it stay,
+    parts joined by hyphens decline each. y says how -й declines where the ending leaves it open: adjective, noun or both;
+    foreign_ov_in: -ов and -ин as in foreign names; fixed_a: doesn't decline."""
+    more = (F.lit("auto") if y is None else y, F.lit(False) if foreign_ov_in is None else foreign_ov_in, F.lit(False) if fixed_a is None else fixed_a)
+    whole = F.regexp_replace(_normal(c), r"\s+", " ")
+    particles = "|".join(PARTICLES)
+    lead = F.regexp_extract(whole, rf"^((?:(?:{particles}) )+)\S", 1)
+    parts = F.split(whole.substr(F.char_length(lead) + 1, F.char_length(whole)), "-")
+    declined = F.transform(parts, lambda p: F.when(p.isin(PARTICLES) & (F.size(parts) > 1), F.array(*[F.array(p)] * 6)).otherwise(_simple(p, gender, *more)))
+    pairs = lambda a, b: F.array_distinct(F.flatten(F.transform(a, lambda x: F.transform(b, lambda z: F.concat(x, F.lit("-"), z)))))
+    joined = F.aggregate(F.slice(declined, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(declined, F.lit(0)), lambda acc, part: F.zip_with(acc, part, pairs))
+    return F.transform(joined, lambda case: F.transform(case, lambda x: F.concat(lead, x)))
+
+
+def surname_forms(c: Column, gender: str) -> Column:
+    """The six cases of a surname, in order, each by its first variant."""
+    return F.transform(paradigm(c, gender), lambda case: F.get(case, F.lit(0)))
 
 
 def all_surname_forms(c: Column) -> Column:
-    """The distinct forms of both genders; a surname of two parts has the combinations of its parts' forms, case by case."""
-    parts = F.split(c, "-")
-    one = lambda x: F.array_distinct(F.concat(surname_forms(x, "m"), surname_forms(x, "f")))
-    pair = lambda g: F.zip_with(surname_forms(parts[0], g), surname_forms(F.get(parts, F.lit(1)), g), lambda a, b: F.concat(a, F.lit("-"), b))
-    return F.when(F.size(parts) == 2, F.array_distinct(F.concat(pair("m"), pair("f")))).otherwise(one(c))
+    """The distinct forms of both genders, all variants."""
+    return F.array_distinct(F.flatten(F.concat(paradigm(c, "m"), paradigm(c, "f"))))
+
+
+def surname_index(surnames: DataFrame) -> DataFrame:
+    """form, surname, gender, matched_case from surname and gender (m or f); and, where surnames have them, the columns
+    y_declension, foreign_ov_in and indeclinable_final_a."""
+    more = [F.coalesce(F.col(c), d) if c in surnames.columns else d for c, d in (("y_declension", F.lit("auto")), ("foreign_ov_in", F.lit(False)), ("indeclinable_final_a", F.lit(False)))]
+    cases = F.when(F.col("gender") == "f", paradigm(F.col("surname"), "f", *more)).otherwise(paradigm(F.col("surname"), "m", *more))
+    rows = surnames.select("surname", "gender", F.posexplode(cases).alias("_case", "_forms")).select("surname", "gender", F.element_at(F.array(*map(F.lit, CASES)), F.col("_case") + 1).alias("matched_case"), F.explode("_forms").alias("form"))
+    return rows.select("form", "surname", "gender", "matched_case")
 
 
 def gender(full_name: Column) -> Column:

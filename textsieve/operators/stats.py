@@ -12,8 +12,8 @@ def check_id(*parts) -> "F.Column":
 
 
 def by_list(matches: DataFrame) -> DataFrame:
-    """For each list, kind and phrase the number of distinct spans and the pages."""
-    return matches.groupBy("list_key", "kind", "phrase").agg(F.countDistinct("check_id").alias("n"), F.array_sort(F.collect_set("page")).alias("pages"))
+    """For each list, kind and phrase the number of distinct spans (doc_id, start_word, end_word) and the pages."""
+    return matches.groupBy("list_key", "kind", "phrase").agg(F.countDistinct(F.struct("doc_id", "start_word", "end_word")).alias("n"), F.array_sort(F.collect_set("page")).alias("pages"))
 
 
 def totals(stats: DataFrame) -> DataFrame:

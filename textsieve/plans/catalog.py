@@ -154,6 +154,27 @@ def unordered_phrase_match(spark, d):
     return match.unordered_match(_t(spark, d, "documents"), _phrases(spark)).select("doc_id", "phrase", *_long("start_word", "end_word"))
 
 
+# words, lemmas and stems: equal by both or not at all
+_LEMMAS = [("the", "the", "th"), ("this", "the", "thi"), ("die", "die", "d"), ("der", "die", "d"), ("den", "die", "d"), ("la", "le", "l"), ("les", "le", "l"), ("of", "of", "of"), ("off", "of", "off"), ("in", "", "i"), ("im", "", "i")]
+#: The word that stands for all that are equal to it.
+_KEYS = "MAP {" + ", ".join(f"'{w}': '{lemma}|{stem}'" for w, lemma, stem in _LEMMAS if lemma) + "}"
+_LK = rf"wk AS (SELECT doc_id, list_transform(w, lambda x: coalesce(list_extract(map_extract({_KEYS}, x), 1), x)) AS w FROM w), pk AS (SELECT phrase, list_key, k, list_transform(pw, lambda x: coalesce(list_extract(map_extract({_KEYS}, x), 1), x)) AS pw FROM p), ek AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM wk)"
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_LEMMAS, "word string, lemma string, stem string")
+
+
+@query(f"WITH {_W}, {_LK} SELECT doc_id, phrase, (i - 1)::BIGINT AS start_word, (i + k - 2)::BIGINT AS end_word FROM ek JOIN pk ON ek.w[ek.i] = pk.pw[1] AND ek.w[ek.i:ek.i + k - 1] = pk.pw")
+def phrase_match_lemma(spark, d):
+    return match.phrase_match(_t(spark, d, "documents"), _phrases(spark), lexicon=_lexicon(spark)).select("doc_id", "phrase", *_long("start_word", "end_word"))
+
+
+@query(f"WITH {_W}, {_LK} SELECT doc_id, phrase, (i - 1)::BIGINT AS start_word, (i + k - 2)::BIGINT AS end_word FROM ek JOIN pk ON i + k - 1 <= len(w) AND list_sort(w[i:i + k - 1]) = list_sort(pw)")
+def unordered_match_lemma(spark, d):
+    return match.unordered_match(_t(spark, d, "documents"), _phrases(spark), lexicon=_lexicon(spark)).select("doc_id", "phrase", *_long("start_word", "end_word"))
+
+
 @query(f"WITH {_W}, {_E}, {_M} SELECT doc_id, phrase, count(*)::BIGINT AS n FROM m WHERE kind = 'word' GROUP BY ALL")
 def word_match(spark, d):
     return match.phrase_match(_t(spark, d, "documents"), _phrases(spark)).where("kind = 'word'").groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
@@ -173,6 +194,20 @@ def regex_count(spark, d):
     return match.regex_counts(_t(spark, d, "documents"), _PATTERNS)
 
 
+_FREE = ("common",)
+
+
+@query(
+    f"WITH {_W}, {_LK}, o AS (SELECT doc_id, list_key, phrase, CASE WHEN list_key IN ('common') THEN 'unordered' WHEN k > 1 THEN 'phrase' ELSE 'word' END AS kind FROM ek JOIN pk ON CASE WHEN list_key IN ('common') THEN i + k - 1 <= len(w) AND list_sort(w[i:i + k - 1]) = list_sort(pw) ELSE w[i:i + k - 1] = pw END)"
+    " SELECT doc_id, list_key, phrase, kind, count(*)::BIGINT AS n FROM o GROUP BY ALL"
+    + "".join(f" UNION ALL SELECT doc_id, 'patterns', '{k}', 'regex', len(regexp_extract_all(lower(text), '{p}'))::BIGINT FROM documents WHERE regexp_matches(lower(text), '{p}')" for k, p in _PATTERNS.items())
+)
+def search_all(spark, d):
+    phrases = _phrases(spark).withColumn("ordered", ~F.col("list_key").isin(*_FREE))
+    found = match.search_all(_t(spark, d, "documents"), phrases, _PATTERNS, _lexicon(spark))
+    return found.groupBy("doc_id", "list_key", "phrase", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT phrase FROM {_P} WHERE lower(phrase) NOT IN ('of the', 'the')")
 def exclude_list(spark, d):
     gone = spark.createDataFrame([("Of The",), ("THE",)], "x string")
@@ -289,7 +324,7 @@ def list_counts(spark, d):
     return _links(spark, d).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
 
 
-_HALVES = ("p_partkey % 3 <> 0", "p_partkey % 3 <> 1")
+_HALVES = ("length(p_name) % 3 <> 0", "length(p_name) % 3 <> 1")
 
 
 @query(f"(SELECT 'added' AS change, phrase FROM (SELECT p_name AS phrase FROM part WHERE {_HALVES[1]} EXCEPT SELECT p_name FROM part WHERE {_HALVES[0]})) UNION ALL (SELECT 'deleted', phrase FROM (SELECT p_name AS phrase FROM part WHERE {_HALVES[0]} EXCEPT SELECT p_name FROM part WHERE {_HALVES[1]}))")
@@ -332,9 +367,9 @@ def paginate(spark, d):
     return lists.page(_t(spark, d, "part").select("p_partkey", "p_name"), [F.col("p_name"), F.col("p_partkey")], 50, 20)
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'steel') AND contains(lower(p_type), 'o')")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'old') AND contains(lower(p_name), 'b')")
 def list_search(spark, d):
-    return lists.search(_t(spark, d, "part"), "p_type", "STEEL o").select("p_partkey")
+    return lists.search(_t(spark, d, "part"), "p_name", "OLD b").select("p_partkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%77%' OR c_custkey = 77")
@@ -394,7 +429,29 @@ def intl_names(spark, d):
     return v.select("raw", name["main"].alias("main"), name["alias"].alias("alias"), registry.sanction_code(F.col("raw")).alias("code"))
 
 
-_FORMS = [("Иванов", "m", "иванов иванова иванову иванова ивановым иванове"), ("Иванова", "f", "иванова ивановой ивановой иванову ивановой ивановой"), ("Достоевский", "m", "достоевский достоевского достоевскому достоевского достоевским достоевском"), ("Шевченко", "m", "шевченко шевченко шевченко шевченко шевченко шевченко"), ("Галуа", "m", "галуа галуа галуа галуа галуа галуа")]
+# a row for each rule of the cascade; the first variant of each case
+_FORMS = [
+    ("Иванов", "m", "иванов иванова иванову иванова ивановым иванове"),
+    ("Иванова", "f", "иванова ивановы иванове иванову ивановой иванове"),
+    ("Достоевский", "m", "достоевский достоевского достоевскому достоевского достоевским достоевском"),
+    ("Ковальская", "f", "ковальская ковальской ковальской ковальскую ковальской ковальской"),
+    ("Зимняя", "f", "зимняя зимней зимней зимнюю зимней зимней"),
+    ("Толстой", "m", "толстой толстого толстому толстого толстым толстом"),
+    ("Дикий", "m", "дикий дикего дикему дикего диким дикем"),
+    ("Белый", "m", "белый белого белому белого белым белом"),
+    ("Лебедь", "m", "лебедь лебедя лебедю лебедя лебедем лебеде"),
+    ("Лебедь", "f", "лебедь лебедь лебедь лебедь лебедь лебедь"),
+    ("Гайдай", "m", "гайдай гайдая гайдаю гайдая гайдаем гайдае"),
+    ("Заяц", "m", "заяц заяца заяцу заяца заяцем заяце"),
+    ("Дюма", "m", "дюма дюма дюма дюма дюма дюма"),
+    ("Чайка", "m", "чайка чайки чайке чайку чайкой чайке"),
+    ("Глинка", "f", "глинка глинки глинке глинку глинкой глинке"),
+    ("Берия", "m", "берия берии берие берию берией берие"),
+    ("Шевченко", "m", "шевченко шевченко шевченко шевченко шевченко шевченко"),
+    ("Галуа", "m", "галуа галуа галуа галуа галуа галуа"),
+    ("де Голль", "m", "де голль де голля де голлю де голля де голлем де голле"),
+    ("Римский-Корсаков", "m", "римский-корсаков римского-корсакова римскому-корсакову римского-корсакова римским-корсаковым римском-корсакове"),
+]
 
 
 @query("SELECT surname, gender, forms FROM " + _sql_values(_FORMS, "surname, gender, forms"))
@@ -410,6 +467,15 @@ def surname_match(spark, d):
     return match.surname_match(words, spark.createDataFrame([("Иванов",), ("Достоевский",), ("Шевченко",)], "surname string"), names.all_surname_forms(F.col("surname"))).select("surname", "word")
 
 
+_SOUGHT = [("of", "m"), ("Der", "f"), ("Толстой", "m")]
+
+
+@query("SELECT doc_id, surname, gender, matched_case, count(*)::BIGINT AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[А-Яа-яЁёA-Za-z]+(?:-[А-Яа-яЁёA-Za-z]+)?'))) AS w FROM documents) JOIN " + _sql_values(_SOUGHT, "surname, gender", "v") + " ON w = lower(surname), (VALUES ('nom'), ('gen'), ('dat'), ('acc'), ('ins'), ('pre')) c(matched_case) GROUP BY ALL")
+def surname_index_find(spark, d):
+    index = names.surname_index(spark.createDataFrame(_SOUGHT, "surname string, gender string"))
+    return match.surnames_found(_t(spark, d, "documents"), index).groupBy("doc_id", "surname", "gender", "matched_case").agg(F.count(F.lit(1)).alias("n"))
+
+
 _PEOPLE = [("Иванов Иван Иванович", "m"), ("Петрова Анна Сергеевна", "f"), ("Ким Мария", "f"), ("Ли", "m")]
 
 

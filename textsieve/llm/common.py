@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,3 +88,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
             held += int(n)
         if start < b.num_rows:
             yield b.slice(start)
+
+
+_BASE = 0x9E3779B97F4A7C15
+#: A random odd number for each byte, and the powers of an odd base and of its inverse, as far as they have been asked for.
+BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse. The sum of BYTE[byte] * base**place over a string's bytes, times
+    inverse**start, is the same wherever the string starts."""
+    if not _powers or len(_powers[0]) < n:
+        more = 1 << max(12, (n - 1).bit_length())
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.full(more, base, np.uint64)
+            out[0] = 1
+            _powers.append(np.cumprod(out, dtype=np.uint64))
+    return _powers[0][:n], _powers[1][:n]
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """The running sums of BYTE[byte] * base**place, one more than bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums

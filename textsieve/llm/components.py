@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its smallest node) of all nodes of edges (a, b: long, never null). Alternates large and small
     stars, which join every node to the smallest one it can see; the number of rounds grows with the logarithm of the
-    longest path. Minima are partially computed before each shuffle, and each round is a written table."""
+    longest path. Minima are partially computed before each shuffle, and each round is a written table; forget() frees the
+    last one."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -23,11 +24,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        forget(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out._textsieve_path = now._textsieve_path
+    return out

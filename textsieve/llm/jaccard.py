@@ -16,52 +16,82 @@ and does not compare boxes of one component. A large shard is cut into blocks, a
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import byte_sums, forget, powers, slices, written
 from .components import components
 
 GROUPS, COARSE, FAN_OUT, WORDS = 1024, 128, 16, 5
 #: Members of a shard, or of a block of a larger one, that one task compares with each other or with those of another block.
 BLOCK = 1000
-_MEMO = 300_000
+#: Bytes that are hashed at once.
+_SEGMENT = 1 << 19
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACE = re.compile(rb"[\t-\r ]")
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, odd in ((32, 3), (29, 4)):
+        h ^= h >> np.uint64(shift)
+        h *= _ODD[odd]
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of each word, in order."""
+    hashes, places, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + _SEGMENT)
+        end = cut.start() if cut else len(data)
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        space = _IS_SPACE[part]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edges = np.concatenate([[] if space[0] else [0], edges, [] if space[-1] else [len(part)]]).astype(np.int64)
+        starts, ends = edges[::2], edges[1::2]
+        sums = byte_sums(part)
+        hashes.append(_mixed((sums[ends] - sums[starts]) * powers(len(part) + 1)[1][starts]))
+        places.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _combined(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of so many words."""
+    n = len(h) - width + 1
+    total = h[:n] * _ODD[0] + np.uint64(width)
+    for i in range(1, width):
+        total *= _ODD[1]
+        total += h[i : i + n] * _ODD[(i % 4) + 1]
+    return _mixed(total)
 
 
-_words = _WordHashes()
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+def hashed(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the hashes (64 bits) of its shingles of so many words, in order; of all words, if there are fewer."""
+    parts = [(t or "").encode().lower() for t in texts]
+    h, places = _words(b"\n".join(parts))
+    bounds = np.searchsorted(places, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+    runs = _combined(h, words) if len(h) >= words else h[:0]
+    for a, z in itertools.pairwise(bounds.tolist()):
+        yield runs[a : z - words + 1] if z - a >= words else _combined(h[a:z], z - a) if z > a else h[:0]
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes (64 bits) of a text's shingles of so many words; all words, if there are fewer."""
-    return np.unique(_hashes(text, words))
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
-def _hashes(text: str, words: int = WORDS) -> np.ndarray:
-    found = text.encode().lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(h))
-    n = len(h) - width + 1
-    total = np.full(n, width, np.uint64) * _ODD[4]
-    for i in range(width):
-        total = (total ^ (h[i : i + n] * _ODD[i % 4 or 0])) * _ODD[(i + 1) % 5]
-        total ^= total >> np.uint64(29)
-    return total
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return distinct(next(hashed([text], words)))
 
 
 def frequent(docs: DataFrame, share: float = 0.001, text_col: str = "text") -> np.ndarray:
@@ -72,12 +102,9 @@ def frequent(docs: DataFrame, share: float = 0.001, text_col: str = "text") -> n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, seen, n_docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0
-        for b in slices(batches, 0, 4 << 20):
-            sets = [_hashes(x) for x in b.column(0).to_pylist() if x]
+        for b in slices(batches, 0, 1 << 20):
             n_docs, seen = n_docs + b.num_rows, seen + 1
-            if not sets:
-                continue
-            new, times = np.unique(np.concatenate(sets), return_counts=True)
+            new, times = np.unique(np.concatenate([*hashed(b.column(0).to_pylist()), np.empty(0, np.uint64)]), return_counts=True)
             new, times = new[times > 1], times[times > 1]
             merged = np.concatenate([keys, new])
             order = np.argsort(merged, kind="stable")
@@ -103,14 +130,13 @@ def first_shingles(own: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray
     return np.concatenate([own[~late], own[late]])[:wanted]
 
 
-def _sets(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, sign and sign2 (of the set), counts, first shingles."""
+def _sets(docs: DataFrame, hot: np.ndarray, percent: int, with_text: bool = False) -> DataFrame:
+    """doc_id, n, sign and sign2 (of the set), counts, first shingles; and text, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, 4 << 20):
+        for b in slices(batches, 1, 1 << 20):
             n, signs, signs2, counts, firsts = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                own = shingles(text or "")
+            for own in map(distinct, hashed(b.column(1).to_pylist())):
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 n.append(len(own))
                 signs.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -118,9 +144,10 @@ def _sets(docs: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                 counts.append(np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32).tobytes())
                 firsts.append(first_shingles(own, hot, percent).view(np.int64) if len(own) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts) if firsts else []))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signs, pa.int64()), pa.array(signs2, pa.int64()), pa.array(counts, pa.binary()), lists], names=["doc_id", "n", "sign", "sign2", "counts", "firsts"])
+            more = {"text": b.column(1)} if with_text else {}
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(signs, pa.int64()), pa.array(signs2, pa.int64()), pa.array(counts, pa.binary()), lists, *more.values()], names=["doc_id", "n", "sign", "sign2", "counts", "firsts", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sign long, sign2 long, counts binary, firsts array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sign long, sign2 long, counts binary, firsts array<long>" + ", text string" * with_text)
 
 
 def _shards(sets: DataFrame) -> DataFrame:
@@ -172,8 +199,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             out = []
             for doc, left, right in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if of != (doc, left):
-                    of, own = (doc, left), shingles(left or "")
-                other = shingles(right or "")
+                    of, own = (doc, left), shingles(left)
+                other = shingles(right)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 out.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
@@ -369,7 +396,9 @@ def _settled(candidates: DataFrame, links: DataFrame | None, found: DataFrame |
         new = now.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         if not last or k + 1 < rounds + whole:
-            found = components(links)
+            before, found = found, components(links)
+            if before is not None:
+                forget(before)
     return links, found
 
 
@@ -377,25 +406,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link if their shingle sets have at least `percent` of their union in
     common; component_id is the least doc_id that links reach, its own included.
 
-    A null, empty or blank text has no shingles and links with nothing. Rows without an id are left out; rows that repeat
-    an id are one document to links (what one of them links to, the id links to), each with a row of its own in the
-    result; other columns take no part."""
+    A null, empty or blank text has no shingles and links with nothing; a text may have any length; an empty table gives an
+    empty one. Rows without an id are left out. Rows that repeat an id are one document, each with a row of its own in the
+    result: equal sets are links whatever their ids, and of an id's different sets that of the least hash is compared with
+    others. Other columns take no part."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sets = written(_sets(docs, frequent(docs), percent), "sets")
-    equal = sets.where("n > 0").groupBy("sign", "sign2").agg(F.min("doc_id").alias("same_as"))
-    shards = written(_shards(sets.where("n > 0")), "shards")
-    points = written(sets.select("doc_id", "n", "counts").join(shards.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "points")
-    texts = written(docs.join(points.select("doc_id"), "doc_id", "left_semi"), "texts")
+    ids = written(sets.select("doc_id", "n", "sign", "sign2"), "ids")
+    full = ids.where("n > 0")
+    equal = full.groupBy("sign", "sign2").agg(F.min("doc_id").alias("same_as"))
+    several = written(full.groupBy("doc_id").agg(F.min("sign").alias("least"), F.max("sign").alias("most")).where("least <> most").select("doc_id", "least"), "several")
+    own = sets.where("n > 0")
+    if not several.isEmpty():
+        own = own.join(several, "doc_id", "left").where("least is null or sign = least").drop("least")
+    shards = written(_shards(own), "shards")
+    points = written(own.select("doc_id", "n", "counts", "sign").join(shards.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "points")
+    forget(sets)
+    texts = docs.join(points.select("doc_id"), "doc_id", "left_semi")
+    if not several.isEmpty():  # the texts of the sets that are compared
+        marked = _sets(texts.join(several, "doc_id", "left_semi"), np.empty(0, np.uint64), percent, True).join(several, "doc_id").where("sign = least")
+        texts = texts.join(several, "doc_id", "left_anti").unionByName(marked.groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = written(texts.dropDuplicates(["doc_id"]), "texts")
 
     # 1: members and their shard's center
     near = shards.where("doc_id <> center").where(_similar_sizes("n", "center_n", percent)).select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
-    links, found = _settled(written(_bounded(near, points, percent), "near"), None, None, texts, percent, 2, False)
+    near = written(_bounded(near, points, percent), "near")
+    links, found = _settled(near, None, None, texts, percent, 2, False)
+    forget(near)
 
     # 2: what different components have in a shard, by its tree
     members = _in_components(shards, found, "doc_id", "component")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("mark"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("mark2")).where("x <> y")
     once = written(mixed.groupBy("size", "mark", "mark2").agg(F.min("key").alias("key")).select("key", "size"), "once")  # many shards have the same members
     units = written(_units(members.select("key", "doc_id", "component"), once), "units")
+    forget(shards, once)
     counts = points.select("doc_id", "counts")
     likeliest = lambda pairs: pairs.groupBy("a", "b").agg(F.max("shared").alias("shared"))
     # the likeliest pairs that span what may be linked: as many as members, however large a group
@@ -406,10 +450,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     open_units = _in_components(_in_components(spans, found, "a", "x"), found, "b", "y").where("x <> y").select("unit").distinct()
     rest = _in_components(units.join(open_units, "unit", "left_semi").drop("component"), found, "doc_id", "component")
     pairs = written(likeliest(_tree_pairs(rest.join(counts, "doc_id"), percent, False)), "pairs")
+    forget(units, spans, points)
     if not pairs.isEmpty():
-        linked, _ = _settled(pairs, linked, found, texts, percent, 1, True, last=True)
+        linked, found = _settled(pairs, linked, found, texts, percent, 1, True, last=True)
+    forget(texts, pairs, found)
 
     # equal sets, and ids that are repeated, are links too
-    same = sets.where("n > 0").join(equal, ["sign", "sign2"]).where("doc_id <> same_as").select(F.col("same_as").alias("a"), F.col("doc_id").alias("b"))
+    same = full.join(equal, ["sign", "sign2"]).where("doc_id <> same_as").select(F.col("same_as").alias("a"), F.col("doc_id").alias("b"))
     final = components(linked.unionByName(same))
-    return sets.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return ids.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -26,35 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, slices, written
+from .common import byte_sums, forget, powers, slices, written
 
 GRAM = 32
 #: Rows of distinct surroundings that are sorted at once; a bucket of more is split first.
 BUCKET_ROWS = 50_000
 _SEGMENT = 4 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_up, _down = _powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
-
-
 def _window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window of `width` bytes, the same wherever the bytes are the same."""
-    global _up, _down
-    if len(data) + 1 > len(_up):
-        _up, _down = _powers(_BASE, 2 * len(data) + 1), _powers(_INVERSE, 2 * len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _up[: len(data)], out=sums[1:])
-    h = (sums[width:] - sums[:-width]) * _down[: len(data) - width + 1]
+    sums = byte_sums(data)
+    h = (sums[width:] - sums[:-width]) * powers(len(data) + 1)[1][: len(data) - width + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with nulls, empty texts, ties, repeats and extra columns."""
 
 import hashlib
+import itertools
 import re
 from array import array
 
@@ -50,13 +51,13 @@ def test_prefix_table():
 
 def test_packing(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    rows = packing.token_pieces(docs_of(spark, texts), path, 50).collect()
+    slow, pattern = Tokenizer.from_file(path), public_tokenizers.PATTERN
+    texts = [*texts, "a<|endoftext|>b <|endoftext|><|endoftext|>", "<|endoftext| > 'LL x  \n"]
+    rows = packing.token_pieces(docs_of(spark, texts), path, pattern, 50).collect()
     for i, t in enumerate(texts):
         mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
         assert [x for r in mine for x in array("I", bytes(r["ids"]))] == [*slow.encode(t or "", add_special_tokens=False).ids, 0]
-    packed = packing.pack(packing.token_pieces(docs_of(spark, texts), path, 50).drop("ids"), packing.Capacity(tokens=50, attention=2500)).collect()
+    packed = packing.pack(packing.token_pieces(docs_of(spark, texts), path, pattern, 50).drop("ids"), packing.Capacity(tokens=50, attention=2500)).collect()
     assert len(packed) == len(rows)
     by = {}
     for r in packed:
@@ -67,7 +68,18 @@ def test_packing(spark, texts):
             assert offset == at
             at += length
         assert at <= 50
-    assert packing.pack(packing.token_pieces(docs_of(spark, []), path)).count() == 0
+    assert packing.pack(packing.token_pieces(docs_of(spark, []), path, pattern)).count() == 0
+
+
+def test_packing_keeps_every_capacity():
+    draw = np.random.default_rng(12)
+    lengths = np.sort(draw.integers(1, 40, 300))[::-1]
+    for capacity in (packing.Capacity(100, 3, 10_000), packing.Capacity(100, 100, 2000), packing.Capacity(100, 2, 1700, (1.0, 1.0, 1.0))):
+        bins, offsets = packing.fit(lengths, capacity)
+        for b in np.unique(bins):
+            mine = lengths[bins == b]
+            assert mine.sum() <= capacity.tokens and len(mine) <= capacity.documents and (mine**2).sum() <= capacity.attention
+            assert offsets[bins == b].tolist() == [0, *np.cumsum(mine)[:-1].tolist()]
 
 
 def test_chat(spark):
@@ -76,6 +88,10 @@ def test_chat(spark):
     got = {r["conv_id"]: r for r in chat.digests(out).collect()}
     assert got[1]["loss_sha256"] == hashlib.sha256("<|im_start|>ok\\n".encode()).hexdigest() and got[2]["loss_chars"] == 2 and got[None]["n_turns"] == 1
     assert not any(r["rewrites"] for r in out.collect())
+    keys = spark.createDataFrame([(1, 0, "user", "x")], "conv_id short, turn long, role string, text string")
+    assert chat.format_conversations(keys).first()["conv_id"] == 1 and chat.format_conversations(keys.limit(0)).count() == 0
+    last_only = chat.render([("a", "x" + chat.MARK + "y"), ("b", "2")], lambda t: f"{len(t)}:" + "".join(x for _, x in t))
+    assert [last_only.output[s.text_start : s.text_end] for s in last_only.spans] == ["x" + chat.MARK + "y", "2"]
     assert chat.render([("a", "1"), ("b", "2")], lambda t: f"{len(t)}:" + "".join(x for _, x in t)).rewrites
 
 
@@ -127,6 +143,16 @@ def test_repeats(spark, texts, cap, monkeypatch):
     assert substrings.cut_texts(docs_of(spark, texts)).count() == len(texts)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    draw = np.random.default_rng(13)
+    a, b = ("".join(draw.choice(list("abcdefgh "), 400)) for _ in range(2))
+    rows = docs_of(spark, [a, a[:200], b, b], [1, 2, 2, 2])
+    kept = sorted(bytes(r["kept"]).decode() for r in substrings.without_repeats(rows).collect())
+    assert kept == sorted([a, "", b, b])  # the half is gone, the other text of its id is whole
+    cut = sorted((r["doc_id"], r["text"]) for r in substrings.cut_texts(rows).collect())
+    assert cut == sorted([(1, a), (2, ""), (2, b), (2, b)])
+
+
 def test_neighbours(spark):
     x = np.random.default_rng(3).normal(size=(300, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, x[0].tolist()), (301, None), (302, [0.0] * 16), (303, [float("nan")] * 16), (304, [None] * 16), (305, [1.0])]
@@ -164,7 +190,7 @@ def test_classifiers(spark):
     clean = ["".join(draw.choice(list("aeiourstln"), 6)) for _ in range(400)]
     said = [(" ".join(draw.choice(clean, 40)), 0) for _ in range(120)]
     said += [(" ".join([*draw.choice(clean, 30), *draw.choice(["wombatic", "dufflehead"], 4)]), 1) for _ in range(60)]
-    model = toxicity.fit([(toxicity.tokens_of(t), y) for t, y in said])
+    model = toxicity.fit([(toxicity.tokens_of(t), len(toxicity.tokens_of(t)), y) for t, y in said])
     score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs_of(spark, [said[0][0], said[-1][0], "w.o.m.b.a.t.i.c dufflexhead wombatic " + said[1][0], None]), model).collect()}
     assert score[0] < 0.5 < score[1] and score[2] > 0.5 and score[3] < 0.5
     labels = spark.createDataFrame([(i, int(i % 3 > 0), None) for i in range(90)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
@@ -190,8 +216,7 @@ def test_fingerprint_without_rare_terms(spark):
     texts = [*common, *copies, *rest, "", None]
     rows = {r["doc_id"]: r for r in fingerprint.edited_and_next(docs_of(spark, texts)).collect()}
     prints = [rows[i]["fingerprint"] for i in range(len(texts))]
-    empty = "." * (fingerprint.SUBSETS - 1)
-    assert prints[-1] == prints[-2] == empty and empty not in prints[:-2]
+    assert prints[-1] == prints[-2] == "" and "" not in prints[:-2]
     assert len(set(prints[:6])) == 5 and prints[0] == prints[5]  # the same terms
     assert len(set(prints[6:46])) == 1 and prints[6] not in prints[:6] + prints[46:]
     for i in range(len(texts)):
@@ -280,3 +305,33 @@ def test_neighbours_recall_on_table(spark):
     contract = [h for i, h in hits.items() if i % 100 == 0]
     print("recall", len(contract), np.mean(contract), len(hits), np.mean(list(hits.values())))
     assert np.mean(contract) >= 0.93 and np.mean(list(hits.values())) >= 0.93
+
+
+def test_kernel():
+    """The folded table against the kernel summed over pairs of subsequences."""
+    def weights(s):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(s)), 3):
+            if k - i <= toxicity.SPAN:
+                out[s[i], s[j], s[k]] = out.get((s[i], s[j], s[k]), 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+    words = [toxicity.letters_of(w) for w in ("dufflehead", "duff1exhead", "wombat", "abc", "ab")]
+    for a in words:
+        for b in words:
+            x, y = weights(a), weights(b)
+            want = sum(w * y.get(t, 0) for t, w in x.items()) / toxicity._NORM[len(a)] / toxicity._NORM[len(b)]
+            assert abs(toxicity.applied(toxicity.weights_of(a), [b])[0] - want) < 1e-9
+
+
+def test_ridge(spark):
+    """Summed products against a direct fit of the same features."""
+    draw = np.random.default_rng(14)
+    stats = draw.normal(size=(200, len(quality.STATISTICS)))
+    y = (stats[:, 0] + stats[:, 1] ** 2 > 1).astype(int)
+    rows = spark.createDataFrame([(s.tolist(), int(k), i % 5) for i, (s, k) in enumerate(zip(stats, y))], "stats array<double>, quality int, _part int")
+    model = quality.fit(rows, "quality", n_features=40)
+    fitted = np.arange(200) % 5 != 0
+    z = model.features(stats[fitted])
+    want = np.linalg.solve(z.T @ z + 1e-3 * fitted.sum() * np.eye(41) / 40, z.T @ y[fitted])
+    assert np.allclose(stats[fitted].mean(0), model.mean) and np.allclose(model.weights, want)
+    assert (np.diff(model.levels) >= 0).all()

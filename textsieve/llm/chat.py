@@ -57,22 +57,25 @@ class Rendered:
 def render(turns: list[Turn], template: Template = chatml) -> Rendered:
     before, spans, rewrites = template([]), [], False
     lead = before
+    mark = MARK
+    while any(mark in x for turn in turns for x in turn):  # one that no turn holds
+        mark += MARK
     for k, (role, text) in enumerate(turns):
         now = template(turns[: k + 1])
-        marked = template([*turns[:k], (role, MARK)])
+        marked = template([*turns[:k], (role, mark)])
         if not now.startswith(before):
             rewrites = True
         shared = len(before) if now.startswith(before) else next((i for i, (a, b) in enumerate(zip(before, now, strict=False)) if a != b), min(len(before), len(now)))
-        at = marked.find(MARK, shared)
-        tail = len(marked) - at - len(MARK)
+        at = marked.find(mark, shared)
+        tail = len(marked) - at - len(mark)
         spans.append(Span(shared, len(now), at, len(now) - tail) if at >= 0 else Span(shared, len(now), len(now), len(now)))
         before = now
     if rewrites:  # each turn's text by a mark in the full conversation
         spans = []
         for k, (role, _) in enumerate(turns):
-            marked = template([*turns[:k], (role, MARK), *turns[k + 1 :]])
-            at = marked.find(MARK)
-            end = len(before) - (len(marked) - at - len(MARK))
+            marked = template([*turns[:k], (role, mark), *turns[k + 1 :]])
+            at = marked.find(mark)
+            end = len(before) - (len(marked) - at - len(mark))
             spans.append(Span(at, end, at, end) if at >= 0 else Span(len(before), len(before), len(before), len(before)))
     return Rendered(before if turns else lead, spans, rewrites)
 
@@ -100,17 +103,19 @@ def format_conversations(turns: DataFrame, template: Template = chatml) -> DataF
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([pa.field("conv_id", KIND[0]), ("output", pa.string()), ("roles", pa.list_(pa.string())), ("text_starts", pa.list_(pa.int32())), ("text_ends", pa.list_(pa.int32())), ("rewrites", pa.bool_())])
+        schema = lambda key: pa.schema([("conv_id", key), ("output", pa.string()), ("roles", pa.list_(pa.string())), ("text_starts", pa.list_(pa.int32())), ("text_ends", pa.list_(pa.int32())), ("rewrites", pa.bool_())])
 
         def done(conv, got: list[Turn]) -> tuple:
             r = render(got, template)
             return conv, r.output, [role for role, _ in got], [s.text_start for s in r.spans], [s.text_end for s in r.spans], r.rewrites
 
         def out(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+            fields = schema(key)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), fields, strict=True)], schema=fields)
 
-        conv, got, found = None, [], []
+        conv, got, found, key = None, [], [], None
         for b in batches:
+            key = b.schema.field(0).type
             for c, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if got and c != conv:
                     found.append(done(conv, got))
@@ -125,7 +130,6 @@ def format_conversations(turns: DataFrame, template: Template = chatml) -> DataF
         if found:
             yield out(found)
 
-    KIND = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]]
     return rows.mapInArrow(run, FORMATTED.format(kind=kind))
 
 

@@ -32,34 +32,32 @@ class Capacity:
 class _Ids:
     """Packed ids of texts by a byte-level tokenizer file of the tokenizers library. Its vocabulary lists merges in the
     order of their ids, so the ids are ranks and tiktoken's merge loop gives the same ids ten times faster; the two are
-    held against each other when a worker loads the file."""
+    held against each other when a worker loads the file. As in the library, a special token's own string in a text is that
+    token, and texts are cut there first."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         import tiktoken
         from tokenizers import Tokenizer, pre_tokenizers
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         # the byte that each character of the vocabulary stands for, as the library itself maps bytes
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-        assert set(byte_of) == set(pre_tokenizers.ByteLevel.alphabet())
-        special = {t.content for t in slow.get_added_tokens_decoder().values()}
+        added = slow.get_added_tokens_decoder()
+        special = {t.content: k for k, t in added.items()}
         ranks = {bytes(map(byte_of.__getitem__, token)): k for token, k in slow.get_vocab().items() if token not in special}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        for text in _SAMPLES:
-            assert self.fast.encode_ordinary(text) == slow.encode(text, add_special_tokens=False).ids, f"{path} isn't a byte-level vocabulary in the order of its merges"
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        same = set(byte_of) == set(pre_tokenizers.ByteLevel.alphabet()) and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        if not same or any(self.fast.encode(text, allowed_special="all") != slow.encode(text, add_special_tokens=False).ids for text in _SAMPLES):
+            raise ValueError(f"{path} isn't a byte-level vocabulary in the order of its merges")
 
     def ids(self, text: str) -> bytes:
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes() if text else b""
+        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
 
 
-#: Fixed value: the pattern by which byte-level tokenizers of this kind split texts.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SAMPLES = ("", "It's 12 o'clock,  and\n\n all is well.\t ", "a<|endoftext|> naïve <|endoftext|><|endoftext|>Größe año façade 東京 😀 #$%", "thndeaing reation ererst" * 5)
 
-_SAMPLES = ("", "It's 12 o'clock,  and\n\n all is well.\t ", "<|endoftext|> naïve Größe año façade 東京 😀 #$%", "thndeaing reation ererst" * 5)
-
-_ids: dict[str, _Ids] = {}
+_ids: dict[tuple[str, str], _Ids] = {}
 
 
 def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
@@ -68,13 +66,13 @@ def pieces_of(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, most) for at in range(first, n, most))]
 
 
-def token_pieces(docs: DataFrame, path: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, pattern: str, most: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids (packed little-endian unsigned 32-bit) of each document's ids and then end_id,
-    cut only where there are more than most. Null texts count as empty (end_id alone); null and repeated ids stay as they
+    cut only where there are more than most; pattern is that by which the tokenizer splits texts. Null texts count as empty (end_id alone); null and repeated ids stay as they
     are; other columns take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids.get(path) or _ids.setdefault(path, _Ids(path))
+        ids = _ids.get((path, pattern)) or _ids.setdefault((path, pattern), _Ids(path, pattern))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for b in slices(batches, 1, 4 << 20):
             rows: list[tuple] = []
@@ -117,11 +115,11 @@ def fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), shard_rows: int = 15_000, id_col: str = "doc_id") -> DataFrame:
-    """pieces (id_col, piece, start, length, more) with sequence_id and offset. Pieces as long as a sequence stand alone,
-    without a shuffle; the others are dealt by a hash to shards of about shard_rows and packed there, so at most one
+    """pieces (id_col, piece, start, length, more) with sequence_id and offset. Pieces that fill a sequence in some dimension
+    stand alone, without a shuffle; the others are dealt by a hash to shards of about shard_rows and packed there, so at most one
     loosely filled sequence is left per shard. Lengths must be from 1 to capacity.tokens. An empty table gives an empty
     one; null ids and repeated rows are packed like any other."""
-    alone = (F.col("length") >= capacity.tokens) | F.lit(capacity.documents <= 1)
+    alone = (F.col("length") >= capacity.tokens) | (F.col("length") * F.col("length") >= capacity.attention) | F.lit(capacity.documents <= 1)
     rest = pieces.where(~alone)
     shards = max(1, -(-rest.count() // shard_rows))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
@@ -137,11 +135,11 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), shard_rows: int = 1
     return packed.unionByName(pieces.where(alone).withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: Capacity = Capacity()) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: Capacity = Capacity()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all documents. The ids themselves only pass from
     the tokenizer to their checksum; what is shuffled is a few numbers a piece."""
 
-    pieces = token_pieces(docs, path, capacity.tokens)
+    pieces = token_pieces(docs, path, pattern, capacity.tokens)
     return pack(written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), capacity)
 
 

@@ -57,7 +57,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_neighbours, op9_chat_format, op10_pack)}

@@ -148,11 +148,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
     return w
 
 
-def fit(documents: list[tuple[list[str], int]], n_landmarks: int = 96, rounds: int = 2, seed: int = 5) -> Model | None:
-    """From (tokens, label) of a bounded number of documents: two thirds fit the machine, the others its probabilities.
-    None unless both labels are among either."""
-    texts = [[c for t in dict.fromkeys(tokens) for c in windows(letters_of(t)) if len(c) >= 3] for tokens, _ in documents]
-    y = np.array([label for _, label in documents])
+def fit(documents: list[tuple[list[str], int, int]], n_landmarks: int = 96, rounds: int = 2, seed: int = 5) -> Model | None:
+    """From (tokens, how many there are with repeats, label) of a bounded number of documents: two thirds fit the machine,
+    the others its probabilities. None unless both labels are among either."""
+    texts = [[c for t in dict.fromkeys(tokens) for c in windows(letters_of(t)) if len(c) >= 3] for tokens, _, _ in documents]
+    y = np.array([label for _, _, label in documents])
     rest = np.zeros(len(y), bool)
     for label in (0, 1):
         rest[np.flatnonzero(y == label)[2::3]] = True
@@ -165,7 +165,7 @@ def fit(documents: list[tuple[list[str], int]], n_landmarks: int = 96, rounds: i
     table, bias = _machine_of_words(vocabulary, toxic, clean, n_landmarks, rounds, np.random.default_rng(seed))
     score = applied(table, vocabulary) + bias
     model = Model(table.astype(np.float32), float(bias), None)
-    worst, n = np.full((len(documents), WORST), -1.5), np.array([len(t) for t, _ in documents])
+    worst, n = np.full((len(documents), WORST), -1.5), np.array([n for _, n, _ in documents])
     for i, h in enumerate(held):
         top = np.sort(score[h])[::-1][:WORST]
         worst[i, : len(top)] = top
@@ -232,20 +232,21 @@ def _machine_of_words(vocabulary: list[bytes], toxic: list[np.ndarray], clean: l
     return table, w[-1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: Callable[[Column], Column], most: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[list[str], int]]:
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: Callable[[Column], Column], most: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[list[str], int, int]]:
     """At most `most` documents of label 1 and 2 * most of label 0, the first by a hash of the id, as their distinct
-    tokens: what reaches the driver is bounded by `most`, however many documents are labelled."""
+    tokens, how many tokens they have, and the label: what reaches the driver is bounded by `most`, however many documents
+    are labelled."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label")).where(~held_out(F.col("_id")))
     chosen = known.where("_label = 1").orderBy(F.xxhash64("_id")).limit(most).unionByName(known.where("_label = 0").orderBy(F.xxhash64("_id")).limit(2 * most))
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(text_col).cast("string"), "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0, 2 << 20):
-            words = [list(dict.fromkeys(tokens_of(x or ""))) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), b.column(1).cast(pa.int32())], names=["words", "label"])
+            words = [tokens_of(x or "") for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([list(dict.fromkeys(w)) for w in words], pa.list_(pa.string())), pa.array(map(len, words), pa.int32()), b.column(1).cast(pa.int32())], names=["words", "n", "label"])
 
-    got = rows.mapInArrow(run, "words array<string>, label int").toArrow()
-    return list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    got = rows.mapInArrow(run, "words array<string>, n int, label int").toArrow()
+    return list(zip(*(c.to_pylist() for c in got.columns), strict=True))
 
 
 _memo: dict = {}
@@ -253,7 +254,8 @@ _memo: dict = {}
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and `score` of every row's whole text: the probability that it is toxic; 0 where there is no model.
-    Null texts count as empty; null and repeated ids stay as they are; other columns take no part."""
+    Null texts count as empty; null and repeated ids stay as they are; a text may have any length; an empty table gives an
+    empty one; other columns take no part."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # 1 MB, of fixed size
 

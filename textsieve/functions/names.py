@@ -112,3 +112,9 @@ def gender(full_name: Column) -> Column:
     parts = F.split(F.lower(F.trim(full_name)), r"\s+")
     first, last = F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.coalesce(F.get(parts, F.lit(2)), F.lit(""))
     return F.when(last.rlike("(ич|ыч)$"), "m").when(last.rlike("(евна|овна|инична)$"), "f").when(first.rlike("(ий|ов|ев|ир)$"), "m").when(first.rlike("[ая]$"), "f").otherwise("m")
+
+
+def split_full_name(c: Column) -> Column:
+    """struct<surname, first, patronymic> of a name of three parts; null of any other."""
+    parts = F.split(F.trim(c), r"\s+")
+    return F.when(F.size(parts) == 3, F.struct(parts[0].alias("surname"), parts[1].alias("first"), parts[2].alias("patronymic")))

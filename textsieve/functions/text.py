@@ -147,3 +147,12 @@ def sequence_equal(a: Column, b: Column) -> Column:
     place; two nulls agree."""
     same = F.zip_with(a, b, lambda x, y: (x["type"] == y["type"]) & ((x["text"] == y["text"]) | x["lemma"].eqNullSafe(y["lemma"]) | x["stem"].eqNullSafe(y["stem"])))
     return (F.size(a) == F.size(b)) & F.forall(same, lambda x: x)
+
+
+def iso_time(c: Column) -> Column:
+    """A time as in ISO 8601, `Z` or an offset at its end; null if it isn't one."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(c), "Z$", "+00:00"))
+
+
+def run_status(running: Column, last: Column) -> Column:
+    return F.when(running, "В работе").when(last.isNull(), "Не проводилось").otherwise("Выполенено")

@@ -55,3 +55,29 @@ def sync(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) ->
     joined = o.join(n, same, "full_outer")
     pick = lambda c: F.when(F.col("n._n"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return joined.select(*(pick(c).alias(c) for c in [*keys, *values]))
+
+
+def with_prefix_id(keys: DataFrame, column: str, prefix: str) -> DataFrame:
+    """id: what stands between the prefix and the next colon, once each, of keys that begin with the prefix."""
+    return keys.where(F.col(column).startswith(prefix)).select(F.split_part(F.substring(column, len(prefix) + 1, 1 << 30), F.lit(":"), F.lit(1)).alias("id")).distinct()
+
+
+def without_prefix(keys: DataFrame, column: str, prefix: str) -> DataFrame:
+    return keys.where(F.col(column).isNull() | ~F.col(column).startswith(prefix))
+
+
+def export_text(links: DataFrame) -> DataFrame:
+    """list, content: the distinct phrases of each list, sorted, a line each."""
+    return links.groupBy("list").agg(F.array_join(F.array_sort(F.collect_set("phrase")), "\n").alias("content"))
+
+
+def renamed(links: DataFrame, changes: DataFrame) -> DataFrame:
+    """links (list, phrase) after changes (old, new), but for those whose new phrase is there already."""
+    taken = links.select(F.col("phrase").alias("new")).distinct()
+    allowed = changes.join(taken, "new", "left_anti").select(F.col("old").alias("phrase"), "new")
+    return links.join(F.broadcast(allowed), "phrase", "left").select("list", F.coalesce("new", "phrase").alias("phrase"))
+
+
+def with_companions(files: DataFrame, due: Column) -> DataFrame:
+    """The files (name, stem: what it shares with its companions) that are due, and all of the same stem."""
+    return files.join(files.where(due).select("stem").distinct(), "stem", "left_semi")

@@ -65,3 +65,19 @@ def join_hyphenated(words: DataFrame) -> DataFrame:
         "height": F.greatest("height", "_n.height"),
     }
     return rows.select(*(F.when(F.col("_joins"), merged[c]).otherwise(F.col(c)).alias(c) if c in merged else F.col(c) for c in words.columns))
+
+
+def resolve_overlaps(matches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The matches (start_word, end_word, kind, by_lemma, phrase) of each key that stay if none may share a word with one
+    that comes before it: phrases before words, longer ones first, those found by lemma first, then by place. Only matches
+    that overlap, directly or by way of others, are weighed against each other, so a group is as long as such a chain."""
+    rows = clusters(matches.withColumn("start_pos", F.col("start_word")).withColumn("end_pos", F.col("end_word")).withColumn("span_id", F.col("phrase")), key)
+    rank = F.struct(
+        F.when(F.col("kind") == "phrase", 0).otherwise(1).alias("r0"), (F.col("start_word") - F.col("end_word")).alias("r1"), F.when(F.col("by_lemma"), 0).otherwise(1).alias("r2"),
+        F.col("start_word").alias("s"), F.col("phrase").alias("phrase"), F.col("end_word").alias("e"), F.col("kind").alias("kind"), F.col("by_lemma").alias("by_lemma"),
+    )
+    ranked = rows.groupBy(key, "cluster").agg(F.array_sort(F.collect_list(rank)).alias("all"))
+    none = F.slice("all", 1, 0)
+    meets = lambda a, x: F.exists(a, lambda y: (x["s"] <= y["e"]) & (y["s"] <= x["e"]))
+    kept = F.aggregate("all", none, lambda acc, x: F.when(meets(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return ranked.select(key, F.explode(kept).alias("m")).select(key, F.col("m.phrase").alias("phrase"), F.col("m.s").alias("start_word"), F.col("m.e").alias("end_word"), F.col("m.kind").alias("kind"), F.col("m.by_lemma").alias("by_lemma"))

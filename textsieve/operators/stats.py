@@ -21,4 +21,14 @@ def totals(stats: DataFrame) -> DataFrame:
 
 
 def by_form(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("phrase", "kind", "form").agg(F.count(F.lit(1)).alias("n"))
+    """For each phrase, kind and form the number of matches and the pages."""
+    return matches.groupBy("phrase", "kind", "form").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("page")).alias("pages"))
+
+
+def footnotes(matches: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """kind, key, total, forms (`form:count`, sorted) of matches: words by their lemma in the lexicon (word, lemma), or
+    themselves, phrases as they are; forms are the words of the texts."""
+    known = lexicon.select(F.col("word").alias("phrase"), "lemma").where("lemma <> ''")
+    keyed = matches.join(known, "phrase", "left").withColumn("key", F.when(F.col("kind") == "phrase", F.col("phrase")).otherwise(F.coalesce("lemma", "phrase")))
+    forms = keyed.groupBy("kind", "key", "matched").agg(F.count(F.lit(1)).alias("n"))
+    return forms.groupBy("kind", "key").agg(F.sum("n").cast("long").alias("total"), F.array_sort(F.collect_list(F.concat_ws(":", "matched", "n"))).alias("forms"))

@@ -227,7 +227,7 @@ def candidate_probe(spark, d):
 
 def _found(spark, d):
     m = match.phrase_match(_t(spark, d, "documents"), _phrases(spark))
-    return m.withColumn("page", F.col("doc_id") % 10).withColumn("check_id", stats.check_id("doc_id", "start_word", "end_word")).withColumn("form", F.col("phrase"))
+    return m.withColumn("page", F.col("doc_id") % 10).withColumn("form", F.col("matched"))
 
 
 @query(f"WITH {_W}, {_E}, {_M} SELECT list_key, kind, phrase, count(DISTINCT (doc_id, start_word, end_word))::BIGINT AS n, list_sort(list_distinct(list(page))) AS pages FROM m GROUP BY ALL")
@@ -240,7 +240,7 @@ def stats_totals(spark, d):
     return stats.totals(stats.by_list(_found(spark, d)))
 
 
-@query(f"WITH {_W}, {_E}, {_M} SELECT phrase, kind, phrase AS form, count(*)::BIGINT AS n FROM m GROUP BY ALL")
+@query(f"WITH {_W}, {_E}, {_M} SELECT phrase, kind, phrase AS form, count(*)::BIGINT AS n, list_sort(list_distinct(list(page))) AS pages FROM m GROUP BY ALL")
 def stats_search(spark, d):
     return stats.by_form(_found(spark, d))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import lists, match, spans
-from .catalog import _E, _M, _PATTERNS, _W, _found, _long, _phrases, _sql_values, _t, query
+from ..operators import lists, match, spans, stats
+from .catalog import _E, _KEYS, _M, _PATTERNS, _W, _found, _lexicon, _long, _phrases, _sql_values, _t, query
 
 #: Tokens of each document with their places.
 _T = r"""a AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]+') AS a FROM documents),
@@ -78,10 +78,15 @@ def stats_by_kind(spark, d):
     return _found(spark, d).groupBy("list_key").agg(count("word").alias("words"), count("phrase").alias("phrases"))
 
 
-@query(f"WITH {_W}, {_E}, {_M} SELECT phrase, sum(n)::BIGINT AS total, list_sort(list(form || ':' || n)) AS forms FROM (SELECT phrase, phrase || '/' || page AS form, count(*) AS n FROM m GROUP BY ALL) GROUP BY 1")
+@query(
+    f"WITH {_W}, lk AS (SELECT doc_id, w AS raw, list_transform(w, lambda x: coalesce(list_extract(map_extract({_KEYS}, x), 1), x)) AS w FROM w),"
+    f" lp AS (SELECT phrase, k, list_transform(pw, lambda x: coalesce(list_extract(map_extract({_KEYS}, x), 1), x)) AS pw FROM p), le AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM lk),"
+    " x AS (SELECT CASE WHEN k > 1 THEN 'phrase' ELSE 'word' END AS kind, CASE WHEN k > 1 THEN phrase ELSE split_part(pw[1], '|', 1) END AS key, array_to_string(raw[i:i + k - 1], ' ') AS form FROM le JOIN lp ON w[i] = pw[1] AND w[i:i + k - 1] = pw)"
+    " SELECT kind, key, sum(n)::BIGINT AS total, list_sort(list(form || ':' || n)) AS forms FROM (SELECT kind, key, form, count(*) AS n FROM x GROUP BY ALL) GROUP BY kind, key"
+)
 def footnote_stats(spark, d):
-    forms = _found(spark, d).groupBy("phrase", F.concat_ws("/", "form", "page").alias("form")).agg(F.count(F.lit(1)).alias("n"))
-    return forms.groupBy("phrase").agg(F.sum("n").cast("long").alias("total"), F.array_sort(F.collect_list(F.concat_ws(":", "form", "n"))).alias("forms"))
+    found = match.phrase_match(_t(spark, d, "documents"), _phrases(spark), lexicon=_lexicon(spark))
+    return stats.footnotes(found, _lexicon(spark))
 
 
 _NAMES = [("in the and", "in the and"), ("in the and", "in the the"), ("of the the", "the of the")]

@@ -26,20 +26,23 @@ def boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_co
 
 
 def drop_lines(docs: DataFrame, ratio: float = 0.1, min_pages: int = 3, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with text_col without its host's boilerplate lines, and n_lines and n_dropped.
+    """docs with text_col without its host's boilerplate lines, and n_lines and n_dropped (in place of columns of these
+    names).
 
     A document stays even if all its lines go (its text is then empty); a null text stays null with no lines; null hosts
-    are one host of their own; repeated rows are pages of their own. Other columns pass through, whatever their names."""
-    known = boilerplate(docs, ratio, min_pages, host_col, text_col).groupBy("__ld_host").agg(F.collect_set("__ld_line").alias("__ld_known"))
-    known = known.withColumn("__ld_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = docs.withColumn("__ld_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("__ld_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-    rows = rows.join(known, ["__ld_host", "__ld_salt"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__ld_known", F.xxhash64(x)), F.lit(False)))
-    rows = rows.withColumn("__ld_all", lines).withColumn("__ld_kept", kept)
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    n_lines, n_kept = F.when(F.col("__ld_all").isNull(), 0).otherwise(n("__ld_all")), F.when(F.col("__ld_kept").isNull(), 0).otherwise(n("__ld_kept"))
-    return rows.withColumn("n_lines", n_lines.cast("long")).withColumn("n_dropped", (n_lines - n_kept).cast("long")).withColumn(text_col, F.array_join("__ld_kept", "\n")).drop("__ld_host", "__ld_salt", "__ld_known", "__ld_all", "__ld_kept")
+    are one host of their own; repeated rows are pages of their own; a text may have any length; an empty table gives an
+    empty one. Other columns pass through, whatever their names."""
+    known = boilerplate(docs, ratio, min_pages, host_col, text_col).groupBy("__ld_host").agg(F.collect_set("__ld_line").alias("known"))
+    known = known.select("__ld_host", "known", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # the row as it is in one column, so that no name can clash; dealt by all of it, so that copies of a page are spread
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.struct("*").alias("page"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__ld_host"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(SALTS)).cast("int").alias("salt"))
+    text = F.col("page")[text_col]
+    rows = rows.join(known, ["__ld_host", "salt"], "left").withColumn("lines", F.split(text, "\n", -1))
+    rows = rows.withColumn("kept", F.filter("lines", lambda x: ~F.coalesce(F.array_contains("known", F.xxhash64(x)), F.lit(False))))
+    n = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    columns = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("page")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*columns, n("lines").alias("n_lines"), (n("lines") - n("kept")).alias("n_dropped"))
 
 
 #: DuckDB SQL for what op4 returns of the table documents.

@@ -41,19 +41,23 @@ def _running(items: Column, length, start: Column) -> Column:
     return F.slice(sums, 1, F.size(items))
 
 
-def starts(parts: Column, block: int = 256) -> Column:
+def starts(parts: Column) -> Column:
     """Where each of the parts starts in their concatenation; summed by blocks, as one running array over all of a long
-    text's parts would be copied for each part."""
+    text's parts would be copied for each part. A block has as many parts as there are blocks."""
     total = lambda b: F.aggregate(b, F.lit(0), lambda acc, t: acc + F.char_length(t))
-    last = F.greatest(F.lit(0), F.floor((F.size(parts) - 1) / block).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(parts, i * block + 1, F.lit(block)))
     at = lambda bs: _running(F.transform(bs, total), lambda n: n, F.lit(0))
-    return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, at(bs), lambda b, s: _running(b, F.char_length, s))))
+
+    def summed(block: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(parts) - 1) / block).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(parts, i * block + 1, block))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, at(bs), lambda b, s: _running(b, F.char_length, s))))
+
+    return _let(F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(parts))).cast("int")), summed)
 
 
 def tokens(c: Column) -> Column:
     """array<struct<text, start, type>>: tokens tile the text; start counts characters of the original text."""
-    kind = lambda t: F.when(t.rlike(rf"^{WORD}"), "word").when(t.rlike(rf"^{SPACE}"), "space").otherwise("punct")
+    kind = lambda t: F.when(t == " ", "space").when(t.rlike(rf"^{WORD}"), "word").when(t.rlike(rf"^{SPACE}"), "space").otherwise("punct")
     each = lambda t, s: F.struct(folded(t).alias("text"), s.alias("start"), kind(t).alias("type"))
     return _let(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda parts: F.zip_with(parts, starts(parts), each))
 

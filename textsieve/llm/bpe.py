@@ -13,7 +13,9 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks, and which tokens may follow each other."""
+    """Ranks, which tokens may follow each other, and an automaton that finds all tokens in a string of bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -39,15 +41,28 @@ class Vocabulary:
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self._follows: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The encoding by definition: merge the adjacent pair of least rank, leftmost first, until none is left."""
+        self._edges: dict[tuple[int, bool], list[tuple[bytes, float, float]]] = {}
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token, rank in ranks.items():
+            found.add_word(token.decode("latin-1"), rank)
+        found.make_automaton()
+        self.tokens_in = found.iter
+
+    def merges(self, piece: bytes) -> Iterator[list[bytes]]:
+        """The parts of a piece as the adjacent pair of least rank is merged, leftmost first, until none is left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
+        yield parts
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
             if parts[best] + parts[best + 1] not in self.ranks:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            yield parts
+
+    def merged(self, piece: bytes) -> list[int]:
+        """The encoding by definition."""
+        for parts in self.merges(piece):
+            pass
         return [self.ranks[p] for p in parts]
 
     def whole(self, token: int) -> bool:
@@ -56,14 +71,82 @@ class Vocabulary:
             known = self._whole[token] = self.merged(self.bytes_of[token]) == [token]
         return known
 
+    def _edge(self, token: int, at_end: bool) -> list[tuple[bytes, float, float]]:
+        """What stands at the end (or start) of a token's bytes while these are merged: (part, rank of the greatest merge
+        until it is there, rank of the greatest merge until it is merged away)."""
+        if (known := self._edges.get((token, at_end))) is None:
+            if len(self._edges) >= MEMO:
+                self._edges.clear()
+            known, at, done, n = [], -1.0, -1.0, 0
+            for parts in self.merges(self.bytes_of[token]):
+                part = parts[-1 if at_end else 0]
+                if n:
+                    done = max(done, merge_rank(before, parts, self.ranks))
+                if n and part != last:
+                    known.append((last, at, done))
+                    at = done
+                before, last, n = list(parts), part, n + 1
+            known.append((last, at, float("inf")))
+            self._edges[token, at_end] = known
+        return known
+
     def follows(self, left: int, right: int) -> bool:
-        """Do the bytes of both, merged from scratch, give these two tokens?"""
+        """Do the bytes of both, merged from scratch, give these two tokens? They do unless a part at the end of the left
+        one and a part at the start of the right one, there at the same time, are merged."""
         if (known := self._follows.get((left, right))) is None:
             if len(self._follows) >= MEMO:
                 self._follows.clear()
-            known = self._follows[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._follows[left, right] = self._apart(left, right)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        if not (self.whole(left) and self.whole(right)):
+            return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        for a, from_a, to_a in self._edge(left, True):
+            for b, from_b, to_b in self._edge(right, False):
+                rank = self.ranks.get(a + b)
+                if rank is not None:
+                    when = max(rank, from_a, from_b)
+                    # of merges of one rank the leftmost comes first
+                    if when < to_a and when <= to_b:
+                        return False
+        return True
+
+    def extend(self, last: list[int], piece: bytes) -> None:
+        """Append the last tokens of all prefixes of the piece longer than those that `last` has. A prefix's last token is
+        one that ends it and follows the last token of what comes before."""
+        done = len(last)
+        last += [-1] * (len(piece) + 1 - done)
+        base = max(0, done - self.longest)
+        follows, length, known, left = self.follows, self.length, self._follows, len(last) - done
+        for j, token in self.tokens_in(piece[base:].decode("latin-1")):
+            j += base + 1
+            if j >= done and last[j] < 0:
+                if i := j - length[token]:
+                    if (ok := known.get((last[i], token))) is None:
+                        ok = follows(last[i], token)
+                else:
+                    ok = self.whole(token)
+                if ok:
+                    last[j] = token
+                    left -= 1
+        if left:
+            raise ValueError("a byte has no token")
+
+    def ids(self, last: list[int]) -> list[int]:
+        """The encoding of the longest prefix, from the last tokens of all."""
+        out, j, length = [], len(last) - 1, self.length
+        while j:
+            out.append(token := last[j])
+            j -= length[token]
+        return out[::-1]
+
+
+def merge_rank(before: list[bytes], after: list[bytes], ranks: dict[bytes, int]) -> int:
+    """The rank of the one merge between two states of the parts."""
+    at = next((i for i, (x, y) in enumerate(zip(before, after, strict=False)) if x != y), len(after) - 1)
+    return ranks[after[at]]
+
 
 class PrefixTable:
     """The encodings of all prefixes of a piece. last[j] is the last token of the encoding of the first j bytes."""
@@ -72,122 +155,99 @@ class PrefixTable:
         self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
         self.append(piece)
 
-    def _entry(self, j: int) -> int:
-        ranks, piece, last, follows = self.vocabulary.ranks, self.piece, self.last, self.vocabulary.follows
-        for i in range(max(0, j - self.vocabulary.longest), j):
-            token = ranks.get(piece[i:j])
-            if token is not None and (follows(last[i], token) if i else self.vocabulary.whole(token)):
-                return token
-        raise ValueError("a byte has no token")
-
     def append(self, more: bytes) -> None:
-        start = len(self.piece)
         self.piece += more
-        for j in range(start + 1, len(self.piece) + 1):
-            self.last.append(self._entry(j))
+        self.vocabulary.extend(self.last, self.piece)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
-        """Put new in place of bytes start to end. Entries up to start stay; those behind the edit are computed until a
-        run of them, as long as the longest token, equals the old ones, and the rest is taken over. Returns how many
-        were computed."""
+        """Put new in place of bytes start to end. Entries up to start stay; those behind the edit are computed, block by
+        block, until a run of them as long as the longest token equals the old ones, and the rest is taken over. Returns
+        how many were computed."""
         old, shift = self.last, len(new) - (end - start)
         self.piece = self.piece[:start] + new + self.piece[end:]
-        self.last, same, done = old[: start + 1], 0, 0
-        for j in range(start + 1, len(self.piece) + 1):
-            self.last.append(self._entry(j))
-            done += 1
-            same = same + 1 if j - shift > end and old[j - shift] == self.last[j] else 0
+        self.last, same = old[: start + 1], 0
+        while (at := len(self.last)) <= len(self.piece):
+            self.vocabulary.extend(self.last, self.piece[: at + self.vocabulary.longest - 1])
+            for j in range(at, len(self.last)):
+                same = same + 1 if j - shift > end and old[j - shift] == self.last[j] else 0
             if same >= self.vocabulary.longest:
-                self.last += old[j - shift + 1 :]
-                break
-        return done
+                at = len(self.last)
+                self.last += old[at - shift :]
+                return at - start - 1
+        return len(self.piece) - start
 
     def ids(self) -> list[int]:
-        out, j = [], len(self.piece)
-        while j:
-            out.append(self.last[j])
-            j -= len(self.vocabulary.bytes_of[self.last[j]])
-        return out[::-1]
-
-
-class _Odd(Exception):
-    """The text has white space that is not one space between two words."""
+        return self.vocabulary.ids(self.last)
 
 
 class _Words(dict):
-    """Packed ids of `prefix + word`, computed when first asked for."""
+    """Packed ids of `prefix + word`, computed when first asked for. When full, it starts anew but for the words that are
+    asked for again."""
 
-    def __init__(self, encode, prefix: str):
-        self.encode, self.prefix = encode, prefix
+    def __init__(self, encoder: Encoder, prefix: str):
+        self.piece, self.by_pattern, self.prefix = encoder.piece, encoder.by_pattern, prefix
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Odd
         if len(self) >= MEMO:
+            self.before = dict(self)
             self.clear()
-        packed = self[word] = self.encode(self.prefix + word)
+        packed = self.before.get(word)
+        if packed is None:  # letters alone are one match of the pattern
+            packed = (self.piece if word.isalpha() else self.by_pattern)(self.prefix + word)
+        self[word] = packed
         return packed
 
 
 class Encoder:
     """Encodes texts to ids, packed as little-endian unsigned 32-bit integers.
 
-    A space between two other characters always starts a match of the pattern, so texts are cut there first and words
-    seen before are looked up. Other white space takes the plain path, the whole text by the pattern.
+    White space after another character always starts a match of the pattern, so texts are cut at spaces first and words
+    seen before are looked up; where a space comes after white space, the words at both sides are one.
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
-        self.prefixes: dict[bytes, int] = {}
-        self.first, self.later = _Words(self.by_pattern, ""), _Words(self.by_pattern, " ")
+        self.first, self.later = _Words(self, ""), _Words(self, " ")
 
     def piece(self, piece: str) -> bytes:
         packed = self.pieces.get(piece)
         if packed is None:
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            data = piece.encode()
-            if len(data) > 64:
-                return array("I", PrefixTable(self.vocabulary, data).ids()).tobytes()
-            packed = self.pieces[piece] = array("I", self._from_prefixes(data)).tobytes()
+            last = [-1]
+            self.vocabulary.extend(last, piece.encode())
+            packed = array("I", self.vocabulary.ids(last)).tobytes()
+            if len(packed) <= 256:
+                if len(self.pieces) >= MEMO:
+                    self.pieces.clear()
+                self.pieces[piece] = packed
         return packed
 
-    def _from_prefixes(self, piece: bytes) -> list[int]:
-        """As PrefixTable, with one table for all pieces, keyed by the prefix itself: only prefixes not seen in any piece
-        before are computed."""
-        last, whole, follows, ranks, n = self.prefixes, self.vocabulary.whole, self.vocabulary.follows, self.vocabulary.ranks, len(piece)
-        if len(last) >= 3 * MEMO:
-            last.clear()
-        seen = n
-        while seen and piece[:seen] not in last:
-            seen -= 1
-        for j in range(seen + 1, n + 1):
-            for i in range(j):
-                token = ranks.get(piece[i:j])
-                if token is not None and (follows(last[piece[:i]], token) if i else whole(token)):
-                    last[piece[:j]] = token
-                    break
-        out, length = [], self.vocabulary.length
-        while n:
-            out.append(token := last[piece[:n]])
-            n -= length[token]
-        return out[::-1]
-
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         words = text.split(" ")
-        try:
-            return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
-        except _Odd:
-            return self.by_pattern(text)
+        if not all(words) or any(map(str.isspace, map(itemgetter(-1), words))):
+            words = list(_joined(words))
+        return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, array("I", packed)))
 
 
+def _joined(words: list[str]) -> Iterator[str]:
+    """The words again, those that are empty or end in white space as one with what follows."""
+    held: list[str] = []
+    for word in words:
+        held.append(word)
+        if word and not word[-1].isspace():
+            yield " ".join(held)
+            held = []
+    if held:
+        yield " ".join(held)
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 

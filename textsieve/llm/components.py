@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from .common import forget, written
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Has each node one edge to a smaller one at most, and that one none? edges (a, b), a greater than b."""
+    seen = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return not seen.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or down + up > 1").count()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its smallest node) of all nodes of edges (a, b: long, never null). Alternates large and small
-    stars, which join every node to the smallest one it can see; the number of rounds grows with the logarithm of the
-    longest path. Minima are partially computed before each shuffle, and each round is a written table; forget() frees the
-    last one."""
+    stars, which join every node to the smallest one it can see, until only stars are left; the number of rounds grows with
+    the logarithm of the longest path. Minima are partially computed before each shuffle, and each round is a written
+    table; forget() frees the last one."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
     for _ in range(rounds):
+        if _stars(now):
+            break
         # large star: larger neighbours go to the least of a node and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -26,12 +33,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         last, now = now, written(small, "edges")
         forget(last)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     out._textsieve_path = now._textsieve_path
     return out

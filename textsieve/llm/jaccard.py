@@ -102,9 +102,9 @@ def frequent(docs: DataFrame, share: float = 0.001, text_col: str = "text") -> n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, seen, n_docs = np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0
-        for b in slices(batches, 0, 1 << 20):
-            n_docs, seen = n_docs + b.num_rows, seen + 1
-            new, times = np.unique(np.concatenate([*hashed(b.column(0).to_pylist()), np.empty(0, np.uint64)]), return_counts=True)
+        for n, held in _held(batches, round(1 / share)):
+            n_docs, seen = n_docs + n, seen + 1
+            new, times = np.unique(held, return_counts=True)
             new, times = new[times > 1], times[times > 1]
             merged = np.concatenate([keys, new])
             order = np.argsort(merged, kind="stable")
@@ -121,6 +121,20 @@ def frequent(docs: DataFrame, share: float = 0.001, text_col: str = "text") -> n
     return np.sort(found.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _held(batches: Iterator[pa.RecordBatch], docs: int, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """How many documents, and the hashes of all their shingles: so many documents at a time, or fewer with most hashes."""
+    n, size, held = 0, 0, []
+    for b in slices(batches, 0, 1 << 20):
+        for h in hashed(b.column(0).to_pylist()):
+            n, size = n + 1, size + len(h)
+            held.append(h)
+            if n >= docs or size >= most:
+                yield n, np.concatenate(held)
+                n, size, held = 0, 0, []
+    if held:
+        yield n, np.concatenate(held)
+
+
 def first_shingles(own: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     """The first of a set in the order of all shingles (hot ones last, else by hash): enough that two sets of this
     similarity share one."""
@@ -375,13 +389,23 @@ def _in_components(rows: DataFrame, found: DataFrame, of: str, name: str) -> Dat
     return rows.join(found.select(F.col("node").alias(of), F.col("component").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
 
-def _settled(candidates: DataFrame, links: DataFrame | None, found: DataFrame | None, texts: DataFrame, percent: int, rounds: int, whole: bool, last: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(links, components) after verifying candidates (a, b, shared). Pairs within one component need no look: in each of
-    `rounds` rounds, of the pairs between two components the likeliest is verified; then, if `whole`, all that are left. `found` are the components of
-    links; with `last`, those that are returned lack the links of the last round."""
-    tried = None
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of new links and those that are known, which are freed."""
+    out = components(links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    if found is not None:
+        forget(found)
+    return out
+
+
+def _settled(candidates: DataFrame, found: DataFrame | None, texts: DataFrame, percent: int, rounds: int, whole: bool) -> DataFrame:
+    """The components after verifying candidates (a, b, shared); found are those before. Pairs within one component need no
+    look: in each of `rounds` rounds, of the pairs between two components the likeliest is verified; then, if `whole`, all
+    that are left."""
+    tried: list[DataFrame] = []
     for k in range(rounds + whole):
-        left = candidates if tried is None else candidates.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        left = candidates
+        for t in tried:
+            left = left.join(t.select("a", "b"), ["a", "b"], "left_anti")
         if found is not None:
             of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
             left = left.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -391,15 +415,10 @@ def _settled(candidates: DataFrame, links: DataFrame | None, found: DataFrame |
         if k < rounds:
             # one for each smaller component, its likeliest: as many as there are components, not pairs of them
             left = left.groupBy(F.greatest("x", "y")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.*")
-        now = written(verified(left, texts, percent), "tried")
-        tried = now if tried is None else tried.unionByName(now)
-        new = now.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if not last or k + 1 < rounds + whole:
-            before, found = found, components(links)
-            if before is not None:
-                forget(before)
-    return links, found
+        tried.append(written(verified(left, texts, percent), "tried"))
+        found = _joined(found, tried[-1].where("linked").select("a", "b"))
+    forget(*tried)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -431,7 +450,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # 1: members and their shard's center
     near = shards.where("doc_id <> center").where(_similar_sizes("n", "center_n", percent)).select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
     near = written(_bounded(near, points, percent), "near")
-    links, found = _settled(near, None, None, texts, percent, 2, False)
+    found = _settled(near, None, texts, percent, 1, False)
     forget(near)
 
     # 2: what different components have in a shard, by its tree
@@ -444,7 +463,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     likeliest = lambda pairs: pairs.groupBy("a", "b").agg(F.max("shared").alias("shared"))
     # the likeliest pairs that span what may be linked: as many as members, however large a group
     spans = written(_tree_pairs(units.join(counts, "doc_id"), percent, True), "spans")
-    linked, found = _settled(likeliest(spans), links, found, texts, percent, 1, True)
+    found = _settled(likeliest(spans), found, texts, percent, 1, True)
     # 3: where all of a unit's were links, what its tree gives is in one component; where one was not, every pair that still
     # lies between two is verified
     open_units = _in_components(_in_components(spans, found, "a", "x"), found, "b", "y").where("x <> y").select("unit").distinct()
@@ -452,10 +471,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = written(likeliest(_tree_pairs(rest.join(counts, "doc_id"), percent, False)), "pairs")
     forget(units, spans, points)
     if not pairs.isEmpty():
-        linked, found = _settled(pairs, linked, found, texts, percent, 1, True, last=True)
-    forget(texts, pairs, found)
+        found = _settled(pairs, found, texts, percent, 1, True)
+    forget(texts, pairs)
 
     # equal sets, and ids that are repeated, are links too
     same = full.join(equal, ["sign", "sign2"]).where("doc_id <> same_as").select(F.col("same_as").alias("a"), F.col("doc_id").alias("b"))
-    final = components(linked.unionByName(same))
+    final = _joined(found, same)
     return ids.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, linededup, neighbours, packing, quality, substrings, toxicity
+from . import bpe, chat, fim, fingerprint, jaccard, linededup, neighbours, packing, quality, substrings, topk, toxicity, trie
 from .common import mod_of_id, table, written
 
 
@@ -60,11 +60,26 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_neighbours, op9_chat_format, op10_pack)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.scaled(table(spark, sf_dir, "embeddings")), lambda i: i % 20 == 0)
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.arranged(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_imatch, op4_line_dedup, op5_byte_bpe, op6_quality, op7_suffix_dedup, op8_neighbours, op9_chat_format, op10_pack, op11_topk, op12_fim, op13_conversation_trie)}
 
 _ESC = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 SQL = {
     "op4_line_dedup": linededup.SQL,
+    "op11_topk": topk.SQL,
+    "op12_fim": fim.SQL,
+    "op13_conversation_trie": trie.SQL,
     "op9_chat_format": f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

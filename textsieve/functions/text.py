@@ -72,10 +72,15 @@ def is_cyrillic(c: Column) -> Column:
 
 
 def windows(items: Column, k: int, key=lambda a: a) -> Column:
-    """array<struct<start, gram>> of all runs of k items, joined by a space; key is applied to the run first."""
-    n = F.size(items) - (k - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct((i - 1).alias("start"), F.array_join(key(F.slice(items, i, k)), " ").alias("gram")))
-    return F.when(n > 0, runs).otherwise(F.slice(runs, 1, 0))
+    """array<struct<start, gram>> of all runs of k items, joined by a space, none of null; key is applied to the run first."""
+
+    def runs(a: Column) -> Column:
+        n = F.size(a) - (k - 1)
+        # of too few items the one run that a sequence from 1 to 1 would give goes
+        made = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct((i - 1).alias("start"), F.array_join(key(F.slice(a, i, k)), " ").alias("gram")))
+        return F.slice(made, F.lit(1), F.greatest(n, F.lit(0)))
+
+    return _let(items, runs)
 
 
 def dehyphenate(c: Column) -> Column:
@@ -120,22 +125,6 @@ def hyphen_pairs(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(f"{WORD}-{WORD}"), F.lit(0))
 
 
-def regex_hits(c: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of the matches over the lower-cased text, end exclusive. The pattern has no groups
-    and no empty matches: a match starts where the pieces and matches before it end."""
-    low = F.lower(c)
-    found, pieces = F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern, -1)
-    fold = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(pieces, 1, F.size(found)).alias("p")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("hits")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("at"),
-            F.concat(acc["hits"], F.array(F.struct((acc["at"] + F.char_length(x["p"])).alias("start"), (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("end"), x["m"].alias("text")))).alias("hits"),
-        ),
-    )
-    return F.when(F.size(found) > 0, fold["hits"]).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
-
-
 def token_at(toks: Column, pos: Column) -> Column:
     """The index of the token that covers a place; tokens tile the text, so it is the last that starts there or before."""
     return F.size(F.filter(toks, lambda t: t["start"] <= pos)) - 1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, registry, text
-from ..operators import lists, match, spans, stats
+from ..operators import automaton, lists, match, spans, stats
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,8 +62,7 @@ e AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS i FROM t
 SELECT doc_id, i::BIGINT AS token_idx, lower(raw) AS token, (sum(length(raw)) OVER (PARTITION BY doc_id ORDER BY i) - length(raw))::BIGINT AS start_pos,
 CASE WHEN regexp_matches(raw, '^[\p{L}\p{N}_]') THEN 'word' WHEN regexp_matches(raw, '^\s') THEN 'space' ELSE 'punct' END AS type FROM e""")
 def tokenize(spark, d):
-    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("i", "x"))
-    return rows.select("doc_id", F.col("i").cast("long").alias("token_idx"), F.col("x.text").alias("token"), F.col("x.start").cast("long").alias("start_pos"), F.col("x.type").alias("type"))
+    return automaton.token_rows(_t(spark, d, "documents"))
 
 
 _WORDS = [("abc123",), ("123",), ("_x1",), ("пит-буль",), ("Ёлка!",), (" Мир ",), ("",)]
@@ -194,20 +193,6 @@ def regex_count(spark, d):
     return match.regex_counts(_t(spark, d, "documents"), _PATTERNS)
 
 
-_FREE = ("common",)
-
-
-@query(
-    f"WITH {_W}, {_LK}, o AS (SELECT doc_id, list_key, phrase, CASE WHEN list_key IN ('common') THEN 'unordered' WHEN k > 1 THEN 'phrase' ELSE 'word' END AS kind FROM ek JOIN pk ON CASE WHEN list_key IN ('common') THEN i + k - 1 <= len(w) AND list_sort(w[i:i + k - 1]) = list_sort(pw) ELSE w[i:i + k - 1] = pw END)"
-    " SELECT doc_id, list_key, phrase, kind, count(*)::BIGINT AS n FROM o GROUP BY ALL"
-    + "".join(f" UNION ALL SELECT doc_id, 'patterns', '{k}', 'regex', len(regexp_extract_all(lower(text), '{p}'))::BIGINT FROM documents WHERE regexp_matches(lower(text), '{p}')" for k, p in _PATTERNS.items())
-)
-def search_all(spark, d):
-    phrases = _phrases(spark).withColumn("ordered", ~F.col("list_key").isin(*_FREE))
-    found = match.search_all(_t(spark, d, "documents"), phrases, _PATTERNS, _lexicon(spark))
-    return found.groupBy("doc_id", "list_key", "phrase", "kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT phrase FROM {_P} WHERE lower(phrase) NOT IN ('of the', 'the')")
 def exclude_list(spark, d):
     gone = spark.createDataFrame([("Of The",), ("THE",)], "x string")
@@ -502,4 +487,4 @@ def upsert_registry(spark, d):
     return lists.upsert(c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name"), c.where("c_custkey % 3 <> 1").select("c_custkey", F.upper("c_name").alias("c_name")), "c_custkey", ["c_name"])
 
 
-from . import matching, records, tasks  # noqa: E402, F401  (they add their queries)
+from . import matching, records, search, tasks  # noqa: E402, F401  (they add their queries)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import lists, match, spans, stats
-from .catalog import _E, _KEYS, _M, _PATTERNS, _W, _found, _lexicon, _long, _phrases, _sql_values, _t, query
+from .catalog import _E, _KEYS, _M, _W, _found, _lexicon, _long, _phrases, _sql_values, _t, query
 
 #: Tokens of each document with their places.
 _T = r"""a AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]+') AS a FROM documents),
@@ -41,23 +41,9 @@ def pos_to_token(spark, d):
     return q.select("doc_id", "pos", text.token_at(text.tokens(F.col("text")), F.col("pos")).cast("long").alias("token_idx"))
 
 
-_HITS = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS pattern_name, unnest(regexp_extract_all(lower(text), '{p}')) AS m, generate_subscripts(regexp_extract_all(lower(text), '{p}'), 1) AS k, string_split_regex(lower(text), '{p}') AS ps, regexp_extract_all(lower(text), '{p}') AS ms FROM documents WHERE regexp_matches(lower(text), '{p}')"
-    for k, p in _PATTERNS.items()
-)
-
-
-@query(f"WITH h AS ({_HITS}), s AS (SELECT doc_id, pattern_name, m, length(array_to_string(ps[1:k], '')) + length(array_to_string(ms[1:k - 1], '')) AS b FROM h) SELECT doc_id, pattern_name, m AS found, b::BIGINT AS start_pos, (b + length(m))::BIGINT AS end_pos FROM s")
-def regex_spans(spark, d):
-    named = lambda k: lambda x: F.struct(F.lit(k).alias("pattern_name"), x["text"].alias("found"), x["start"].alias("start_pos"), x["end"].alias("end_pos"))
-    hits = F.concat(*(F.transform(text.regex_hits(F.col("text"), p), named(k)) for k, p in _PATTERNS.items()))
-    return _t(spark, d, "documents").select("doc_id", F.explode(hits).alias("x")).select("doc_id", "x.pattern_name", "x.found", F.col("x.start_pos").cast("long").alias("start_pos"), F.col("x.end_pos").cast("long").alias("end_pos"))
-
-
 @query(f"WITH {_W}, {_E}, {_M}, {_T}, n AS (SELECT doc_id, i, raw, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM t WHERE regexp_matches(raw, '^[\\p{{L}}\\p{{N}}_]')) SELECT m.doc_id, phrase, start_word::BIGINT AS start_word, lower(substr(text, (x.s + 1)::BIGINT, (y.s + length(y.raw) - x.s)::BIGINT)) AS form FROM m JOIN n x ON m.doc_id = x.doc_id AND start_word = x.j JOIN n y ON m.doc_id = y.doc_id AND end_word = y.j JOIN documents d ON d.doc_id = m.doc_id WHERE kind = 'phrase'")
 def match_form(spark, d):
-    docs = _t(spark, d, "documents")
-    return match.found_forms(docs, match.phrase_match(docs, _phrases(spark)).where("kind = 'phrase'")).select("doc_id", "phrase", *_long("start_word"), "form")
+    return match.phrase_match(_t(spark, d, "documents"), _phrases(spark)).where("kind = 'phrase'").select("doc_id", "phrase", *_long("start_word"), "form")
 
 
 @query(rf"SELECT name, CASE WHEN r THEN 'regex' WHEN len(regexp_extract_all(name, '[\p{{L}}\p{{N}}_]+')) > 1 THEN 'phrase' ELSE 'word' END AS kind FROM (SELECT p_name AS name, p_partkey % 7 = 0 AS r FROM part UNION ALL SELECT c_mktsegment, false FROM customer)")

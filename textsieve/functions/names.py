@@ -73,16 +73,35 @@ def _simple(s: Column, gender: str, y: Column, foreign_ov_in: Column, fixed_a: C
     return out.otherwise(same)
 
 
-def paradigm(c: Column, gender: str, y: Column | None = None, foreign_ov_in: Column | None = None, fixed_a: Column | None = None) -> Column:
+#: What is known of a surname, or of a part of one, beside its letters.
+META = "struct<y_declension:string,foreign_ov_in:boolean,indeclinable_final_a:boolean,override_forms:array<array<string>>>"
+
+
+def paradigm(c: Column, gender: str, y: Column | None = None, foreign_ov_in: Column | None = None, fixed_a: Column | None = None, override: Column | None = None, hyphen_parts: Column | None = None) -> Column:
     """The forms of a surname by case, normalised: an array of CASES, each an array of variants. Particles before it stay,
     parts joined by hyphens decline each. y says how -й declines where the ending leaves it open: adjective, noun or both;
-    foreign_ov_in: -ов and -ин as in foreign names; fixed_a: doesn't decline."""
-    more = (F.lit("auto") if y is None else y, F.lit(False) if foreign_ov_in is None else foreign_ov_in, F.lit(False) if fixed_a is None else fixed_a)
+    foreign_ov_in: -ов and -ин as in foreign names; fixed_a: doesn't decline; override: the forms, whatever the ending, unless
+    the surname is one of the EXCEPTIONS. All these are of surnames of one part; hyphen_parts (array of META) has them for
+    each part of one with hyphens, and counts only if it has as many entries as there are parts."""
+    none = lambda kind: F.lit(None).cast(kind)
+    of = lambda x, kind: none(kind) if x is None else x.cast(kind)
+    forms = "array<array<string>>"
+    whole_meta = F.struct(of(y, "string").alias("y_declension"), of(foreign_ov_in, "boolean").alias("foreign_ov_in"), of(fixed_a, "boolean").alias("indeclinable_final_a"), of(override, forms).alias("override_forms"))
     whole = F.regexp_replace(_normal(c), r"\s+", " ")
     particles = "|".join(PARTICLES)
     lead = F.regexp_extract(whole, rf"^((?:(?:{particles}) )+)\S", 1)
     parts = F.split(whole.substr(F.char_length(lead) + 1, F.char_length(whole)), "-")
-    declined = F.transform(parts, lambda p: F.when(p.isin(PARTICLES) & (F.size(parts) > 1), F.array(*[F.array(p)] * 6)).otherwise(_simple(p, gender, *more)))
+    many = F.size(parts) > 1
+    given = of(hyphen_parts, f"array<{META}>")
+    metas = F.when(~many, F.array(whole_meta)).when(F.size(given) == F.size(parts), given).otherwise(F.array_repeat(none(META), F.size(parts)))
+
+    def one(p: Column, m: Column) -> Column:
+        listed = F.array_contains(F.array(*map(F.lit, EXCEPTIONS[gender])), p)
+        simple = _simple(p, gender, F.coalesce(m["y_declension"], F.lit("auto")), F.coalesce(m["foreign_ov_in"], F.lit(False)), F.coalesce(m["indeclinable_final_a"], F.lit(False)))
+        own = F.transform(m["override_forms"], lambda case: F.transform(case, _normal))
+        return F.when(p.isin(PARTICLES) & many, F.array(*[F.array(p)] * 6)).when(own.isNotNull() & ~listed, own).otherwise(simple)
+
+    declined = F.zip_with(parts, metas, one)
     pairs = lambda a, b: F.array_distinct(F.flatten(F.transform(a, lambda x: F.transform(b, lambda z: F.concat(x, F.lit("-"), z)))))
     joined = F.aggregate(F.slice(declined, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(declined, F.lit(0)), lambda acc, part: F.zip_with(acc, part, pairs))
     return F.transform(joined, lambda case: F.transform(case, lambda x: F.concat(lead, x)))
@@ -100,8 +119,8 @@ def all_surname_forms(c: Column) -> Column:
 
 def surname_index(surnames: DataFrame) -> DataFrame:
     """form, surname, gender, matched_case from surname and gender (m or f); and, where surnames have them, the columns
-    y_declension, foreign_ov_in and indeclinable_final_a."""
-    more = [F.coalesce(F.col(c), d) if c in surnames.columns else d for c, d in (("y_declension", F.lit("auto")), ("foreign_ov_in", F.lit(False)), ("indeclinable_final_a", F.lit(False)))]
+    y_declension, foreign_ov_in, indeclinable_final_a, override_forms and hyphen_parts, as paradigm() takes them."""
+    more = [F.col(c) if c in surnames.columns else None for c in ("y_declension", "foreign_ov_in", "indeclinable_final_a", "override_forms", "hyphen_parts")]
     cases = F.when(F.col("gender") == "f", paradigm(F.col("surname"), "f", *more)).otherwise(paradigm(F.col("surname"), "m", *more))
     rows = surnames.select("surname", "gender", F.posexplode(cases).alias("_case", "_forms")).select("surname", "gender", F.element_at(F.array(*map(F.lit, CASES)), F.col("_case") + 1).alias("matched_case"), F.explode("_forms").alias("form"))
     return rows.select("form", "surname", "gender", "matched_case")

@@ -73,6 +73,32 @@ def org_title(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r'(?:[А-я]+\s)+?[«"](.*?)[»"]', 1), F.lit(""))
 
 
+def combined_terms(c: Column) -> Column:
+    """array<struct<text, type>>: full_name_terms(), then org_title() as a text, the first of equal ones."""
+    title = org_title(F.trim(c))
+    return F.array_distinct(F.concat(full_name_terms(c), F.when(title.isNotNull(), F.array(F.struct(title.alias("text"), F.lit("text").alias("type")))).otherwise(F.array().cast("array<struct<text:string,type:string>>"))))
+
+
+def whole_number(c: Column) -> Column:
+    """A number as text, cut to a whole one; null if it isn't one."""
+    number = F.trim(c).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < 9.2e18), number).cast("long")
+
+
+def label_key(c: Column, labels: dict[str, str]) -> Column:
+    """The key of the first of labels (key: label) that equals the trimmed text in any case; null if none does."""
+    return F.coalesce(*(F.when(F.lower(F.trim(c)) == label.lower(), key) for key, label in labels.items()))
+
+
+def domains(c: Column) -> Column:
+    """The parts between semicolons, or else commas, trimmed and without empty ones; the text alone if that leaves none; null
+    for a blank text."""
+    t = F.trim(c)
+    parts = F.when(t.contains(";"), F.split(t, ";")).when(t.contains(","), F.split(t, ",")).otherwise(F.array(t))
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(t != "", F.when(F.size(kept) > 0, kept).otherwise(F.array(t)))
+
+
 def org_names_ru(c: Column) -> Column:
     """struct(main, additional, parsing_problem) of a numbered entry: a plain name up to closing signs, or else what stands
     before `*`, or before `(`; only the latter two have additional names, from `(a; b),`, and count as parsed."""

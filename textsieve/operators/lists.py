@@ -27,6 +27,11 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.subtract(old).select(F.lit("added").alias("change"), "phrase").unionByName(old.subtract(new).select(F.lit("deleted").alias("change"), "phrase"))
 
 
+def excluded(phrases: DataFrame, gone: DataFrame) -> DataFrame:
+    """phrases without those that gone has, in any case; nulls stay."""
+    return phrases.join(gone.select(F.lower("phrase").alias("_gone")).distinct(), F.lower("phrase") == F.col("_gone"), "left_anti")
+
+
 def one_each(df: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rn = 1").drop("_rn")

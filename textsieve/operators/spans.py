@@ -12,6 +12,11 @@ def intersection(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Co
     return F.when(meet, F.greatest(a, c)), F.when(meet, F.least(b, d))
 
 
+def hull(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
+    """The least interval that holds [a, b] and [c, d], whether they meet or not."""
+    return F.least(a, c), F.greatest(b, d)
+
+
 def page_offsets(pages: DataFrame, key: str, order: str, length: Column) -> DataFrame:
     """pages with `offset`: where each starts if all are joined by one space."""
     upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -65,15 +65,6 @@ def tokenize(spark, d):
     return automaton.token_rows(_t(spark, d, "documents"))
 
 
-_WORDS = [("abc123",), ("123",), ("_x1",), ("пит-буль",), ("Ёлка!",), (" Мир ",), ("",)]
-
-
-@query("SELECT word, nullif(regexp_extract(lower(trim(word)), '[a-zA-Zа-яёА-ЯЁ]+(?:-[a-zA-Zа-яёА-ЯЁ]+)*'), '') AS clean, regexp_matches(word, '[а-яА-ЯёЁ]') AS cyrillic, regexp_matches(word, '^[a-zA-Zа-яА-ЯёЁ\\s\\-]+$') AS letters FROM ".replace("\\\\", "\\") + _sql_values(_WORDS, "word"))
-def clean_word(spark, d):
-    v = spark.createDataFrame(_WORDS, "word string")
-    return v.select("word", text.clean_word(F.col("word")).alias("clean"), text.is_cyrillic(F.col("word")).alias("cyrillic"), text.letters_only(F.col("word")).alias("letters"))
-
-
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS n FROM documents")
 def word_count(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"))
@@ -124,22 +115,6 @@ def msk_time(spark, d):
     return _t(spark, d, "events").select("event_id", text.msk_time(F.col("ts")).alias("label"))
 
 
-_COLORS = [("#AbCdEf",), ("00ff00",), ("red",), ("#12345",), (None,)]
-
-
-@query("SELECT c, CASE WHEN regexp_matches(c, '^#?[0-9a-fA-F]{6}$') THEN '#' || lower(right(c, 6)) END AS color FROM " + _sql_values(_COLORS, "c"))
-def hex_color(spark, d):
-    return spark.createDataFrame(_COLORS, "c string").select("c", text.hex_color(F.col("c")).alias("color"))
-
-
-_DATES = [("01.02.2020",), ("2021-03-04",), ("05/06/2022",), ("31.02.2020",), ("x",), (None,)]
-
-
-@query("SELECT v, strftime(coalesce(try_strptime(v, '%d.%m.%Y'), try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%d/%m/%Y')), '%Y-%m-%d') AS day FROM " + _sql_values(_DATES, "v", "x"))
-def normalize_value(spark, d):
-    return spark.createDataFrame(_DATES, "v string").select("v", F.date_format(text.any_date(F.col("v")), "yyyy-MM-dd").alias("day"))
-
-
 # Matches
 
 
@@ -193,12 +168,6 @@ def regex_count(spark, d):
     return match.regex_counts(_t(spark, d, "documents"), _PATTERNS)
 
 
-@query(f"SELECT phrase FROM {_P} WHERE lower(phrase) NOT IN ('of the', 'the')")
-def exclude_list(spark, d):
-    gone = spark.createDataFrame([("Of The",), ("THE",)], "x string")
-    return _phrases(spark).join(gone, F.lower("phrase") == F.lower("x"), "left_anti").select("phrase")
-
-
 @query(f"WITH {_W}, {_E} SELECT DISTINCT doc_id, (i - 1)::BIGINT AS i, phrase_id FROM e JOIN (SELECT pw[1] AS t, row_number() OVER (ORDER BY phrase)::BIGINT AS phrase_id FROM p) ON w[i] = t")
 def candidate_probe(spark, d):
     words = _t(spark, d, "documents").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("i", "text")).select("doc_id", F.col("i").cast("long").alias("i"), "text", F.col("text").alias("lemma"), F.col("text").alias("stem"))
@@ -265,15 +234,6 @@ def match_page(spark, d):
     return spans.overlapping(point, b, "conv_id").select("conv_id", "a_start", F.col("turn").alias("page"))
 
 
-_INTERVALS = [(1, 10, 0, 2), (1, 10, 9, 11), (1, 10, 0, 11), (1, 10, 3, 5), (1, 10, 11, 12), (1, 10, 0, 0)]
-
-
-@query("SELECT a, b, c, d, CASE WHEN greatest(a, c) <= least(b, d) THEN greatest(a, c) END AS s, CASE WHEN greatest(a, c) <= least(b, d) THEN least(b, d) END AS e FROM " + _sql_values(_INTERVALS, "a, b, c, d"))
-def interval_intersect(spark, d):
-    s, e = spans.intersection(*map(F.col, "abcd"))
-    return spark.createDataFrame(_INTERVALS, "a int, b int, c int, d int").select("*", s.alias("s"), e.alias("e"))
-
-
 @query("""WITH s AS (SELECT user_id, event_id AS span_id, event_id % 500 AS start_pos, event_id % 500 + event_id % 7 AS end_pos FROM events),
 n AS (SELECT *, CASE WHEN start_pos <= max(end_pos) OVER (PARTITION BY user_id ORDER BY start_pos, end_pos, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s)
 SELECT user_id, span_id, (sum(new) OVER (PARTITION BY user_id ORDER BY start_pos, end_pos, span_id) - 1)::BIGINT AS cluster FROM n""")
@@ -390,68 +350,6 @@ def task_state(spark, d):
 
 # Registries and names
 
-_RAW = [("1. ИВАНОВ ИВАН ИВАНОВИЧ*, (ПЕТРОВ ПЕТР ПЕТРОВИЧ; СИДОР), 01.02.1980 г.р. , г. Город;",), ("12. СИДОРОВ СИДОР, 31.12.1990 г.р., с. Село;",), ("БЕЗ ЗАПЯТОЙ",)]
-_PARSED = [
-    ("ИВАНОВ ИВАН ИВАНОВИЧ", ["ПЕТРОВ ПЕТР ПЕТРОВИЧ", "СИДОР"], "1980-02-01", "г. Город"),
-    ("СИДОРОВ СИДОР", [], "1990-12-31", "с. Село"),
-    ("БЕЗ ЗАПЯТОЙ", [], None, None),
-]
-
-
-@query("SELECT main, string_split(nullif(more, ''), ';') AS additional, birth, place FROM " + _sql_values([(m, ";".join(a), b, p) for m, a, b, p in _PARSED], "main, more, birth, place").replace("''", "''"))
-def ru_names(spark, d):
-    v = spark.createDataFrame(_RAW, "raw string").select(registry.strip_number(F.col("raw")).alias("raw"))
-    name = registry.person_name(F.col("raw"))
-    return v.select(name["main"].alias("main"), F.when(F.size(name["additional"]) > 0, name["additional"]).alias("additional"), F.date_format(registry.birth_date(F.col("raw")), "yyyy-MM-dd").alias("birth"), registry.birth_place(F.col("raw")).alias("place"))
-
-
-_ORGS = [("Apple Inc. (AI), QDi.289",), ("Plain Org, no code",), ("Name only",)]
-
-
-@query(r"SELECT raw, CASE WHEN regexp_matches(n, '\(.*\)$') THEN trim(regexp_extract(n, '^(.*?)\s*\(', 1)) ELSE n END AS main, nullif(regexp_extract(n, '\((.*)\)$', 1), '') AS alias, nullif(regexp_extract(raw, '(\w+?\.\d+)', 1), '') AS code FROM (SELECT raw, trim(split_part(raw, ',', 1)) AS n FROM " + _sql_values(_ORGS, "raw") + ")")
-def intl_names(spark, d):
-    v, name = spark.createDataFrame(_ORGS, "raw string"), registry.org_name(F.col("raw"))
-    return v.select("raw", name["main"].alias("main"), name["alias"].alias("alias"), registry.sanction_code(F.col("raw")).alias("code"))
-
-
-# a row for each rule of the cascade; the first variant of each case
-_FORMS = [
-    ("Иванов", "m", "иванов иванова иванову иванова ивановым иванове"),
-    ("Иванова", "f", "иванова ивановы иванове иванову ивановой иванове"),
-    ("Достоевский", "m", "достоевский достоевского достоевскому достоевского достоевским достоевском"),
-    ("Ковальская", "f", "ковальская ковальской ковальской ковальскую ковальской ковальской"),
-    ("Зимняя", "f", "зимняя зимней зимней зимнюю зимней зимней"),
-    ("Толстой", "m", "толстой толстого толстому толстого толстым толстом"),
-    ("Дикий", "m", "дикий дикего дикему дикего диким дикем"),
-    ("Белый", "m", "белый белого белому белого белым белом"),
-    ("Лебедь", "m", "лебедь лебедя лебедю лебедя лебедем лебеде"),
-    ("Лебедь", "f", "лебедь лебедь лебедь лебедь лебедь лебедь"),
-    ("Гайдай", "m", "гайдай гайдая гайдаю гайдая гайдаем гайдае"),
-    ("Заяц", "m", "заяц заяца заяцу заяца заяцем заяце"),
-    ("Дюма", "m", "дюма дюма дюма дюма дюма дюма"),
-    ("Чайка", "m", "чайка чайки чайке чайку чайкой чайке"),
-    ("Глинка", "f", "глинка глинки глинке глинку глинкой глинке"),
-    ("Берия", "m", "берия берии берие берию берией берие"),
-    ("Шевченко", "m", "шевченко шевченко шевченко шевченко шевченко шевченко"),
-    ("Галуа", "m", "галуа галуа галуа галуа галуа галуа"),
-    ("де Голль", "m", "де голль де голля де голлю де голля де голлем де голле"),
-    ("Римский-Корсаков", "m", "римский-корсаков римского-корсакова римскому-корсакову римского-корсакова римским-корсаковым римском-корсакове"),
-]
-
-
-@query("SELECT surname, gender, forms FROM " + _sql_values(_FORMS, "surname, gender, forms"))
-def decline_surname(spark, d):
-    v = spark.createDataFrame([r[:2] for r in _FORMS], "surname string, gender string")
-    return v.select("surname", "gender", F.array_join(F.when(F.col("gender") == "m", names.surname_forms(F.col("surname"), "m")).otherwise(names.surname_forms(F.col("surname"), "f")), " ").alias("forms"))
-
-
-@query("SELECT surname, word FROM (VALUES ('Иванов', 'ивановым'), ('Достоевский', 'достоевского'), ('Шевченко', 'шевченко')) v(surname, word)")
-def surname_match(spark, d):
-    said = spark.createDataFrame([("С Ивановым и Достоевского видели, а Шевченко нет",)], "text string")
-    words = said.select(F.explode(text.words(F.col("text"))).alias("word"))
-    return match.surname_match(words, spark.createDataFrame([("Иванов",), ("Достоевский",), ("Шевченко",)], "surname string"), names.all_surname_forms(F.col("surname"))).select("surname", "word")
-
-
 _SOUGHT = [("of", "m"), ("Der", "f"), ("Толстой", "m")]
 
 
@@ -461,14 +359,6 @@ def surname_index_find(spark, d):
     return match.surnames_found(_t(spark, d, "documents"), index).groupBy("doc_id", "surname", "gender", "matched_case").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PEOPLE = [("Иванов Иван Иванович", "m"), ("Петрова Анна Сергеевна", "f"), ("Ким Мария", "f"), ("Ли", "m")]
-
-
-@query("SELECT name, gender FROM " + _sql_values(_PEOPLE, "name, gender"))
-def gender_detect(spark, d):
-    return spark.createDataFrame([(n,) for n, _ in _PEOPLE], "name string").select("name", names.gender(F.col("name")).alias("gender"))
-
-
 @query("SELECT o_orderkey, CASE WHEN a IS NULL THEN '—' WHEN b IS NULL OR a > b THEN 'Числится' ELSE 'Снят' END AS label FROM (SELECT o_orderkey, nullif(o_orderkey % 5, 0) AS a, nullif(o_orderkey % 7, 0) AS b FROM orders)")
 def status_label(spark, d):
     v = _t(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderkey") % 5, F.lit(0)).alias("a"), F.nullif(F.col("o_orderkey") % 7, F.lit(0)).alias("b"))
@@ -487,4 +377,4 @@ def upsert_registry(spark, d):
     return lists.upsert(c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name"), c.where("c_custkey % 3 <> 1").select("c_custkey", F.upper("c_name").alias("c_name")), "c_custkey", ["c_name"])
 
 
-from . import matching, records, search, tasks  # noqa: E402, F401  (they add their queries)
+from . import derived, matching, records, search, tasks  # noqa: E402, F401  (they add their queries)

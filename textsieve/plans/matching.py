@@ -92,17 +92,6 @@ def lemma_lookup(spark, d):
     return match.lemmas(counts, spark.createDataFrame(_LEXICON, "word string, lemma string")).groupBy("lemma").agg(F.sum("n").cast("long").alias("n"))
 
 
-_TOKEN = "struct<text:string,lemma:string,stem:string,type:string>"
-_TOKENS = [("a", "a", "a", "b", "a", "a"), ("a", None, "a", "b", None, "a"), ("x", "", "", "y", "", ""), ("x", "1", "2", "x", "3", "4")]
-
-
-@query("SELECT *, x = y OR coalesce(xl <> '' AND xl = yl AND xs <> '' AND xs = ys, false) AS equal, x = y OR xl IS NOT DISTINCT FROM yl OR xs IS NOT DISTINCT FROM ys AS alike FROM " + _sql_values(_TOKENS, "x, xl, xs, y, yl, ys"))
-def token_equal(spark, d):
-    v = spark.createDataFrame(_TOKENS, "x string, xl string, xs string, y string, yl string, ys string")
-    a, b = (F.struct(*(F.col(c).alias(n) for c, n in zip((s, s + "l", s + "s"), ("text", "lemma", "stem"), strict=True)), F.lit("word").alias("type")) for s in "xy")
-    return v.select("*", text.token_equal(a, b).alias("equal"), text.sequence_equal(F.array(a), F.array(b)).alias("alike"))
-
-
 @query("""WITH t AS (SELECT p_partkey, trim(p_name) AS term, lower(trim(p_name)) AS k FROM part), o AS (SELECT term FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY p_partkey) = 1)
 SELECT term, CASE WHEN len(w) > 1 THEN 'phrase' ELSE 'word' END AS kind, array_to_string(list_sort(w), ' ') AS key FROM (SELECT term, regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]+') AS w FROM o)""".replace("\\\\", "\\"))
 def prepare_terms(spark, d):

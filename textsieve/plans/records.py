@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import lists, spans
+from ..operators import lists
 from .catalog import _links, _sql_values, _t, query
 
-_ENTRIES = [("1. ИВАНОВ ИВАН, 01.02.1980 г.р., с. Село",), ("22.  Apple Inc. (AI), QDi.289",), ("БЕЗ НОМЕРА",), ("3. 31.02.1990 г.р.",)]
-
-
-@query(r"SELECT raw, regexp_replace(raw, '^\s*\d+\.\s*', '') AS name FROM " + _sql_values(_ENTRIES, "raw"))
-def strip_number(spark, d):
-    return spark.createDataFrame(_ENTRIES, "raw string").select("raw", registry.strip_number(F.col("raw")).alias("name"))
-
-
 @query(r"SELECT raw, nullif(regexp_extract(raw, '(\w+?\.\d+)', 1), '') AS code FROM (SELECT s_name || ' (' || left(s_name, 3) || '.' || s_suppkey || ')' AS raw FROM supplier)")
 def sanction_code(spark, d):
     raw = F.concat("s_name", F.lit(" ("), F.substring("s_name", 1, 3), F.lit("."), "s_suppkey", F.lit(")"))
@@ -33,24 +25,6 @@ def extract_surname(spark, d):
     return _t(spark, d, "part").select("p_partkey", registry.surname_of(F.col("p_name")).alias("surname"))
 
 
-_ORG = [("1. ООО Ромашка;", "ООО Ромашка", "", True), ("2. Союз* (Лига; Круг), г. Город;", "Союз", "Лига|Круг", False), ("3. Фонд (Мир), с. Село", "Фонд", "Мир", False), ("4. «Икс»", "", "", True)]
-
-
-@query("SELECT raw, main, more, problem FROM " + _sql_values(_ORG, "raw, main, more, problem"))
-def ru_org_names(spark, d):
-    v, n = spark.createDataFrame([r[:1] for r in _ORG], "raw string"), registry.org_names_ru(F.col("raw"))
-    return v.select("raw", n["main"].alias("main"), F.array_join(n["additional"], "|").alias("more"), n["parsing_problem"].alias("problem"))
-
-
-_FIO = [('Иванов Иван Иванович "Ваня, Иван"', "Иванов Иван Иванович:full_name|Иванов:surname|Ваня:text|Иван:text"), ("Петров Пётр Петрович", "Петров Пётр Петрович:full_name|Петров:surname"), ("нет имени", "")]
-
-
-@query("SELECT raw, terms FROM " + _sql_values(_FIO, "raw, terms"))
-def fio_terms(spark, d):
-    terms = registry.full_name_terms(F.col("raw"))
-    return spark.createDataFrame([r[:1] for r in _FIO], "raw string").select("raw", F.array_join(F.transform(terms, lambda x: F.concat_ws(":", x["text"], x["type"])), "|").alias("terms"))
-
-
 @query("SELECT c_custkey, c_name AS title FROM customer")
 def org_title(spark, d):
     return _t(spark, d, "customer").select("c_custkey", registry.org_title(F.concat(F.lit("Автономная организация «"), "c_name", F.lit("»"))).alias("title"))
@@ -182,17 +156,7 @@ def task_view(spark, d):
     return e.select("event_id", F.coalesce(F.nullif(F.upper("event_type"), F.lit("ERROR")), F.lit("PENDING")).alias("state"), F.when(seconds.isNull(), "—").otherwise(F.format_string("%.2f с", seconds.cast("double"))).alias("took"))
 
 
-# OCR tables
-
-_OCR = [("1", "5", "96", " Word "), ("1", "5", "3", "low"), ("1", "4", "0", "line"), ("x", "5", "90", "odd"), ("2", "5", "-1", "none"), ("2", "5", "50", "  ")]
-
-
-@query("SELECT page, level, conf, word FROM (SELECT try_cast(page AS INT) AS page, try_cast(level AS INT) AS level, try_cast(conf AS DOUBLE) AS conf, trim(word) AS word FROM " + _sql_values(_OCR, "page, level, conf, word") + ") WHERE page IS NOT NULL AND level IS NOT NULL AND conf >= 0 AND (level <> 5 OR conf >= 10) AND word <> ''")
-def ocr_clean(spark, d):
-    v = spark.createDataFrame(_OCR, "page string, level string, conf string, word string")
-    v = v.select(F.expr("try_cast(page as int)").alias("page"), F.expr("try_cast(level as int)").alias("level"), F.expr("try_cast(conf as double)").alias("conf"), F.trim("word").alias("word"))
-    return v.dropna(subset=["page", "level"]).where("conf >= 0 and (level <> 5 or conf >= 10) and word <> ''")
-
+# Fonts
 
 _PUA = [("", "а"), ("", "б")]
 
@@ -201,14 +165,3 @@ _PUA = [("", "а"), ("", "б")]
 def pua_map(spark, d):
     c = F.get(F.array(F.lit(_PUA[0][0]), F.lit(_PUA[1][0]), F.lit("z")), (F.col("n_nationkey") % 3).cast("int"))
     return _t(spark, d, "nation").select("n_nationkey", c.alias("c")).join(spark.createDataFrame(_PUA, "c string, real string"), "c", "left").select("n_nationkey", F.coalesce("real", "c").alias("shown"))
-
-
-#: page, block, par, line, word_num, text, conf, left, width, height
-_LINES = [(1, 1, 1, 1, 1, "In", 90, 0, 10, 8), (1, 1, 1, 1, 2, "exam-", 80, 12, 30, 9), (1, 1, 1, 2, 1, "ple-", 70, 0, 20, 10), (1, 1, 1, 3, 1, "s", 95, 0, 5, 8), (1, 1, 2, 1, 1, "a-", 60, 0, 9, 8), (1, 2, 1, 1, 1, "b", 99, 0, 9, 8), (1, 2, 1, 1, 2, "-", 99, 10, 3, 8), (1, 2, 1, 2, 1, "c-", 50, 0, 9, 8), (1, 2, 1, 3, 1, "d", 40, 2, 9, 12)]
-_AFTER = [(1, 1, 1, 1, 1, "In", 90, 10, 8), (1, 1, 1, 1, 2, "example-", 70, 8, 10), (1, 1, 1, 3, 1, "s", 95, 5, 8), (1, 1, 2, 1, 1, "a-", 60, 9, 8), (1, 2, 1, 1, 1, "b", 99, 9, 8), (1, 2, 1, 1, 2, "-", 99, 3, 8), (1, 2, 1, 2, 1, "cd", 40, 11, 12)]
-
-
-@query("SELECT * FROM " + _sql_values(_AFTER, "page, block, par, line, word_num, text, conf, width, height"))
-def ocr_dehyphen(spark, d):
-    v = spark.createDataFrame(_LINES, "page int, block int, par int, line int, word_num int, text string, conf int, left int, width int, height int")
-    return spans.join_hyphenated(v).select("page", "block", "par", "line", "word_num", "text", "conf", "width", "height")

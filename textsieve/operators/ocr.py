@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-
 
 def cleaned(rows: DataFrame, needed: list[str], numbers: dict[str, str], word: str = "word") -> DataFrame:
     """Rows with their numbers read and the word stripped, without those that lack a needed number, whose conf is negative, or
@@ -35,7 +33,7 @@ def candidates(words: DataFrame, lemmas: DataFrame, pages: DataFrame, taken: Dat
     Boxes are dealt to the cells of a grid that they touch, so pairs meet on page and cell and a page is never one task's."""
     sought = words.where("level = 5 and width > 0 and height > 0 and lemma is not null").join(lemmas.select("lemma").distinct(), "lemma", "left_semi")
     det = F.col("a") * F.col("d") - F.col("b") * F.col("c")
-    rows = sought.join(pages, page).withColumn("_det", det).where(F.abs("_det") >= 1e-6).withColumn("_id", F.monotonically_increasing_id())
+    rows = sought.join(pages, page).withColumn("_det", det).where(F.abs("_det") >= 1e-6)
     back = lambda x, y: ((F.col("d") * (x - F.col("e")) - F.col("c") * (y - F.col("f"))) / F.col("_det"), (F.col("a") * (y - F.col("f")) - F.col("b") * (x - F.col("e"))) / F.col("_det"))
     left, top = F.col("left").cast("double"), F.col("top").cast("double")
     corners = [back(x, y) for x in (left, left + F.col("width")) for y in (top, top + F.col("height"))]
@@ -43,16 +41,12 @@ def candidates(words: DataFrame, lemmas: DataFrame, pages: DataFrame, taken: Dat
     boxed = rows.withColumns({k: f(*(c[i] for c in corners)) for k, (f, i) in bounds.items()})
     whole = (F.col("px0") < F.col("px1")) & (F.col("py0") < F.col("py1"))
     boxed = boxed.withColumns({k: F.when(whole, (F.greatest if k in ("x0", "y0") else F.least)(k, f"p{k}")).otherwise(F.col(k)) for k in bounds})
-    boxed = boxed.where((F.col("x1") - F.col("x0") >= eps) & (F.col("y1") - F.col("y0") >= eps)).select("_id", page, "text", "lemma", "conf", *bounds)
+    boxed = boxed.where((F.col("x1") - F.col("x0") >= eps) & (F.col("y1") - F.col("y0") >= eps)).select(page, "text", "lemma", "conf", *bounds)
     gx, gy = F.greatest(F.lit(1.0), (F.col("x1") - F.col("x0")) * 0.05), F.greatest(F.lit(1.0), (F.col("y1") - F.col("y0")) * 0.1)
-    mine = _grid(boxed.withColumns({"_x0": F.col("x0") - gx, "_y0": F.col("y0") - gy, "_x1": F.col("x1") + gx, "_y1": F.col("y1") + gy}), page, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size)
+    # whether a box is apart hangs on the page and itself alone
+    mine = _grid(boxed.select(page, *bounds).distinct().withColumns({"_x0": F.col("x0") - gx, "_y0": F.col("y0") - gy, "_x1": F.col("x1") + gx, "_y1": F.col("y1") + gy}), page, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), size)
     other = taken.where("x0 < x1 and y0 < y1").select(page, *(F.col(k).alias(f"t{k}") for k in bounds)).distinct()
     other = _grid(other, page, F.col("tx0"), F.col("ty0"), F.col("tx1"), F.col("ty1"), size)
     shared = (F.least("_x1", "tx1") - F.greatest("_x0", "tx0") > eps) & (F.least("_y1", "ty1") - F.greatest("_y0", "ty0") > eps)
-    met = mine.join(other, [page, "_gx", "_gy"]).where(shared).select("_id").distinct()
-    return boxed.join(met, "_id", "left_anti").drop("_id")
-
-
-def lemma_of(word: Column) -> Column:
-    """A word as it is looked up: without punctuation at its ends, in lower case; null if nothing is left."""
-    return F.nullif(F.regexp_replace(text.folded(word), r"^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$", ""), F.lit(""))
+    met = mine.join(other, [page, "_gx", "_gy"]).where(shared).select(page, *bounds).distinct()
+    return boxed.join(met, [page, *bounds], "left_anti")

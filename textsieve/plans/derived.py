@@ -236,3 +236,38 @@ def ocr_dehyphen(spark, d):
         "int(rint(l_quantity)) AS conf", "int(rint(l_extendedprice)) + word_num * 50 AS left", "10 + l_partkey % 9 AS width", "8 + l_partkey % 5 AS height",
     )
     return spans.join_hyphenated(words).select("page", "par", "line", "word_num", "text", "conf", "width", "height")
+
+
+# a page for each order: its picture is turned by a quarter, scaled or mirrored, and moved; its items are words
+_WORDS = """l_orderkey AS page, CASE WHEN l_suppkey % 5 = 0 THEN 4 ELSE 5 END AS level, concat('w', l_partkey) AS text, CASE WHEN l_partkey % 9 <> 0 THEN concat(l_returnflag, l_linestatus) END AS lemma, l_quantity AS conf,
+l_extendedprice / 40 AS l, l_discount * 8000 AS t, l_quantity * 6 - 6 AS w, 10 + l_partkey % 30 AS h"""
+_PAGES = """o_orderkey AS page, CASE o_orderkey % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 0.0 WHEN 2 THEN -1.5 ELSE 1e-4 END AS a, CASE o_orderkey % 4 WHEN 1 THEN 1.0 ELSE 0.0 END AS b, CASE o_orderkey % 4 WHEN 1 THEN -1.0 ELSE 0.0 END AS c,
+CASE o_orderkey % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 ELSE 1e-4 END AS d, o_custkey / 10.0 AS e, CASE WHEN o_orderkey % 3 = 0 THEN -20.0 ELSE 35.5 END AS f, CASE WHEN o_orderkey % 4 = 2 THEN -1700.0 ELSE -500.0 END AS px0, -900.0 AS py0, CASE WHEN o_orderkey % 7 = 0 THEN -5000.0 ELSE 1200.0 END AS px1, 900.0 AS py1"""
+_TAKEN = """l_orderkey AS page, l_discount * 9000 - 400 AS x0, l_extendedprice / 90 - 700 AS y0, l_discount * 9000 - 400 + l_quantity * 3 AS x1, l_extendedprice / 90 - 700 + l_partkey % 50 AS y1"""
+
+
+@query(f"""WITH w AS (SELECT row_number() OVER () AS id, {_WORDS} FROM lineitem), g AS (SELECT {_PAGES} FROM orders), k AS (SELECT {_TAKEN} FROM lineitem),
+i AS (SELECT w.*, g.*, a * d - b * c AS det FROM w JOIN g USING (page) WHERE level = 5 AND w > 0 AND h > 0 AND lemma IN ('AF', 'RF') AND abs(a * d - b * c) >= 1e-6),
+q AS (SELECT *, unnest([l, l + w, l, l + w]) - e AS x, unnest([t, t, t + h, t + h]) - f AS y FROM i),
+r AS (SELECT id, page, text, lemma, conf, px0, py0, px1, py1, min((d * x - c * y) / det) AS x0, min((a * y - b * x) / det) AS y0, max((d * x - c * y) / det) AS x1, max((a * y - b * x) / det) AS y1 FROM q GROUP BY ALL),
+s AS (SELECT id, page, text, lemma, conf, CASE WHEN px0 < px1 THEN greatest(x0, px0) ELSE x0 END AS x0, CASE WHEN px0 < px1 THEN greatest(y0, py0) ELSE y0 END AS y0, CASE WHEN px0 < px1 THEN least(x1, px1) ELSE x1 END AS x1, CASE WHEN px0 < px1 THEN least(y1, py1) ELSE y1 END AS y1 FROM r),
+z AS (SELECT * FROM s WHERE x1 - x0 >= 1e-3 AND y1 - y0 >= 1e-3)
+SELECT page, text, lemma, conf, x0, y0, x1, y1 FROM z WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.page = z.page AND k.x0 < k.x1 AND k.y0 < k.y1
+AND least(z.x1 + greatest(1, (z.x1 - z.x0) * 0.05), k.x1) - greatest(z.x0 - greatest(1, (z.x1 - z.x0) * 0.05), k.x0) > 1e-3 AND least(z.y1 + greatest(1, (z.y1 - z.y0) * 0.1), k.y1) - greatest(z.y0 - greatest(1, (z.y1 - z.y0) * 0.1), k.y0) > 1e-3)""")
+def ocr_candidates(spark, d):
+    select = lambda name, columns: _t(spark, d, name).selectExpr(*_columns(columns))
+    words = select("lineitem", _WORDS).withColumnsRenamed({"l": "left", "t": "top", "w": "width", "h": "height"})
+    found = ocr.candidates(words, spark.createDataFrame([("AF",), ("RF",), ("RF",)], "lemma string"), select("orders", _PAGES), select("lineitem", _TAKEN))
+    return found
+
+
+def _columns(listed: str) -> list[str]:
+    """The expressions of a select list, in which commas also stand within brackets."""
+    out, depth = [""], 0
+    for ch in listed:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out

@@ -49,4 +49,4 @@ def candidates(words: DataFrame, lemmas: DataFrame, pages: DataFrame, taken: Dat
     other = _grid(other, page, F.col("tx0"), F.col("ty0"), F.col("tx1"), F.col("ty1"), size)
     shared = (F.least("_x1", "tx1") - F.greatest("_x0", "tx0") > eps) & (F.least("_y1", "ty1") - F.greatest("_y0", "ty0") > eps)
     met = mine.join(other, [page, "_gx", "_gy"]).where(shared).select(page, *bounds).distinct()
-    return boxed.join(met, [page, *bounds], "left_anti")
+    return boxed.join(met, [page, *bounds], "left_anti").select(page, "text", "lemma", "conf", *bounds)

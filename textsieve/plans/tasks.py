@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import lists, spans
+from ..streaming import tasks as lives
 from .catalog import _E, _M, _W, _found, _t, query
 
 _KEY = "CASE WHEN event_id % 3 = 0 THEN 'job:' ELSE 'task:' END || user_id || ':' || event_type"
@@ -73,3 +74,16 @@ SELECT doc_id, phrase, start_word::BIGINT AS start_word, end_word::BIGINT AS end
 def resolve_overlaps(spark, d):
     found = _found(spark, d).select("doc_id", "phrase", "start_word", "end_word", "kind").distinct().withColumn("by_lemma", F.lit(True))
     return spans.resolve_overlaps(found).select("doc_id", "phrase", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), "kind")
+
+
+# a user's events are a task's, whose life ends after six hours without any
+@query("""WITH e AS (SELECT user_id::VARCHAR AS task_id, ts, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE -1 END AS rank, event_type AS message, (event_id % 10)::DOUBLE AS step, CASE WHEN event_type = 'signup' THEN 50 + user_id END AS most FROM events),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM (SELECT *, lag(ts) OVER (PARTITION BY task_id ORDER BY ts) AS prev FROM e)),
+f AS (SELECT task_id, min(ts) AS created_at, max(ts) AS last_at, arg_max(rank, (ts, rank, message)) AS rank, arg_max(message, (ts, rank, message)) AS message, sum(step) AS progress, coalesce(arg_max(most, (ts, most)) FILTER (WHERE most IS NOT NULL), 100) AS most, count(*) AS n_events FROM s GROUP BY task_id, life)
+SELECT task_id, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at, strftime(last_at, '%Y-%m-%d %H:%M:%S.%f') AS last_at, strftime(last_at + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS expires_at, ['PENDING', 'PROCESSING', 'COMPLETED'][greatest(rank, 0) + 1] AS state, message, progress, least(round(progress / most * 100, 2), 100) AS percent, n_events FROM f""")
+def task_lives(spark, d):
+    state = F.when(F.col("event_type") == "click", "PENDING").when(F.col("event_type") == "view", "PROCESSING").when(F.col("event_type") == "purchase", "COMPLETED")
+    e = _t(spark, d, "events").select(F.col("user_id").alias("task_id"), "ts", state.alias("state"), F.col("event_type").alias("message"), (F.col("event_id") % 10).cast("double").alias("step"), F.when(F.col("event_type") == "signup", F.col("user_id") + 50).cast("double").alias("most"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    found = lives.lives(e, 6 * 3600)
+    return found.select("task_id", *map(shown, ("created_at", "last_at", "expires_at")), *found.columns[4:])

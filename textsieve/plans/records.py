@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..operators import lists
+from ..sources import registry as files
+from ..sources import scratch
 from .catalog import _links, _sql_values, _t, query
 
 @query(r"SELECT raw, nullif(regexp_extract(raw, '(\w+?\.\d+)', 1), '') AS code FROM (SELECT s_name || ' (' || left(s_name, 3) || '.' || s_suppkey || ')' AS raw FROM supplier)")
@@ -165,3 +167,22 @@ _PUA = [("", "а"), ("", "б")]
 def pua_map(spark, d):
     c = F.get(F.array(F.lit(_PUA[0][0]), F.lit(_PUA[1][0]), F.lit("z")), (F.col("n_nationkey") % 3).cast("int"))
     return _t(spark, d, "nation").select("n_nationkey", c.alias("c")).join(spark.createDataFrame(_PUA, "c string, real string"), "c", "left").select("n_nationkey", F.coalesce("real", "c").alias("shown"))
+
+
+# Registry files
+
+_HEADERS = {"No": "number", "Name ": "full_name", "Kind": "kind", "Balance": "balance", "Date": "day"}
+
+
+# customers as files of their nations, under two lines of title and a header, read as a registry
+@query("SELECT c_custkey::VARCHAR AS number, CASE WHEN c_custkey % 4 <> 0 THEN c_name || CASE WHEN c_custkey % 5 = 0 THEN '; and others' ELSE '' END END AS full_name, c_mktsegment AS kind, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal::DECIMAL(18, 2)::VARCHAR END AS balance FROM customer")
+def registry_csv(spark, d):
+    path = scratch.folder(spark, "registry")
+    c = _t(spark, d, "customer")
+    name = F.when(F.col("c_custkey") % 4 == 0, "  ").when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('"'), "c_name", F.lit('; and others"'))).otherwise(F.concat(F.lit(" "), "c_name"))
+    line = F.concat_ws(";", "c_custkey", name, F.lit("left out"), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(";"), F.col("c_acctbal").cast("decimal(18, 2)")))))
+    titles = F.explode(F.array(*(F.struct(F.lit(i - 3).cast("long").alias("at"), F.lit(t).alias("value")) for i, t in enumerate(("Registry", "", " No;Name;Other;Kind ;Balance;;")))))
+    heads = c.select("c_nationkey").distinct().select("c_nationkey", titles.alias("x")).select("c_nationkey", "x.at", "x.value")
+    rows = heads.unionByName(c.select("c_nationkey", F.col("c_custkey").alias("at"), line.alias("value")))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    return files.read_csv(spark, path, _HEADERS).drop("path")

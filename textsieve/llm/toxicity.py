@@ -14,6 +14,7 @@ a few rounds. The worst scores of a document and its length then give a probabil
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -30,20 +31,22 @@ DECAY, SPAN, WIDTH, WORST = 0.6, 7, 24, 4
 #: Tokens whose scores a worker keeps before it starts anew.
 MEMO = 300_000
 
-# The letters that the kernel knows (others count as one more), and signs that stand in for letters.
+# The letters that have codes of their own, and signs that stand in for letters.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçñíóúáôîûùïœæåø"
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 _CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SPACED = re.compile(r"(?<!\S)(?:\w[\s.*_-]{1,2}){2,}\w(?![^\s.,!?])")
-_RUN = re.compile(r"(.)\1{2,}")
+_RUN = re.compile(r"(.)\1{2,}", re.S)  # a code may be that of a line feed
 _GAPS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, SPAN) for b in range(1, SPAN) if a + b <= SPAN]
 
 
 class _Codes(dict):
+    """Letters and marks of other scripts share the 62 codes: of 62 that follow each other no two have the same."""
+
     def __missing__(self, char: int) -> str | None:
         c = chr(char)
-        value = chr(_CODE.get(c, 63)) if c.isalpha() else None
+        value = chr(_CODE.get(c) or 1 + char * 37 % 62) if c.isalpha() or unicodedata.category(c)[0] == "M" else None
         self[char] = value
         return value
 
@@ -150,7 +153,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
 
 def fit(documents: list[tuple[list[str], int, int]], n_landmarks: int = 96, rounds: int = 2, seed: int = 5) -> Model | None:
     """From (tokens, how many there are with repeats, label) of a bounded number of documents: two thirds fit the machine,
-    the others its probabilities. None unless both labels are among either."""
+    the others its probabilities. None unless both labels are among either. Where the toxic or the clean documents of the
+    machine have no word of three letters, all words weigh the same, and only a text's length is left. Of equal scores the
+    word met first comes first; repeated documents count as often as they are there."""
     texts = [[c for t in dict.fromkeys(tokens) for c in windows(letters_of(t)) if len(c) >= 3] for tokens, _, _ in documents]
     y = np.array([label for _, _, label in documents])
     rest = np.zeros(len(y), bool)
@@ -162,7 +167,10 @@ def fit(documents: list[tuple[list[str], int, int]], n_landmarks: int = 96, roun
     index = {w: i for i, w in enumerate(vocabulary)}
     held = [np.array([index[w] for w in dict.fromkeys(t)], dtype=np.int64) for t in texts]
     toxic, clean = ([h for h, k, r in zip(held, y, rest, strict=True) if k == label and not r] for label in (1, 0))
-    table, bias = _machine_of_words(vocabulary, toxic, clean, n_landmarks, rounds, np.random.default_rng(seed))
+    if any(map(len, toxic)) and any(map(len, clean)):
+        table, bias = _machine_of_words(vocabulary, toxic, clean, n_landmarks, rounds, np.random.default_rng(seed))
+    else:
+        table, bias = np.zeros(1 << 18), -1.0
     score = applied(table, vocabulary) + bias
     model = Model(table.astype(np.float32), float(bias), None)
     worst, n = np.full((len(documents), WORST), -1.5), np.array([n for _, n, _ in documents])

@@ -166,3 +166,20 @@ AFTER = [(1, 1, 1, 1, 1, "In", 90, 10, 8), (1, 1, 1, 1, 2, "example-", 70, 8, 10
 def test_ocr_hyphens(spark):
     v = spark.createDataFrame(LINES, "page int, block int, par int, line int, word_num int, text string, conf int, left int, width int, height int")
     assert sorted(map(tuple, spans.join_hyphenated(v).drop("left").collect())) == sorted(AFTER)
+
+
+def test_catalog(spark):
+    said = ['{"international": {"all": {"namesFL": ["1. Doe, J.", "2.  Roe"], "namesUL": []}, "excluded": {"namesUL": ["3. Org"]}}, "russian": {"all": {"namesFL": null}, "excluded": {"namesFL": ["ИВАНОВ"], "other": 1}}}', "{}", "not json", '{"russian": 5}', '{"russian": {"all": {"namesUL": "x"}}}', None]
+    got = [sorted(tuple(x) for x in some or []) for some in values(spark, said, registry.catalog_rows)]
+    assert got == [[("Doe, J.", "international", "FL", True), ("Org", "international", "UL", False), ("Roe", "international", "FL", True), ("ИВАНОВ", "russian", "FL", False)], [], [], [], [], []]
+
+
+def test_term_index(spark):
+    terms = spark.createDataFrame([(1, " Red Cats "), (2, "cat red"), (3, "RED CATS"), (4, "cats"), (5, "Cat"), (6, "12 !"), (7, ""), (8, None), (9, "из-за cats")], "o int, term string")
+    lexicon = spark.createDataFrame([("cats", "cat", "ca"), ("cat", "cat", "ca"), ("red", "", None)], "word string, lemma string, stem string")
+    got = {(r["kind"], r["by"], r["sorted"], r["key"]): (r["info"], r["n"]) for r in lists.term_index(terms, lexicon, F.col("o")).collect()}
+    assert got["phrase", "lemma", False, "red cat"] == ("Red Cats", 1) and got["phrase", "lemma", False, "cat red"] == ("cat red", 1)
+    assert got["phrase", "lemma", True, "cat red"] == ("Red Cats", 2) and got["phrase", "stem", True, "ca red"] == ("Red Cats", 2)
+    assert got["word", "lemma", False, "cat"] == ("cats", 2) and got["word", "stem", False, "ca"] == ("cats", 2)
+    assert got["phrase", "lemma", True, "cat из-за"] == ("из-за cats", 1)
+    assert len(got) == 12

@@ -54,6 +54,19 @@ def search_terms(main: Column, additional: Column, person: Column, russian: Colu
     return F.array_distinct(F.when(person, full).otherwise(of("text")))
 
 
+def catalog_rows(c: Column) -> Column:
+    """array<struct<raw, area, type, is_active>> of a catalog as JSON text: what its eight lists hold, under international and
+    russian, all and excluded, namesFL and namesUL, numbers before names left out. Lists that aren't there, or are something
+    else, are empty; a text that isn't JSON gives none."""
+    read = F.try_parse_json(c)
+
+    def listed(area: str, state: str, kind: str) -> Column:
+        names = F.coalesce(F.try_variant_get(read, f"$.{area}.{state}.names{kind}", "array<string>"), F.array().cast("array<string>"))
+        return F.transform(names, lambda x: F.struct(strip_number(x).alias("raw"), F.lit(area).alias("area"), F.lit(kind).alias("type"), F.lit(state == "all").alias("is_active")))
+
+    return F.concat(*(listed(a, s, k) for a in ("international", "russian") for s in ("all", "excluded") for k in ("FL", "UL")))
+
+
 def status_label(included: Column, excluded: Column) -> Column:
     return F.when(included.isNull(), "—").when(excluded.isNull() | (included > excluded), "Числится").otherwise("Снят")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def clamp(limit: int | None, offset: int | None) -> tuple[int, int]:
     return max(1, min(500, 100 if limit is None else limit)), max(0, offset or 0)
@@ -53,6 +55,25 @@ def prepared_terms(terms: DataFrame, words_of: Column, order: Column) -> DataFra
     return clean.select(F.trim("term").alias("term"), F.when(F.size(words_of) > 1, "phrase").otherwise("word").alias("kind"), F.array_join(F.array_sort(words_of), " ").alias("key"))
 
 
+def term_index(terms: DataFrame, lexicon: DataFrame, order: Column) -> DataFrame:
+    """The keys by which terms (term) are found: kind (word, phrase), by (lemma, stem), sorted, bucket, key, info, n. A term is
+    a phrase if it has two words or more (runs of letters, as text.clean_word takes them), else a word; of terms that differ in
+    case alone the first by `order` stands. Words of the lexicon (word, lemma, stem; each once) have its lemma and stem,
+    others themselves; a phrase has a key of its words' lemmas and one of their stems, each as they stand and sorted (sorted
+    true), joined by spaces; a word has its lemma and its stem. Of terms of one key the first is `info`, n counts them; bucket
+    holds the key's first three characters, by which rows are dealt. Terms without letters have no keys."""
+    clean = one_each(terms.select(F.trim("term").alias("term"), order.alias("_order")).withColumn("_k", F.lower("term")).where("_k <> ''"), F.col("_k"), F.col("_order"))
+    split = clean.withColumn("_w", F.regexp_extract_all("_k", F.lit(text.LETTER_RUN), F.lit(0))).where(F.size("_w") > 0)
+    words = split.select("term", "_order", F.size("_w").alias("_n"), F.posexplode("_w").alias("_i", "word"))
+    known = words.join(lexicon.select("word", "lemma", "stem"), "word", "left")
+    of = lambda c: F.sort_array(F.collect_list(F.struct("_i", F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("word")).alias("x"))))["x"]
+    made = known.groupBy("term", "_order", "_n").agg(of("lemma").alias("lemma"), of("stem").alias("stem"))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("by"), F.lit(s).alias("sorted"), F.array_join(F.array_sort(c) if s else F.col(c), " ").alias("key")) for c in ("lemma", "stem") for s in (False, True))))
+    keys = made.select("term", "_order", F.when(F.col("_n") > 1, "phrase").otherwise("word").alias("kind"), rows.alias("k")).select("term", "_order", "kind", "k.*").where("kind = 'phrase' or not sorted")
+    found = keys.groupBy("kind", "by", "sorted", F.substring("key", 1, 3).alias("bucket"), "key").agg(F.min_by("term", "_order").alias("info"), F.count(F.lit(1)).alias("n"))
+    return found
+
+
 def sync(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """old with the values of new where all keys agree, nulls included, and the rest of new."""
     o, n = old.withColumn("_o", F.lit(True)).alias("o"), new.withColumn("_n", F.lit(True)).alias("n")

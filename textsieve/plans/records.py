@@ -186,3 +186,27 @@ def registry_csv(spark, d):
     rows = heads.unionByName(c.select("c_nationkey", F.col("c_custkey").alias("at"), line.alias("value")))
     rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "at").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
     return files.read_csv(spark, path, _HEADERS).drop("path")
+
+
+# a catalog for each nation, of its suppliers and customers
+@query("""SELECT n AS nation, raw, area, type, is_active FROM (SELECT s_nationkey AS n, s_name AS raw, CASE WHEN s_suppkey % 3 = 0 THEN 'russian' ELSE 'international' END AS area, 'UL' AS type, s_acctbal > 0 AS is_active FROM supplier
+UNION ALL SELECT c_nationkey, c_name || ', "' || c_mktsegment || '"', CASE WHEN c_custkey % 3 = 0 THEN 'russian' ELSE 'international' END, 'FL', c_acctbal > 0 FROM customer)""")
+def catalog_explode(spark, d):
+    side = lambda t, n, key, name, bal, kind: _t(spark, d, t).select(F.col(n).alias("nation"), F.concat(key, F.lit(". "), name).alias("raw"), F.when(F.col(key) % 3 == 0, "russian").otherwise("international").alias("area"), F.when(F.col(bal) > 0, "all").otherwise("excluded").alias("state"), F.lit(kind).alias("kind"))
+    names = side("supplier", "s_nationkey", "s_suppkey", "s_name", "s_acctbal", "UL").unionByName(side("customer", "c_nationkey", "c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')), "c_acctbal", "FL"))
+    listed = lambda area, state, kind: F.collect_list(F.when((F.col("area") == area) & (F.col("state") == state) & (F.col("kind") == kind), F.col("raw"))).alias(f"names{kind}")
+    parts = names.groupBy("nation").agg(*(listed(a, s, k).alias(f"{a}_{s}_{k}") for a in ("international", "russian") for s in ("all", "excluded") for k in ("FL", "UL")))
+    tree = F.struct(*(F.struct(*(F.struct(*(F.col(f"{a}_{s}_{k}").alias(f"names{k}") for k in ("FL", "UL"))).alias(s) for s in ("all", "excluded"))).alias(a) for a in ("international", "russian")))
+    return parts.select("nation", F.to_json(tree).alias("json")).select("nation", F.explode(registry.catalog_rows(F.col("json"))).alias("x")).select("nation", "x.*")
+
+
+_STEMS = [("widget", "thing", "widg"), ("ring", "thing", "ring"), ("red", "color", "re"), ("blue", "color", "blu"), ("small", "", "smal")]
+
+
+@query(f"""WITH l AS (SELECT * FROM {_sql_values(_STEMS, "word, lemma, stem", "s")}), t AS (SELECT p_partkey AS o, trim(p_name) AS term FROM part QUALIFY row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) = 1),
+w AS (SELECT o, term, unnest(regexp_extract_all(lower(term), '[a-zA-Zа-яёА-ЯЁ]+(?:-[a-zA-Zа-яёА-ЯЁ]+)*')) AS word, generate_subscripts(regexp_extract_all(lower(term), '[a-zA-Zа-яёА-ЯЁ]+(?:-[a-zA-Zа-яёА-ЯЁ]+)*'), 1) AS i FROM t),
+m AS (SELECT o, term, list(coalesce(nullif(lemma, ''), word) ORDER BY i) AS le, list(coalesce(nullif(stem, ''), word) ORDER BY i) AS st FROM w LEFT JOIN l USING (word) GROUP BY o, term),
+k AS (SELECT o, term, CASE WHEN len(le) > 1 THEN 'phrase' ELSE 'word' END AS kind, unnest(['lemma', 'lemma', 'stem', 'stem']) AS "by", unnest([false, true, false, true]) AS sorted, unnest([le, list_sort(le), st, list_sort(st)]) AS ks FROM m)
+SELECT kind, "by", sorted, array_to_string(ks, ' ')[1:3] AS bucket, array_to_string(ks, ' ') AS key, arg_min(term, o) AS info, count(*) AS n FROM k WHERE kind = 'phrase' OR NOT sorted GROUP BY kind, "by", sorted, ks""")
+def term_index(spark, d):
+    return lists.term_index(_t(spark, d, "part").withColumnRenamed("p_name", "term"), spark.createDataFrame(_STEMS, "word string, lemma string, stem string"), F.col("p_partkey"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import automaton, highlight, match
+from ..operators import automaton, highlight, match, stats
 from .catalog import _LK, _PATTERNS, _W, _lexicon, _sql_values, _t, query
 from .matching import _T
 
@@ -114,3 +114,28 @@ pa AS (SELECT doc_id, string_agg({_escaped("substr(text, bef::BIGINT + 1, (start
 SELECT doc_id, md5(coalesce(done, '') || {_escaped("substr(text, coalesce(upto, 0)::BIGINT + 1)")}) AS html FROM documents LEFT JOIN pa USING (doc_id)""")
 def highlight_html(spark, d):
     return highlight.marked(_t(spark, d, "documents"), _pieces(spark, d)).select("doc_id", F.md5("html").alias("html"))
+
+
+# Statistics and results
+
+
+@query(f"""{_ALL.rstrip()}, fo AS (SELECT phrase, kind, CASE WHEN kind = 'regex' THEN '' ELSE lower(substr(text, (s + 1)::BIGINT, (e - s)::BIGINT)) END AS form, count(*) AS n, list_sort(list_distinct(list(al.doc_id % 10))) AS pages FROM al JOIN documents d ON d.doc_id = al.doc_id GROUP BY ALL)
+SELECT phrase, kind, sum(n)::BIGINT AS total, list_sort(list(form || ':' || n || ':' || array_to_string(pages, ','))) AS forms FROM fo GROUP BY phrase, kind""")
+def search_stats(spark, d):
+    # a pattern's matches are too many kinds of text to be told apart here
+    found = _all(spark, d).withColumn("page", F.col("doc_id") % 10).withColumn("form", F.when(F.col("kind") != "regex", F.col("form")))
+    shown = F.transform(F.map_entries("forms"), lambda x: F.concat_ws(":", x["key"], x["value"]["count"].cast("string"), F.array_join(F.transform(x["value"]["pages"], lambda p: p.cast("string")), ",")))
+    return stats.search_stats(found).select("phrase", "kind", "total", F.array_sort(shown).alias("forms"))
+
+
+@query(f"""{_ALL.rstrip()}, cn AS (SELECT doc_id, ord, list_key, phrase, kind, count(*) AS n FROM al GROUP BY ALL),
+st AS (SELECT doc_id, sum(n)::BIGINT AS total, list({{'list_key': list_key, 'phrase': phrase, 'kind': kind, 'n': n}} ORDER BY ord) AS stats FROM cn GROUP BY doc_id)
+SELECT doc_id, CAST(to_json({{'total_matches': coalesce(total, 0), 'stats': coalesce(stats, [])}}) AS VARCHAR) AS result FROM documents LEFT JOIN st USING (doc_id)""")
+def result_json(spark, d):
+    return stats.results(_t(spark, d, "documents"), _all(spark, d))
+
+
+@query(f"""{_ALL.rstrip()}, cn AS (SELECT kind, phrase, count(*) AS n FROM al GROUP BY ALL)
+SELECT CAST(to_json({{'word_stats': (SELECT list({{'phrase': phrase, 'count': n}} ORDER BY n DESC, phrase) FROM cn WHERE kind = 'word'), 'phrase_stats': (SELECT list({{'phrase': phrase, 'count': n}} ORDER BY n DESC, phrase) FROM cn WHERE kind = 'phrase')}}) AS VARCHAR) AS stats""")
+def stats_json(spark, d):
+    return stats.by_words_and_phrases(_all(spark, d))

@@ -104,6 +104,11 @@ def renamed(links: DataFrame, changes: DataFrame) -> DataFrame:
     return links.join(F.broadcast(allowed), "phrase", "left").select("list", F.coalesce("new", "phrase").alias("phrase"))
 
 
+def removed(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """links (list, phrase) without those of gone, and only from the lists that gone names them for."""
+    return links.join(gone.select("list", "phrase").distinct(), ["list", "phrase"], "left_anti").select("list", "phrase")
+
+
 def with_companions(files: DataFrame, due: Column) -> DataFrame:
     """The files (name, stem: what it shares with its companions) that are due, and all of the same stem."""
     return files.join(files.where(due).select("stem").distinct(), "stem", "left_semi")

@@ -247,11 +247,6 @@ def span_groups(spark, d):
     return _t(spark, d, "events").groupBy((F.col("event_id") % 100).alias("s"), (F.col("event_id") % 100 + 5).alias("e")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("event_id")).alias("ids"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE turn BETWEEN 1 AND 3")
-def page_range(spark, d):
-    return _t(spark, d, "conversations").where("turn between 1 and 3").select("conv_id", "turn")
-
-
 # Lists
 
 
@@ -377,4 +372,4 @@ def upsert_registry(spark, d):
     return lists.upsert(c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name"), c.where("c_custkey % 3 <> 1").select("c_custkey", F.upper("c_name").alias("c_name")), "c_custkey", ["c_name"])
 
 
-from . import derived, matching, paging, records, search, tasks  # noqa: E402, F401  (they add their queries)
+from . import derived, forms, matching, paging, records, search, tasks  # noqa: E402, F401  (they add their queries)

@@ -58,13 +58,6 @@ def terms_slots(spark, d):
     return _terms(spark, d).select("p_partkey", F.array_join(registry.term_slots(F.col("terms")), "|").alias("slots"))
 
 
-@query("SELECT c_custkey, trim(c_mktsegment) AS text, CASE WHEN c_custkey % 4 IN (0, 1) THEN ['full_name', 'surname'][c_custkey % 4 + 1] ELSE 'text' END AS type FROM customer WHERE c_custkey % 5 <> 0")
-def terms_from_form(spark, d):
-    kinds = F.array(*map(F.lit, ("full_name", "surname", "odd", "text")))
-    rows = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment")).alias("text"), F.get(kinds, (F.col("c_custkey") % 4).cast("int")).alias("type"))
-    return rows.withColumn("text", F.trim("text")).where("text <> ''").withColumn("type", F.when(F.col("type").isin("full_name", "surname", "text"), F.col("type")).otherwise("text"))
-
-
 @query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_acctbal > 0")
 def registry_filter(spark, d):
     wanted = {"c_mktsegment": "FURNITURE", "unknown": "x"}  # filters on columns that aren't there are ignored
@@ -136,28 +129,6 @@ def admin_grid(spark, d):
     return lists.page(grid, [F.col("name")])
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, replace(o_orderpriority, '-', chr(10)) AS domains FROM orders")
-def record_form(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.array_join(F.split("o_orderpriority", "-"), "\n").alias("domains"))
-
-
-# Labels.
-_TITLES = {"user": "Список пользователя", "regex": "Шаблон"}
-
-
-@query(f"SELECT event_id, CASE WHEN event_type = 'error' THEN '{_TITLES['regex']}' ELSE '{_TITLES['user']}' END AS title, CASE WHEN event_type = 'error' THEN '«' || event_type || '»' ELSE event_type END AS content FROM events")
-def annotation(spark, d):
-    regex = F.coalesce(F.col("event_type") == "error", F.lit(False))
-    return _t(spark, d, "events").select("event_id", F.when(regex, _TITLES["regex"]).otherwise(_TITLES["user"]).alias("title"), F.when(regex, F.concat(F.lit("«"), "event_type", F.lit("»"))).otherwise(F.col("event_type")).alias("content"))
-
-
-@query("SELECT event_id, coalesce(nullif(upper(event_type), 'ERROR'), 'PENDING') AS state, coalesce(printf('%d.00 с', nullif(event_id % 9, 0)), '—') AS took FROM events ORDER BY ts DESC NULLS LAST, event_id LIMIT 100")
-def task_view(spark, d):
-    e = _t(spark, d, "events").orderBy(F.desc_nulls_last("ts"), "event_id").limit(100)
-    seconds = F.nullif(F.col("event_id") % 9, F.lit(0))
-    return e.select("event_id", F.coalesce(F.nullif(F.upper("event_type"), F.lit("ERROR")), F.lit("PENDING")).alias("state"), F.when(seconds.isNull(), "—").otherwise(F.format_string("%.2f с", seconds.cast("double"))).alias("took"))
-
-
 # Fonts
 
 _PUA = [("", "а"), ("", "б")]

@@ -217,7 +217,7 @@ def ocr_clean(spark, d):
 
 
 # each item is a line of one word or two; a third of the last ones end in a hyphen
-_LINES = """SELECT l_orderkey AS page, 1 AS block, l_suppkey % 2 AS par, l_linenumber AS line, unnest(CASE WHEN l_partkey % 4 = 0 THEN [1, 2] ELSE [1] END) AS word_num, l_partkey, l_quantity::INTEGER AS conf, l_extendedprice::INTEGER AS x FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1"""
+_LINES = """SELECT l_orderkey AS page, 1 AS block, l_suppkey % 2 AS par, l_linenumber AS line, unnest(CASE WHEN l_partkey % 4 = 0 THEN [1, 2] ELSE [1] END) AS word_num, l_partkey, l_quantity::INTEGER AS conf, l_extendedprice::INTEGER AS x FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity) = 1"""
 
 
 @query(f"""WITH r AS ({_LINES}), w AS (SELECT page, block, par, line, word_num, 'w' || l_partkey || CASE WHEN (l_partkey % 4 <> 0 OR word_num = 2) AND l_partkey % 3 <> 1 THEN '-' ELSE '' END AS text, conf, x + word_num * 50 AS l, 10 + l_partkey % 9 AS wd, 8 + l_partkey % 5 AS ht FROM r),
@@ -228,7 +228,7 @@ j AS (SELECT *, opens AND row_number() OVER (PARTITION BY page, opens, run ORDER
 k AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY page ORDER BY i), false) AS gone FROM j)
 SELECT page, par, line, word_num, CASE WHEN joins THEN text[1:length(text) - 1] || t2 ELSE text END AS text, CASE WHEN joins THEN least(conf, c2) ELSE conf END AS conf, CASE WHEN joins THEN l2 + w2 - l ELSE wd END AS width, CASE WHEN joins THEN greatest(ht, h2) ELSE ht END AS height FROM k WHERE NOT gone""")
 def ocr_dehyphen(spark, d):
-    items = lists.one_each(_t(spark, d, "lineitem"), F.struct("l_orderkey", "l_linenumber"), F.struct("l_partkey", "l_suppkey"))
+    items = lists.one_each(_t(spark, d, "lineitem"), F.struct("l_orderkey", "l_linenumber"), F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
     rows = items.withColumn("word_num", F.explode(F.expr("CASE WHEN l_partkey % 4 = 0 THEN array(1, 2) ELSE array(1) END")))
     words = rows.selectExpr(
         "l_orderkey AS page", "1 AS block", "l_suppkey % 2 AS par", "l_linenumber AS line", "word_num",

@@ -89,19 +89,36 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], known:
     return grouped.select(*keys, *(f"_keep.{c}" for c in keep), *(prints(i).alias(name) for i, name in enumerate(texts.values())))
 
 
+def spans_of(docs: DataFrame, id_col: str, span: int, cells: int = 256) -> Column:
+    """A number for each id, rising with it, that about `span` ids share, however ids lie: between each two of `cells` quantiles
+    of the ids there are ranges of one width. Where ids crowd within such a cell, one number has all of the cell's at most."""
+    fractions = F.array(*(F.lit(i / cells) for i in range(cells)))
+    found, top, n = docs.agg(F.percentile_approx(id_col, fractions, F.lit(40 * cells)), F.max(id_col), F.count(id_col)).first()
+    lows = sorted(set(found or [0]))
+    lows = lows[:: max(1, -(-len(lows) * span // max(n, 1)))]  # fewer cells for few rows
+    each = max(1.0, n / len(lows) / span)  # ranges in a cell
+    widths = [max(1.0, (high - low) / each) for low, high in zip(lows, [*lows[1:], (top or 0) + 1], strict=True)]
+    x = F.col(id_col)
+    cell = F.greatest(F.lit(1), F.size(F.filter(F.array(*map(F.lit, lows)), lambda low: low <= x)))
+    at = lambda some: F.element_at(F.array(*(F.lit(float(v)) for v in some)), cell)
+    within = F.floor((x.cast("double") - at(lows)) / at(widths))
+    return cell.cast("long") * (1 << 40) + F.least(F.greatest(within, F.lit(0)), F.lit((1 << 40) - 1))
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", span: int = 1024) -> DataFrame:
     """docs with _span, and a copy of the row that comes next in descending order of the id (after the last: the first)
-    where that row lies in another span of ids; such copies have _own false. Within a span, rows and copies sorted by
-    _place are the rows in order, each followed by its next. Only the greatest id of each span is joined to the rows."""
-    rows = docs.where(F.col(id_col).isNotNull()).withColumn("_span", F.floor(F.col(id_col) / span))
+    where that row lies in another span of ids; such copies have _own false. Within a span, rows sorted by falling id with the
+    copies behind them are the rows in order, each followed by its next. Only the greatest id of each span is joined to the rows; spans
+    are ranges of about as many ids, dense or not."""
+    rows = docs.where(F.col(id_col).isNotNull())
+    rows = rows.withColumn("_span", spans_of(rows, id_col, span))
     tops = rows.groupBy("_span").agg(F.max(id_col).alias("_top")).withColumn("_wide", F.floor(F.col("_span") / 4096))
     wide = tops.groupBy("_wide").agg(F.max("_top").alias("_wide_top"), F.max("_span").alias("_last"))
-    order = Window.orderBy(F.desc("_wide"))  # one row for each 4 million ids
+    order = Window.orderBy(F.desc("_wide"))  # one row for each cell and each 4 million ids
     wide = wide.select("_wide", F.coalesce(F.lead("_wide_top").over(order), F.first("_wide_top").over(order)).alias("_after"))
     tops = tops.join(wide, "_wide").select("_span", F.coalesce(F.lead("_top").over(Window.partitionBy("_wide").orderBy(F.desc("_span"))), F.col("_after")).alias("_next"))
     copies = rows.join(tops.withColumnRenamed("_span", "_to"), F.col(id_col) == F.col("_next")).withColumn("_span", F.col("_to")).drop("_to", "_next")
-    own = rows.withColumn("_own", F.lit(True)).withColumn("_place", -F.col(id_col))
-    return own.unionByName(copies.withColumn("_own", F.lit(False)).withColumn("_place", F.lit(1 << 62)))
+    return rows.withColumn("_own", F.lit(True)).unionByName(copies.withColumn("_own", F.lit(False)))
 
 
 def edited_and_next(docs: DataFrame) -> DataFrame:
@@ -113,7 +130,7 @@ def edited_and_next(docs: DataFrame) -> DataFrame:
     part. Texts are shuffled once, to spans of ids."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = lexicon(docs)
-    in_order = Window.partitionBy("_span").orderBy("_place", "_row")
+    in_order = Window.partitionBy("_span").orderBy(F.desc("_own"), F.desc("doc_id"), "_row")
     rows = with_next(docs).withColumn("_row", F.xxhash64("text"))
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.char_length("text") - half), F.substring(F.coalesce(F.lead("text").over(in_order), F.lit("")), F.lit(1), half))

@@ -38,6 +38,9 @@ def tables(spark, rows, tmp_path_factory):
         spark.createDataFrame([*labels, (None, 1, 1)][: len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         turns = [(c, k, "user" if k % 2 == 0 else "assistant", t) for c, (_, t) in enumerate(some) for k in range(3)]
         spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+        vectors = [(i, [float(x) for x in np.random.default_rng(i).normal(size=6)], 0) for i in range(90)] if some else []
+        vectors += [(90, None, 0), (100, [math.nan] * 6, 0), (120, [0.0] * 6, 0), (121, [1.0, math.inf, 0.0, 0.0, 0.0, 0.0], 0), (122, vectors[20][1], 0), (123, vectors[20][1], 0)] if some else []
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return made
 
 
@@ -64,7 +67,7 @@ def test_one_row_a_document(spark, tables, rows, name, kept):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, tables, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{tables['full']}/{t}.parquet/*.parquet')" + (" where doc_id is not null and doc_id not in (5, 6)" if t == "documents" else ""))
     found = queries.QUERIES[name](spark, tables["full"])
     if "doc_id" in found.columns:
@@ -104,6 +107,11 @@ def test_fingerprints_by_hand(spark, tables, rows):
     assert found[40]["fingerprint"] == found[0]["fingerprint"]
 
 
+@pytest.mark.parametrize("name", ["op11_topk", "op12_fim", "op13_conversation_trie"])
+def test_empty_tables(spark, tables, name):
+    assert got(spark, tables, name)
+
+
 def test_chat_rows(spark, tables, rows):
     assert len(got(spark, tables, "op9_chat_format")) == len(rows) + 1
 

@@ -79,10 +79,10 @@ def perturbations(k: int, most: int) -> list[tuple[int, ...]]:
 
 def valid(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """_id and _v (array<double>) of the rows that take part: an id, and a vector that isn't null, empty or zero and has
-    only finite components."""
+    only finite components. Of several vectors of one id the least stands for it."""
     v = F.col(vec_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull() & fine).dropDuplicates(["_id"])
+    return df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull() & fine).groupBy("_id").agg(F.min("_v").alias("_v"))
 
 
 def fit(rows: DataFrame, tables: int = 8, projections: int = 8, probes: int = 600, slot: float = 1.15, coarse: int = 3, sample: int = 1000, seed: int = 3) -> Hashes | None:
@@ -172,8 +172,8 @@ def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col
     out; ties go to the smaller id. The score is the Euclidean distance in double precision.
 
     Rows with a null id, or a vector that is null, empty, zero, of another length than most or holds null or non-finite
-    components, take no part. A repeated id counts once. A query for which fewer than k are found is compared with all
-    rows."""
+    components, take no part. A repeated id counts once, with the least of its vectors. A query for which fewer than k are
+    found is compared with all rows; an empty table has no queries; other columns take no part."""
     rows = valid(df, id_col, vec_col)
     h = hashes or fit(rows)
     spark = df.sparkSession

@@ -137,3 +137,10 @@ def test_windows_of_a_long_text(spark):
     df = spark.createDataFrame([("ab cd ef gh " * 90_000,), ("ab cd",), ("",), (None,)], "text string").withColumn("g", text.windows(text.words(F.col("text")), 3))
     assert [r["n"] for r in df.select(F.size("g").alias("n")).collect()] == [359_998, 0, 0, 0]
     assert df.select(F.explode("g").alias("x")).count() == 359_998
+
+
+def test_pattern_inside_a_token(spark):
+    """A pattern's match may start and end within a token, also behind letters that get longer in lower case."""
+    docs = spark.createDataFrame([(1, "İİ x5d1234ab, AB12"), (2, "ЁİA77İ7")], "doc_id long, text string")
+    got = match.search_all(docs, sought_rows(spark, []), {"digits": r"\d{3,}", "ends": r"b1|a7"}).collect()
+    assert sorted((r["doc_id"], r["start_token"], r["end_token"], r["start"], r["end"], r["form"]) for r in got) == [(1, 2, 2, 6, 10, "1234"), (1, 5, 5, 15, 17, "b1"), (2, 0, 0, 2, 4, "a7")]

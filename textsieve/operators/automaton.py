@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -162,9 +162,9 @@ class Scanner:
             self.met[w] = self.known.get(fold(w), -1)
         return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words))
 
-    def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, list[str]]]:
-        """(text, entry, first token, last token, tokens of the text) of a few texts; and for patterns (text, entry, first
-        and last token, tokens) of those that stand."""
+    def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, list[str], tuple[int, int] | None]]:
+        """(text, entry, first token, last token, tokens of the text, None) of a few texts; and for patterns (text, entry, first
+        and last token, tokens, start and end in characters) of those that stand."""
         cut = [TOKEN.findall(t) if t else [] for t in texts]
         places = [[i for i, t in enumerate(toks) if is_word(t)] for toks in cut]
         doc = np.repeat(np.arange(len(cut)), list(map(len, places)))
@@ -176,17 +176,17 @@ class Scanner:
             yield from self.spans(doc, token, start, end, entry, cut)
         if self.a.surnames:
             for d, toks in enumerate(cut):
-                yield from ((d, entry, i, j, toks) for i, j, entry in self.named(toks, places[d]))
+                yield from ((d, entry, i, j, toks, None) for i, j, entry in self.named(toks, places[d]))
         if self.patterns:
             for d, t in enumerate(texts):
                 if t:
-                    yield from ((d, number, i, j, cut[d]) for number, i, j in self.matched(cut[d]))
+                    yield from ((d, number, i, j, cut[d], at) for number, i, j, at in self.matched(cut[d]))
 
     @staticmethod
     def spans(doc, token, start, end, entry, cut):
         for s, e, n in zip(start.tolist(), end.tolist(), entry.tolist(), strict=True):
             d = int(doc[s])
-            yield d, n, int(token[s]), int(token[e]), cut[d]
+            yield d, n, int(token[s]), int(token[e]), cut[d], None
 
     def in_order(self, doc: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """First and last word and entry of the paths from the root, level by level."""
@@ -243,9 +243,12 @@ class Scanner:
         for w, n in zip(which[there][i].tolist(), entry.tolist(), strict=True):
             yield said[w][1], said[w][2], n
 
-    def matched(self, toks: list[str]) -> list[tuple[int, int, int]]:
-        """Pattern, first and last token, of the patterns' matches; of those with the same tokens the last pattern's."""
-        return [(number, i, j) for (i, j), (number, _, _) in located(toks, self.patterns).items()]
+    def matched(self, toks: list[str]) -> list[tuple[int, int, int, tuple[int, int]]]:
+        """Pattern, first and last token, and place in the text, of the patterns' matches; of those with the same tokens the
+        last pattern's."""
+        found = located(toks, self.patterns)
+        place = places_of(toks) if found else None
+        return [(number, i, j, (place(s), place(e - 1) + 1)) for (i, j), (number, s, e) in found.items()]
 
 
 def located(toks: list[str], patterns: list[tuple[int, re.Pattern]]) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -265,6 +268,14 @@ def located(toks: list[str], patterns: list[tuple[int, re.Pattern]]) -> dict[tup
     return out
 
 
+def places_of(toks: list[str]) -> Callable[[int], int]:
+    """From a character of the lower-cased tokens to the one of the text that it comes from: some become two in lower case."""
+    if all(len(t.lower()) == len(t) for t in toks):
+        return lambda at: at
+    upto = np.cumsum([len(c.lower()) for t in toks for c in t])
+    return lambda at: int(np.searchsorted(upto, at, "right"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's texts hold about `most` bytes."""
     for b in batches:
@@ -292,8 +303,8 @@ HIT = [("_entry", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32
 def scan(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id and, for each hit, _entry, the places of its first and last word among the text's words (of a pattern's match:
     of the words that stand before these tokens' ends), of its first and last token, its start and end in characters, end
-    exclusive, `matched` (its words, folded) and `form` (the text from start to end, folded). Null texts have none. There is
-    no shuffle, and a task holds a few texts at a time."""
+    exclusive (a pattern's match may start and end inside its tokens), `matched` (its words, folded) and `form` (the text from
+    start to end, folded). Null texts have none. There is no shuffle, and a task holds a few texts at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +312,14 @@ def scan(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col
         for b in slices(batches, 1):
             rows: list[tuple] = []
             at, word, now = None, None, -1
-            for d, entry, i, j, toks in sorted(scanner.hits(b.column(1).to_pylist()), key=lambda h: h[0]):
+            for d, entry, i, j, toks, place in sorted(scanner.hits(b.column(1).to_pylist()), key=lambda h: h[0]):
                 if d != now:
                     at, word, now = np.cumsum([0, *map(len, toks)]), np.cumsum([is_word(t) for t in toks]), d
                 words = [fold(t) for t in toks[i : j + 1] if is_word(t)]
                 last = int(word[j]) - 1
-                rows.append((d, entry, last - len(words) + 1, last, i, j, int(at[i]), int(at[j + 1]), " ".join(words), fold("".join(toks[i : j + 1]))))
+                said, first = "".join(toks[i : j + 1]), int(at[i])
+                start, end = place or (first, int(at[j + 1]))
+                rows.append((d, entry, last - len(words) + 1, last, i, j, start, end, " ".join(words), fold(said[start - first : end - first])))
             if rows:
                 cols = list(zip(*rows, strict=True))
                 made = [pa.array(c, t) for c, (_, t) in zip(cols[1:], HIT, strict=True)]

@@ -59,3 +59,13 @@ def test_wraps_cut_spans(spark):
     got = pages.split_at_wraps(scanned, spark.createDataFrame([(1, 5, 10), (1, 0, 3), (1, 6, 27)], "page_id long, start int, end int"))
     assert sorted((r["start"], r["part_start"], r["part_end"]) for r in got.collect()) == [(0, 0, 3), (5, 5, 8), (5, 8, 10), (6, 6, 8), (6, 8, 22), (6, 22, 27)]
     assert scanned.select(F.size("wraps").alias("n")).first()["n"] == 3
+
+
+def test_word_over_tags(spark, tmp_path):
+    """Blocks are parted by nothing, so a word may stand over tags or a dropped hyphen in the source."""
+    from textsieve.plans import paging
+
+    sources = [(1, "<h1>ornd is t</h1><p><b>He</b> the</p>"), (2, "un-\nd und<!-- x --> &amp; th<i>e</i> de<br>la"), (3, "no"), (4, None)]
+    spark.createDataFrame(sources, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in paging.page_matches(spark, str(tmp_path)).select("page_id", "phrase", "n", "same").collect())
+    assert got == [(1, "the", 2, 2), (2, "de la", 1, None), (2, "the", 1, 1), (2, "und", 2, 2)]

@@ -28,7 +28,8 @@ def scan_pages(spark, d):
 _WORDS = ["the", "de la", "und"]
 
 
-# each match's source, read again in the page, is the word; matches of several words may stand over tags there
+# each match's source, read again as a page is, is the word, tags and dropped hyphens inside it or not; matches of several words
+# may stand over tags that part them
 @query(f"""WITH {_L}, t AS (SELECT page_id, regexp_extract_all(lower(string_agg(part, '' ORDER BY block, line)), '[\\p{{L}}\\p{{N}}_]+') AS w FROM l GROUP BY page_id), i AS (SELECT page_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
 SELECT page_id, phrase, count(*)::BIGINT AS n, CASE WHEN contains(phrase, ' ') THEN NULL ELSE count(*)::BIGINT END AS same FROM i, (VALUES {', '.join(f"('{w}')" for w in _WORDS)}) v(phrase) WHERE array_to_string(w[i:i + len(string_split(phrase, ' ')) - 1], ' ') = phrase GROUP BY page_id, phrase""")
 def page_matches(spark, d):
@@ -38,6 +39,11 @@ def page_matches(spark, d):
     found = match.search_all(scanned.select(F.col("page_id").alias("doc_id"), "text"), sought).select(F.col("doc_id").alias("page_id"), "phrase", "start", "end")
     placed = pages.located(scanned, found).join(found.select("page_id", "phrase", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), ["page_id", "start", "end"])
     per_page = placed.groupBy("page_id").agg(F.collect_list(F.struct("phrase", "source_start", "source_end")).alias("hits"))
-    said = lambda x: F.lower(F.substring("html", x["source_start"].cast("int") + 1, (x["source_end"] - x["source_start"]).cast("int")))
-    read = source.join(per_page, "page_id").select("page_id", F.explode(F.transform("hits", lambda x: F.struct(x["phrase"].alias("phrase"), (said(x) == x["phrase"]).alias("same")))).alias("x"))
-    return read.groupBy("page_id", F.col("x.phrase").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.when(~F.contains(F.col("x.phrase"), F.lit(" ")), F.count_if("x.same")).alias("same"))
+    said = lambda x: F.substring("html", x["source_start"].cast("int") + 1, (x["source_end"] - x["source_start"]).cast("int"))
+    read = source.join(per_page, "page_id").select("page_id", F.explode(F.transform("hits", lambda x: F.struct(x["phrase"].alias("phrase"), said(x).alias("said")))).alias("x"))
+    counted = read.groupBy("page_id", "x.phrase", "x.said").agg(F.count(F.lit(1)).alias("k"))
+    # most are the word as it stands there
+    plain, single = F.lower("said") == F.col("phrase"), ~F.contains("phrase", F.lit(" "))
+    again = pages.scan(counted.where(single & ~plain).select("said").distinct().withColumn("html", F.col("said")), "said").select("said", F.lower("text").alias("again"))
+    same = plain | F.coalesce(F.col("again") == F.col("phrase"), F.lit(False))
+    return counted.join(again, "said", "left").groupBy("page_id", "phrase").agg(F.sum("k").alias("n"), F.when(~F.contains("phrase", F.lit(" ")), F.sum(F.when(same, F.col("k")).otherwise(0))).alias("same"))

@@ -46,3 +46,11 @@ def test_runs_and_html(spark):
     assert made[2] == "a&lt;b" and made[3] is None and made[4] == ""
     assert html.unescape(re.sub("</?mark[^>]*>", "", made[1])) == text
     assert [html.unescape(x) for x in re.findall("<mark[^>]*>(.*?)</mark>", made[1], re.S)] == [text[0:4], text[4:6], text[6:13], text[24:30]]
+
+
+def test_matches_computed_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    matches(spark, [(1, 0, 5, 0, "#1", "x", 1, 1)]).write.parquet(f"{tmp_path}/m")
+    rows = spark.read.parquet(f"{tmp_path}/m").withColumn("color", F.upper("color"))
+    assert highlight.pieces(rows)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1

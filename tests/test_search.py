@@ -144,3 +144,33 @@ def test_pattern_inside_a_token(spark):
     docs = spark.createDataFrame([(1, "İİ x5d1234ab, AB12"), (2, "ЁİA77İ7")], "doc_id long, text string")
     got = match.search_all(docs, sought_rows(spark, []), {"digits": r"\d{3,}", "ends": r"b1|a7"}).collect()
     assert sorted((r["doc_id"], r["start_token"], r["end_token"], r["start"], r["end"], r["form"]) for r in got) == [(1, 2, 2, 6, 10, "1234"), (1, 5, 5, 15, 17, "b1"), (2, 0, 0, 2, 4, "a7")]
+
+
+@pytest.mark.parametrize("rows", [SOUGHT, SOUGHT[3:4]])
+def test_words_of_one_hash(texts, monkeypatch, rows):
+    """Words with the hash of a dictionary's word aren't taken for it, nor words of one hash for each other."""
+    from textsieve.operators.automaton import Entry, Scanner, Tokens, compiled
+
+    entries = [Entry(i, "ordered", [[fold(x)] for x in re.findall(r"\w+", r[2])]) for i, r in enumerate(rows) if re.search(r"\w", r[2])]
+    some = [t for _, t in texts if not t or len(t) < 5_000]
+    hits = lambda: sorted(zip(*(x.tolist() for x in Scanner(compiled(entries)).hits(Tokens(some))), strict=True))
+    want = hits()
+    monkeypatch.setattr(automaton, "running_sums", lambda codes: automaton.np.zeros(len(codes) + 1, automaton.np.uint64))
+    assert hits() == want != []
+
+
+def test_memory_of_a_scan():
+    """What a task holds for texts of two million characters is bounded by a slice, not by words or hits."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textsieve.operators.automaton import Entry, Scanner, Tokens, compiled, slices
+
+    scanner = Scanner(compiled([Entry(0, "ordered", [["the"]]), Entry(1, "free", [["of"], ["the"]])]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["x the of w%d y, " % i * 1_000 for i in range(130)])], names=["text"])
+    tracemalloc.start()
+    n = sum(len(scanner.hits(Tokens(b.column(0).to_pylist()))[0]) for b in slices(iter([batch]), 0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 260_000 and peak < 100e6

@@ -2,8 +2,9 @@
 
 The dictionary becomes an automaton over words, in flat arrays that are broadcast: phrases in order, phrases in any order,
 surname forms and full names are paths from one root each, and a text's word may follow several edges, one for each
-dictionary word that it equals. A batch of texts is cut to words once and walks the automaton level by level, from all its
-words at a time. Patterns run over the same texts, and their hits meet the tokens by a merge of sorted places.
+dictionary word that it equals. A batch of texts is cut to tokens as arrays of code points, its words are looked up by hashes
+(and compared), and those known walk the automaton level by level, from all of them at a time. Patterns run over the same
+texts, and their hits meet the tokens by a search in sorted places.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ TOKEN = re.compile(r"\w+|\s+|[^\w\s]+")
 ORDERED, FREE, SURNAME = 0, 1, 2
 #: Words of the dictionary in one automaton; a larger dictionary becomes several. A word takes some 100 bytes.
 MOST_WORDS = 1_000_000
-#: Characters of the texts that are held as words at a time; one text is never cut.
-SLICE = 2 << 20
+#: Bytes of the texts that are held as tokens at a time, some 50 bytes for each; one text is never cut.
+SLICE = 1 << 19
 
 
 def fold(s: str) -> str:
@@ -146,47 +147,138 @@ def compiled(entries: Iterable[Entry]) -> Automaton:
     return Automaton(list(texts), symbol_at, flat_symbols, np.array(klass, np.int64), edges[order], np.array(list(children.values()), np.int64)[order], end_at, flat_ends, sorted(lengths), surnames, patterns, n)
 
 
+#: Of each code point what token it is part of and what it folds to by itself; filled as they are met.
+OTHER, SPACE, WORD, UNMET = 0, 1, 2, 255
+_kind = np.full(0x110000, UNMET, np.uint8)
+_folded = np.zeros(0x110000, np.uint32)
+#: These fold to several, or by what stands beside them.
+ODD = [ord("\u0130"), ord("\u03a3")]
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        more = 1 << max(12, (n - 1).bit_length())
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(more - 1, x, np.uint64)], dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def running_sums(codes: np.ndarray) -> np.ndarray:
+    """The sums of a number for each code point times base**place, one more than code points: the difference of two of them,
+    times inverse**start, is the same wherever a string starts."""
+    x = codes.astype(np.uint64) + np.uint64(1)
+    x *= np.uint64(0xD1342543DE82EF95)
+    x ^= x >> np.uint64(29)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(x * powers(len(codes))[0], out=sums[1:])
+    return sums
+
+
+class Tokens:
+    """The tokens of a few texts, as arrays: of each its text, where it starts and ends in the texts' concatenation, and its
+    kind. `first` and `at` are each text's first token and its place there."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.texts = [t or "" for t in texts]
+        self.joined = "".join(self.texts)
+        codes = codes_of(self.joined)
+        kinds = _kind[codes]
+        if (kinds == UNMET).any():
+            for c in np.unique(codes[kinds == UNMET]).tolist():
+                ch = chr(c)
+                _kind[c] = WORD if is_word(ch) else SPACE if ch.isspace() else OTHER
+                _folded[c] = ord(fold(ch)[0])
+            kinds = _kind[codes]
+        self.codes = _folded[codes]
+        self.odd = np.zeros(0, np.int64) if self.joined.isascii() else np.flatnonzero((codes == ODD[0]) | (codes == ODD[1]))
+        self.at = np.cumsum([0, *map(len, self.texts)])
+        new = np.empty(len(codes) + 1, bool)
+        new[1:-1] = kinds[1:] != kinds[:-1]
+        new[self.at] = True
+        self.start = np.flatnonzero(new[:-1])
+        self.end = np.append(self.start[1:], len(codes))[: len(self.start)]
+        self.kind = kinds[self.start]
+        self.doc = np.searchsorted(self.at[:-1], self.start, "right") - 1
+        self.first = np.searchsorted(self.start, self.at[:-1])
+        self.words = np.flatnonzero(self.kind == WORD)
+        self.sums = running_sums(self.codes)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * powers(len(self.sums))[1][start]
+
+    def has_odd(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.odd, start) < np.searchsorted(self.odd, end)
+
+
 class Scanner:
-    """An automaton with what a task keeps of it: a dictionary of its words, and of the words met so far."""
+    """An automaton with what a task keeps of it: its words by their hashes, and their code points one after another."""
 
     def __init__(self, a: Automaton) -> None:
         self.a = a
         self.known = {t: i for i, t in enumerate(a.texts)}
-        self.met: dict[str, int] = {}
+        self.codes = codes_of("".join(a.texts))
+        self.lengths = np.fromiter(map(len, a.texts), np.int64, len(a.texts))
+        self.at = np.cumsum(self.lengths) - self.lengths
+        sums = running_sums(self.codes)
+        hashes = (sums[self.at + self.lengths] - sums[self.at]) * powers(len(sums))[1][self.at]
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        #: Are no two words of one hash there? Otherwise words are looked up as texts.
+        self.apart = bool((self.hashes[1:] != self.hashes[:-1]).all())
         self.patterns = [(number, re.compile(p)) for number, p in a.patterns]
-
-    def text_ids(self, words: list[str]) -> np.ndarray:
-        if len(self.met) > 1 << 19:
-            self.met.clear()
-        for w in set(words).difference(self.met):
-            self.met[w] = self.known.get(fold(w), -1)
-        return np.fromiter(map(self.met.__getitem__, words), np.int64, len(words))
-
-    def hits(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, list[str], tuple[int, int] | None]]:
-        """(text, entry, first token, last token, tokens of the text, None) of a few texts; and for patterns (text, entry, first
-        and last token, tokens, start and end in characters) of those that stand."""
-        cut = [TOKEN.findall(t) if t else [] for t in texts]
-        places = [[i for i, t in enumerate(toks) if is_word(t)] for toks in cut]
-        doc = np.repeat(np.arange(len(cut)), list(map(len, places)))
-        token = np.array([i for p in places for i in p], np.int64)
-        ids = self.text_ids([cut[d][i] for d, p in enumerate(places) for i in p])
-        for start, end, entry in self.in_order(doc, ids):
-            yield from self.spans(doc, token, start, end, entry, cut)
-        for start, end, entry in self.in_any_order(doc, ids):
-            yield from self.spans(doc, token, start, end, entry, cut)
+        self.said: dict[str, tuple[str, str]] = {}
+
+    def text_ids(self, cut: Tokens, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The dictionary's words that stand, folded, from start to end, or -1."""
+        ids = np.full(len(start), -1, np.int64)
+        if not len(self.hashes) or not len(start):
+            return ids
+        by_text = cut.has_odd(start, end) if self.apart else np.ones(len(start), bool)
+        sought = cut.hashes(start, end)
+        near = np.minimum(np.searchsorted(self.hashes, sought), len(self.hashes) - 1)
+        hit = np.flatnonzero((self.hashes[near] == sought) & ~by_text)
+        word = self.order[near[hit]]
+        lengths = self.lengths[word]
+        fits = lengths == end[hit] - start[hit]
+        hit, word, lengths = hit[fits], word[fits], lengths[fits]
+        # a hash alone is no proof
+        differ = np.cumsum(np.r_[0, cut.codes[_ranges(start[hit], lengths)] != self.codes[_ranges(self.at[word], lengths)]])
+        upto = np.cumsum(lengths)
+        same = differ[upto] == differ[upto - lengths]
+        ids[hit[same]] = word[same]
+        for i in np.flatnonzero(by_text).tolist():
+            ids[i] = self.known.get(fold(cut.joined[start[i] : end[i]]), -1)
+        return ids
+
+    def hits(self, cut: Tokens) -> tuple[np.ndarray, ...]:
+        """Entry, first and last token, and start and end in the texts' concatenation of all that is found."""
+        doc = cut.doc[cut.words]
+        ids = self.text_ids(cut, cut.start[cut.words], cut.end[cut.words])
+        found = [(entry, cut.words[start], cut.words[end]) for start, end, entry in (*self.in_order(doc, ids), *self.in_any_order(doc, ids))]
         if self.a.surnames:
-            for d, toks in enumerate(cut):
-                yield from ((d, entry, i, j, toks, None) for i, j, entry in self.named(toks, places[d]))
+            found.append(self.named(cut, ids))
+        entry, i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        start, end = cut.start[i], cut.end[j]
         if self.patterns:
-            for d, t in enumerate(texts):
-                if t:
-                    yield from ((d, number, i, j, cut[d], at) for number, i, j, at in self.matched(cut[d]))
-
-    @staticmethod
-    def spans(doc, token, start, end, entry, cut):
-        for s, e, n in zip(start.tolist(), end.tolist(), entry.tolist(), strict=True):
-            d = int(doc[s])
-            yield d, n, int(token[s]), int(token[e]), cut[d], None
+            more = [m for d, t in enumerate(cut.texts) if t for m in self.matched(cut, d, t)]
+            if more:
+                entry, i, j, start, end = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((entry, i, j, start, end), zip(*more, strict=True), strict=True))
+        return entry, i, j, start, end
+
+    def words_and_form(self, tokens: str, form: str) -> tuple[str, str]:
+        """The folded words of the tokens of a hit, and what it covers of them, folded."""
+        if len(self.said) > 1 << 16:
+            self.said.clear()
+        if tokens not in self.said:
+            self.said[tokens] = (" ".join(fold(t) for t in TOKEN.findall(tokens) if is_word(t)), fold(tokens))
+        words, whole = self.said[tokens]
+        return words, whole if form == tokens else fold(form)
 
     def in_order(self, doc: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """First and last word and entry of the paths from the root, level by level."""
@@ -225,30 +317,48 @@ class Scanner:
             i, entry = a.ended(node)
             yield first[i], first[i] + k - 1, entry
 
-    def named(self, toks: list[str], words: list[int]) -> Iterator[tuple[int, int, int]]:
-        """First and last token and entry of surnames. Two words with a hyphen alone between them are one candidate, taken
-        from left to right, and neither is one by itself."""
-        paired, free = {}, 0
-        for h in (i for i, t in enumerate(toks) if t == "-"):
-            if free < h < len(toks) - 1 and is_word(toks[h - 1]) and is_word(toks[h + 1]):
-                paired[h - 1], free = h + 2, h + 2
-        taken = {end - 1 for end in paired.values()}
-        said = [("".join(toks[i : paired[i]]), i, paired[i] - 1) if i in paired else (toks[i], i, i) for i in words if i not in taken]
-        ids = self.text_ids([w for w, _, _ in said])
-        at = np.flatnonzero(ids >= 0)
-        counts = self.a.symbol_at[ids[at] + 1] - self.a.symbol_at[ids[at]]
-        which = np.repeat(at, counts)
-        there, node = self.a.step(np.full(len(which), SURNAME), self.a.symbols[_ranges(self.a.symbol_at[ids[at]], counts)])
-        i, entry = self.a.ended(node)
-        for w, n in zip(which[there][i].tolist(), entry.tolist(), strict=True):
-            yield said[w][1], said[w][2], n
-
-    def matched(self, toks: list[str]) -> list[tuple[int, int, int, tuple[int, int]]]:
-        """Pattern, first and last token, and place in the text, of the patterns' matches; of those with the same tokens the
-        last pattern's."""
-        found = located(toks, self.patterns)
-        place = places_of(toks) if found else None
-        return [(number, i, j, (place(s), place(e - 1) + 1)) for (i, j), (number, s, e) in found.items()]
+    def named(self, cut: Tokens, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entry, first and last token of surnames. Two words with a hyphen alone between them are one candidate, taken from
+        left to right, and neither is one by itself. ids: of the words by themselves."""
+        a, n = self.a, len(cut.start)
+        hyphen = np.flatnonzero((cut.kind == OTHER) & (cut.end - cut.start == 1) & (cut.codes[cut.start] == ord("-")))
+        hyphen = hyphen[(hyphen > 0) & (hyphen < n - 1)]
+        hyphen = hyphen[(cut.kind[hyphen - 1] == WORD) & (cut.kind[hyphen + 1] == WORD) & (cut.doc[hyphen - 1] == cut.doc[hyphen + 1])]
+        # of hyphens with one word between them every other one makes a pair
+        place = np.arange(len(hyphen))
+        run = np.maximum.accumulate(np.where(np.diff(hyphen, prepend=-9) != 2, place, 0)) if len(hyphen) else place
+        hyphen = hyphen[(place - run) % 2 == 0]
+        alone = np.ones(n, bool)
+        alone[hyphen - 1] = alone[hyphen + 1] = False
+        single = np.flatnonzero(alone[cut.words] & (ids >= 0))
+        first, last = np.concatenate([cut.words[single], hyphen - 1]), np.concatenate([cut.words[single], hyphen + 1])
+        ids = np.concatenate([ids[single], self.text_ids(cut, cut.start[hyphen - 1], cut.end[hyphen + 1])])
+        first, last, ids = first[ids >= 0], last[ids >= 0], ids[ids >= 0]
+        counts = a.symbol_at[ids + 1] - a.symbol_at[ids]
+        which = np.repeat(np.arange(len(ids)), counts)
+        there, node = a.step(np.full(len(which), SURNAME), a.symbols[_ranges(a.symbol_at[ids], counts)])
+        i, entry = a.ended(node)
+        which = which[there][i]
+        return entry, first[which], last[which]
+
+    def matched(self, cut: Tokens, d: int, text: str) -> list[tuple[int, int, int, int, int]]:
+        """Pattern, first and last token, start and end of the patterns' matches in a text; of those with the same tokens the
+        last pattern's. Empty matches have no tokens and are none."""
+        at, first = int(cut.at[d]), int(cut.first[d])
+        if cut.has_odd(cut.at[d : d + 1], cut.at[d + 1 : d + 2])[0]:
+            toks = TOKEN.findall(text)
+            found = located(toks, self.patterns)
+            place = places_of(toks) if found else None
+            return [(number, first + i, first + j, at + place(s), at + place(e - 1) + 1) for (i, j), (number, s, e) in found.items()]
+        low, out = text.lower(), {}
+        for number, pattern in self.patterns:
+            found = [m.span() for m in pattern.finditer(low) if m.end() > m.start()]
+            if found:
+                places = np.array(found) + at
+                i, j = np.searchsorted(cut.start, places[:, 0], "right") - 1, np.searchsorted(cut.start, places[:, 1] - 1, "right") - 1
+                for x, y, (s, e) in zip(i.tolist(), j.tolist(), places.tolist(), strict=True):
+                    out[x, y] = (number, x, y, s, e)
+        return list(out.values())
 
 
 def located(toks: list[str], patterns: list[tuple[int, re.Pattern]]) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -309,21 +419,18 @@ def scan(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(shared.value)
-        for b in slices(batches, 1):
-            rows: list[tuple] = []
-            at, word, now = None, None, -1
-            for d, entry, i, j, toks, place in sorted(scanner.hits(b.column(1).to_pylist()), key=lambda h: h[0]):
-                if d != now:
-                    at, word, now = np.cumsum([0, *map(len, toks)]), np.cumsum([is_word(t) for t in toks]), d
-                words = [fold(t) for t in toks[i : j + 1] if is_word(t)]
-                last = int(word[j]) - 1
-                said, first = "".join(toks[i : j + 1]), int(at[i])
-                start, end = place or (first, int(at[j + 1]))
-                rows.append((d, entry, last - len(words) + 1, last, i, j, start, end, " ".join(words), fold(said[start - first : end - first])))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                made = [pa.array(c, t) for c, (_, t) in zip(cols[1:], HIT, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *made], names=["id", *(n for n, _ in HIT)])
+        for b in slices(batches, 1, SLICE):
+            cut = Tokens(b.column(1).to_pylist())
+            entry, i, j, start, end = scanner.hits(cut)
+            if len(entry):
+                doc = cut.doc[i]
+                words = np.cumsum(np.r_[0, cut.kind == WORD])  # before each token
+                before = words[cut.first[doc]]
+                tokens = (cut.joined[x:y] for x, y in zip(cut.start[i].tolist(), cut.end[j].tolist(), strict=True))
+                forms = (cut.joined[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True))
+                matched, form = zip(*map(scanner.words_and_form, tokens, forms), strict=True)
+                made = (entry, words[i] - before, words[j + 1] - before - 1, i - cut.first[doc], j - cut.first[doc], start - cut.at[doc], end - cut.at[doc], matched, form)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *(pa.array(c, t) if isinstance(c, tuple) else pa.array(c).cast(t) for c, (_, t) in zip(made, HIT, strict=True))], names=["id", *(n for n, _ in HIT)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     types = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
@@ -335,7 +442,7 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The id, token_idx, token (folded), start_pos (characters of the original text) and type (word, space, punct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, SLICE // 2):
+        for b in slices(batches, 1, 2 * SLICE):
             cut = [TOKEN.findall(t) if t else [] for t in b.column(1).to_pylist()]
             counts = np.array(list(map(len, cut)))
             toks = [t for some in cut for t in some]

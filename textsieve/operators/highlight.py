@@ -6,7 +6,7 @@ import html
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
@@ -21,8 +21,9 @@ def pieces(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     places where it is cut in one array. Empty matches and rows with a null place are left out."""
     rows = matches.where("start < end").select(key, "start", "end", "ord", "color", "title")
     chained = spans.clusters(rows.withColumnsRenamed({"start": "start_pos"}).withColumn("end_pos", F.col("end") - 1).withColumn("span_id", F.struct("ord", "title")), key)
-    cuts = chained.groupBy(key, "cluster").agg(F.array_distinct(F.flatten(F.collect_list(F.array("start_pos", "end")))).alias("_cuts"))
-    cut = spans.split_at(chained.join(cuts, [key, "cluster"]), F.col("start_pos"), F.col("end"), F.col("_cuts"))
+    # in place, as a join would compute the matches twice
+    cuts = F.array_distinct(F.flatten(F.collect_list(F.array("start_pos", "end")).over(Window.partitionBy(key, "cluster"))))
+    cut = spans.split_at(chained.withColumn("_cuts", cuts), F.col("start_pos"), F.col("end"), F.col("_cuts"))
     last = F.max(F.struct("start_pos", "ord", "end", "title", "color")).alias("_last")
     swept = cut.groupBy(key, "part_start", "part_end").agg(last, F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("title")).alias("titles"))
     return swept.select(key, F.col("part_start").alias("start"), F.col("part_end").alias("end"), "_last.color", "_last.title", "n", "titles")

@@ -83,6 +83,13 @@ def windows(items: Column, k: int, key=lambda a: a) -> Column:
     return _let(items, runs)
 
 
+def neighbours(items: Column, k: int) -> Column:
+    """array<struct<w0, w1, ...>> of all runs of k items, from slices beside each other; items are named k + 1 times, so a
+    column that is computed before."""
+    n = F.greatest(F.size(items) - (k - 1), F.lit(0))
+    return F.arrays_zip(*(F.slice(items, F.lit(i + 1), n).alias(f"w{i}") for i in range(k)))
+
+
 def dehyphenate(c: Column) -> Column:
     """Words that a hyphen or soft hyphen splits at the end of a line, joined again."""
     return F.regexp_replace(c, "[-­]\n", "")
@@ -131,6 +138,12 @@ def token_at(toks: Column, pos: Column) -> Column:
     return F.size(F.filter(toks, lambda t: t["start"] <= pos)) - 1
 
 
+def token_of(c: Column, pos: Column) -> Column:
+    """token_at(tokens(c), pos) without the tokens: the text up to the place has as many tokens as end there or before, and
+    one of a token that it cuts."""
+    return F.regexp_count(F.substring(c, F.lit(1), (pos + 1).cast("int")), F.lit(TOKEN)) - 1
+
+
 def token_equal(a: Column, b: Column) -> Column:
     """Tokens (text, lemma, stem) are equal by text, or by lemma and stem where both have them."""
     return (a["text"] == b["text"]) | F.coalesce((a["lemma"] != "") & (a["lemma"] == b["lemma"]) & (a["stem"] != "") & (a["stem"] == b["stem"]), F.lit(False))

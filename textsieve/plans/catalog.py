@@ -92,7 +92,8 @@ def dehyphenate(spark, d):
 
 @query(rf"WITH {_W}, {_E} SELECT array_to_string(w[i:i + 2], ' ') AS gram, count(*)::BIGINT AS n FROM e WHERE i + 2 <= len(w) GROUP BY 1 HAVING count(*) > 1")
 def ngrams(spark, d):
-    grams = _t(spark, d, "documents").select(F.explode(text.windows(text.words(F.col("text")), 3)).alias("x")).select("x.gram")
+    words = _t(spark, d, "documents").select(text.words(F.col("text")).alias("w"))
+    grams = words.select(F.explode(text.neighbours(F.col("w"), 3)).alias("x")).select(F.concat_ws(" ", "x.w0", "x.w1", "x.w2").alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

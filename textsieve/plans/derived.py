@@ -32,10 +32,11 @@ def clean_word(spark, d):
 k AS (SELECT x, y, list_extract(map_extract({_KEYS}, x), 1) AS a, list_extract(map_extract({_KEYS}, y), 1) AS b FROM q)
 SELECT x, y, x = y OR coalesce(a = b, false) AS equal, x = y OR split_part(a, '|', 1) IS NOT DISTINCT FROM split_part(b, '|', 1) OR split_part(a, '|', 2) IS NOT DISTINCT FROM split_part(b, '|', 2) AS alike FROM k""")
 def token_equal(spark, d):
-    grams = _t(spark, d, "documents").select(F.explode(text.windows(text.words(F.col("text")), 2)).alias("x")).select(F.split("x.gram", " ").alias("w")).distinct()
+    words = _t(spark, d, "documents").select(text.words(F.col("text")).alias("w"))
+    pairs = words.select(F.explode(text.neighbours(F.col("w"), 2)).alias("p")).select(F.col("p.w0").alias("x"), F.col("p.w1").alias("y")).distinct()
     known = _lexicon(spark).where("lemma <> ''")
-    side = lambda s: known.select(F.col("word").alias(s), F.struct("lemma", "stem").alias(f"{s}_"))
-    rows = grams.select(F.col("w")[0].alias("x"), F.col("w")[1].alias("y")).join(side("x"), "x", "left").join(side("y"), "y", "left")
+    side = lambda s: F.broadcast(known.select(F.col("word").alias(s), F.struct("lemma", "stem").alias(f"{s}_")))  # noqa: E731  (a dozen words)
+    rows = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left")
     token = lambda s: F.struct(F.col(s).alias("text"), F.col(f"{s}_.lemma").alias("lemma"), F.col(f"{s}_.stem").alias("stem"), F.lit("word").alias("type"))
     return rows.select("x", "y", text.token_equal(token("x"), token("y")).alias("equal"), text.sequence_equal(F.array(token("x")), F.array(token("y"))).alias("alike"))
 

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from textsieve.functions import names, registry, text
 from textsieve.operators import lists, match, ocr, spans
+from textsieve.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def values(spark, said, f):
@@ -183,3 +186,25 @@ def test_term_index(spark):
     assert got["word", "lemma", False, "cat"] == ("cats", 2) and got["word", "stem", False, "ca"] == ("cats", 2)
     assert got["phrase", "lemma", True, "cat из-за"] == ("из-за cats", 1)
     assert len(got) == 12
+
+
+def test_token_of_a_place(spark):
+    """As token_at says, without the tokens of the text."""
+    rows = [(t, p) for t in ("ab, c  d𝄞e--\n", "", "İ ё", None, " x") for p in (-1, 0, 1, 3, 5, 7, 50)]
+    df = spark.createDataFrame(rows, "t string, p int").select(text.token_of(F.col("t"), F.col("p")).alias("a"), text.token_at(text.tokens(F.col("t")), F.col("p")).alias("b"))
+    assert all(r["a"] == r["b"] or r["a"] is None for r in df.collect()) and df.where("a is not null").count() == 28
+    plan = catalog.QUERIES["pos_to_token"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_neighbours(spark):
+    df = spark.createDataFrame([("a b c d",), ("a b",), ("",), (None,)], "t string").select("t", text.words(F.col("t")).alias("w"))
+    got = {r["t"]: [tuple(x) for x in r["x"] or []] for r in df.select("t", text.neighbours(F.col("w"), 3).alias("x")).collect()}
+    assert got == {"a b c d": [("a", "b", "c"), ("b", "c", "d")], "a b": [], "": [], None: []}
+    plans = {n: catalog.QUERIES[n](spark, SF)._jdf.queryExecution().executedPlan().toString() for n in ("ngrams", "token_equal")}
+    assert "lambda" not in plans["ngrams"] and "SortMergeJoin" not in plans["token_equal"]
+
+
+def test_only_surnames_leave_the_scan(spark):
+    plan = catalog.QUERIES["surname_index_find"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "_parts" not in plan and "_x" not in plan

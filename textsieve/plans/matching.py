@@ -38,7 +38,7 @@ def double_surname(spark, d):
 @query(rf"WITH {_T}, q AS (SELECT doc_id, doc_id % length(text) AS pos FROM documents WHERE length(text) > 0) SELECT doc_id, pos::BIGINT AS pos, i::BIGINT AS token_idx FROM q JOIN t USING (doc_id) WHERE s <= pos AND pos < s + length(raw)")
 def pos_to_token(spark, d):
     q = _t(spark, d, "documents").where(F.char_length("text") > 0).withColumn("pos", F.col("doc_id") % F.char_length("text"))
-    return q.select("doc_id", "pos", text.token_at(text.tokens(F.col("text")), F.col("pos")).cast("long").alias("token_idx"))
+    return q.select("doc_id", "pos", text.token_of(F.col("text"), F.col("pos")).cast("long").alias("token_idx"))
 
 
 @query(f"WITH {_W}, {_E}, {_M}, {_T}, n AS (SELECT doc_id, i, raw, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM t WHERE regexp_matches(raw, '^[\\p{{L}}\\p{{N}}_]')) SELECT m.doc_id, phrase, start_word::BIGINT AS start_word, lower(substr(text, (x.s + 1)::BIGINT, (y.s + length(y.raw) - x.s)::BIGINT)) AS form FROM m JOIN n x ON m.doc_id = x.doc_id AND start_word = x.j JOIN n y ON m.doc_id = y.doc_id AND end_word = y.j JOIN documents d ON d.doc_id = m.doc_id WHERE kind = 'phrase'")

@@ -13,6 +13,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ TOKEN = re.compile(r"\w+|\s+|[^\w\s]+")
 ORDERED, FREE, SURNAME = 0, 1, 2
 #: Words of the dictionary in one automaton; a larger dictionary becomes several. A word takes some 100 bytes.
 MOST_WORDS = 1_000_000
-#: Bytes of the texts that are held as tokens at a time, some 50 bytes for each; one text is never cut.
+#: Bytes of the texts that are held as tokens at a time, some 50 bytes for each. A text of more characters is cut to windows.
 SLICE = 1 << 19
+#: Behind this a text may be cut: one token ends, a word begins, and no words with a hyphen between them reach over it.
+CUT = re.compile(r"[^\w-](?=\w)")
+WORDS = re.compile(r"\w+")
 
 
 def fold(s: str) -> str:
@@ -54,6 +58,8 @@ class Automaton:
     surnames: bool
     patterns: list[tuple[int, str]]
     n_symbols: int = 0
+    #: Words of the longest entry.
+    longest: int = 1
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def step(self, nodes: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +101,7 @@ def compiled(entries: Iterable[Entry]) -> Automaton:
     klass: list[int] = []
     children: dict[tuple[int, int], int] = {}
     ends: list[list[int]] = [[], [], []]
-    patterns, lengths, surnames = [], set(), False
+    patterns, lengths, surnames, longest = [], set(), False, 1
 
     def text(t: str) -> int:
         if t not in texts:
@@ -114,7 +120,8 @@ def compiled(entries: Iterable[Entry]) -> Automaton:
         return s
 
     def add(root: int, path: list[int], number: int) -> None:
-        node = root
+        nonlocal longest
+        node, longest = root, max(longest, len(path))
         for s in path:
             if (node, s) not in children:
                 children[node, s] = len(ends)
@@ -144,7 +151,7 @@ def compiled(entries: Iterable[Entry]) -> Automaton:
     flat = lambda lists: (np.cumsum([0, *map(len, lists)]), np.array([x for some in lists for x in some], np.int64))
     symbol_at, flat_symbols = flat([sorted(s) for s in of_text])
     end_at, flat_ends = flat(ends)
-    return Automaton(list(texts), symbol_at, flat_symbols, np.array(klass, np.int64), edges[order], np.array(list(children.values()), np.int64)[order], end_at, flat_ends, sorted(lengths), surnames, patterns, n)
+    return Automaton(list(texts), symbol_at, flat_symbols, np.array(klass, np.int64), edges[order], np.array(list(children.values()), np.int64)[order], end_at, flat_ends, sorted(lengths), surnames, patterns, n, longest)
 
 
 #: Of each code point what token it is part of and what it folds to by itself; filled as they are met.
@@ -256,14 +263,18 @@ class Scanner:
             ids[i] = self.known.get(fold(cut.joined[start[i] : end[i]]), -1)
         return ids
 
-    def hits(self, cut: Tokens) -> tuple[np.ndarray, ...]:
-        """Entry, first and last token, and start and end in the texts' concatenation of all that is found."""
+    def of_words(self, cut: Tokens) -> tuple[np.ndarray, ...]:
+        """Entry, first and last token of all that is found but for patterns' matches."""
         doc = cut.doc[cut.words]
         ids = self.text_ids(cut, cut.start[cut.words], cut.end[cut.words])
         found = [(entry, cut.words[start], cut.words[end]) for start, end, entry in (*self.in_order(doc, ids), *self.in_any_order(doc, ids))]
         if self.a.surnames:
             found.append(self.named(cut, ids))
-        entry, i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
+
+    def hits(self, cut: Tokens) -> tuple[np.ndarray, ...]:
+        """Entry, first and last token, and start and end in the texts' concatenation of all that is found."""
+        entry, i, j = self.of_words(cut)
         start, end = cut.start[i], cut.end[j]
         if self.patterns:
             more = [m for d, t in enumerate(cut.texts) if t for m in self.matched(cut, d, t)]
@@ -271,6 +282,70 @@ class Scanner:
                 entry, i, j, start, end = (np.concatenate([x, np.array(y, np.int64)]) for x, y in zip((entry, i, j, start, end), zip(*more, strict=True), strict=True))
         return entry, i, j, start, end
 
+    def rows(self, texts: list[str | None], most: int) -> Iterator[tuple[np.ndarray, tuple]]:
+        """Of all that is found, its text's place among the texts, and HIT's columns. Texts of over `most` characters are taken
+        by themselves, window by window."""
+        cut = Tokens([None if t and len(t) > most else t for t in texts])
+        entry, i, j, start, end = self.hits(cut)
+        if len(entry):
+            doc = cut.doc[i]
+            words = np.cumsum(np.r_[0, cut.kind == WORD])  # before each token
+            before = words[cut.first[doc]]
+            said = self.said_of(cut.joined, cut.start[i], cut.end[j], start, end)
+            yield doc, (entry, words[i] - before, words[j + 1] - before - 1, i - cut.first[doc], j - cut.first[doc], start - cut.at[doc], end - cut.at[doc], *said)
+        for d, t in enumerate(texts):
+            if t and len(t) > most:
+                for made in self.in_windows(t, most):
+                    yield np.full(len(made[0]), d), made
+
+    def in_windows(self, text: str, most: int) -> Iterator[tuple]:
+        """HIT's columns of what is found in a text, of which a window is held as tokens at a time. An entry belongs to the window
+        in which it starts, and a window has so many words of the next one that its entries end in it. Patterns run over
+        the whole text in lower case, and a match's ends are located in the windows that they fall in."""
+        cuts = list(windows(text, self.a.longest - 1, most))
+        found = np.zeros((0, 3), np.int64)
+        if self.patterns:
+            low = "".join(lowered(text[x:y]) for x, y, _ in cuts)
+            found = np.fromiter((x for n, p in self.patterns for m in p.finditer(low) if m.end() > m.start() for x in (n, *m.span())), np.int64).reshape(-1, 3)
+            del low
+        number, *ends = found[:, 0], found[:, 1], found[:, 2] - 1
+        # of a match's first and last character: the token, the words up to it, where the token starts or ends, and the character
+        spots = np.zeros((2, 4, len(number)), np.int64)
+        token = word = lower = 0
+        for x, y, z in cuts:
+            cut = Tokens([text[x:z]])
+            n = int(np.searchsorted(cut.start, y - x))
+            words = np.cumsum(np.r_[0, cut.kind == WORD])
+            entry, i, j = self.of_words(cut)
+            entry, i, j = entry[i < n], i[i < n], j[i < n]
+            if len(entry):
+                start, end = cut.start[i], cut.end[j]
+                yield entry, words[i] + word, words[j + 1] + word - 1, i + token, j + token, start + x, end + x, *self.said_of(cut.joined, start, end, start, end)
+            if len(number):
+                size = np.ones(y - x, np.int64)
+                size[[p for p in cut.odd.tolist() if p < y - x and cut.joined[p] == chr(ODD[0])]] = 2
+                upto = np.cumsum(size)
+                for last in (0, 1):
+                    mine = np.flatnonzero((ends[last] >= lower) & (ends[last] < lower + upto[-1]))
+                    char = np.searchsorted(upto, ends[last][mine] - lower, "right")
+                    t = np.searchsorted(cut.start, char, "right") - 1
+                    spots[last][:, mine] = t + token, words[t + last] + word, (cut.end if last else cut.start)[t] + x, char + x + last
+                lower += int(upto[-1])
+            token, word = token + n, word + int(words[n])
+        # of those with the same tokens the last
+        key = spots[0, 0] * (token + 1) + spots[1, 0]
+        kept = len(key) - 1 - np.unique(key[::-1], return_index=True)[1]
+        for at in range(0, len(kept), most >> 5 or 1):
+            k = kept[at : at + (most >> 5 or 1)]
+            (i, w, a, start), (j, v, b, end) = spots[0][:, k], spots[1][:, k]
+            yield number[k], w, v - 1, i, j, start, end, *self.said_of(text, a, b, start, end)
+
+    def said_of(self, text: str, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[str, ...]]:
+        """`matched` and `form` of hits whose tokens stand from first to last in the text."""
+        tokens = (text[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True))
+        forms = (text[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True))
+        return zip(*map(self.words_and_form, tokens, forms), strict=True)
+
     def words_and_form(self, tokens: str, form: str) -> tuple[str, str]:
         """The folded words of the tokens of a hit, and what it covers of them, folded."""
         if len(self.said) > 1 << 16:
@@ -386,6 +461,24 @@ def places_of(toks: list[str]) -> Callable[[int], int]:
     return lambda at: int(np.searchsorted(upto, at, "right"))
 
 
+def lowered(text: str) -> str:
+    """The text's tokens in lower case, each by itself, one after another."""
+    return text.lower() if not any(chr(c) in text for c in ODD) else "".join(t.lower() for t in TOKEN.findall(text))
+
+
+def windows(text: str, more: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """Where a window of a text starts, where the next one does, and where it ends, which is behind `more` words of the next
+    ones. Windows hold about `most` characters; a text in which no word stands behind anything but a hyphen isn't cut."""
+    start = 0
+    while start < len(text):
+        m = CUT.search(text, start + most)
+        end = stop = m.end() if m else len(text)
+        for w in islice(WORDS.finditer(text, stop), more):
+            end = w.end()
+        yield start, stop, end
+        start = stop
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's texts hold about `most` bytes."""
     for b in batches:
@@ -414,22 +507,14 @@ def scan(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col
     """The id and, for each hit, _entry, the places of its first and last word among the text's words (of a pattern's match:
     of the words that stand before these tokens' ends), of its first and last token, its start and end in characters, end
     exclusive (a pattern's match may start and end inside its tokens), `matched` (its words, folded) and `form` (the text from
-    start to end, folded). Null texts have none. There is no shuffle, and a task holds a few texts at a time."""
+    start to end, folded). Null texts have none. There is no shuffle, and a task holds a few texts as tokens at a time, or a
+    window of a long one."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(shared.value)
         for b in slices(batches, 1, SLICE):
-            cut = Tokens(b.column(1).to_pylist())
-            entry, i, j, start, end = scanner.hits(cut)
-            if len(entry):
-                doc = cut.doc[i]
-                words = np.cumsum(np.r_[0, cut.kind == WORD])  # before each token
-                before = words[cut.first[doc]]
-                tokens = (cut.joined[x:y] for x, y in zip(cut.start[i].tolist(), cut.end[j].tolist(), strict=True))
-                forms = (cut.joined[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True))
-                matched, form = zip(*map(scanner.words_and_form, tokens, forms), strict=True)
-                made = (entry, words[i] - before, words[j + 1] - before - 1, i - cut.first[doc], j - cut.first[doc], start - cut.at[doc], end - cut.at[doc], matched, form)
+            for doc, made in scanner.rows(b.column(1).to_pylist(), SLICE):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), *(pa.array(c, t) if isinstance(c, tuple) else pa.array(c).cast(t) for c, (_, t) in zip(made, HIT, strict=True))], names=["id", *(n for n, _ in HIT)])
 
     kind = docs.schema[id_col].dataType.simpleString()

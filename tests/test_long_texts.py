@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import pytest
+from pyspark.sql import functions as F
 
 from textsieve.operators import automaton
 from textsieve.operators.automaton import Entry, Scanner, compiled, windows
@@ -58,3 +59,23 @@ def test_a_long_text_takes_little_more_than_a_short_one():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 2 * peaks[0]
+
+
+def test_small_tables_need_no_python_workers(spark):
+    import datetime
+
+    from textsieve.operators import match
+
+    rows = [(1, "a", ["x", None], True, datetime.date(2020, 1, 2)), (None, None, None, None, None)]
+    schema = "n long, s string, a array<string>, b boolean, d date"
+    df = match.small(spark, rows, schema)
+    assert df.schema == spark.createDataFrame(rows, schema).schema and [tuple(r) for r in df.collect()] == rows
+    assert match.small(spark, [], schema).collect() == []
+    other = "n long, t timestamp, m map<string,int>"
+    kept = [(1, datetime.datetime(2020, 1, 2, 3), {"a": 1})]
+    assert [tuple(r) for r in match.small(spark, kept, other).collect()] == kept
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("the sea").alias("text"))
+    found = match.phrase_match(docs, match.small(spark, [("the sea", "x")], "phrase string, list_key string"))
+    assert found.count() == 3
+    # the texts' own workers only
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()

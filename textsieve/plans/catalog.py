@@ -34,7 +34,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PHRASES, "phrase string, list_key string")
+    return match.small(spark, PHRASES, "phrase string, list_key string")
 
 
 def _long(*cols: str):
@@ -137,7 +137,7 @@ _LK = rf"wk AS (SELECT doc_id, list_transform(w, lambda x: coalesce(list_extract
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_LEMMAS, "word string, lemma string, stem string")
+    return match.small(spark, _LEMMAS, "word string, lemma string, stem string")
 
 
 @query(f"WITH {_W}, {_LK} SELECT doc_id, phrase, (i - 1)::BIGINT AS start_word, (i + k - 2)::BIGINT AS end_word FROM ek JOIN pk ON ek.w[ek.i] = pk.pw[1] AND ek.w[ek.i:ek.i + k - 1] = pk.pw")

@@ -69,7 +69,7 @@ def search_all(spark, d):
 
 def _all(spark, d):
     flags = [(r[:6] + (r[6] if r[3] == "text" else True, r[6] if r[3] == "surname" else True)) for r in _SOUGHT]
-    sought = spark.createDataFrame(flags, "ord long, list_key string, phrase string, type string, ordered boolean, forms array<string>, search_text boolean, search_surnames boolean")
+    sought = match.small(spark, flags, "ord long, list_key string, phrase string, type string, ordered boolean, forms array<string>, search_text boolean, search_surnames boolean")
     return match.search_all(_t(spark, d, "documents"), sought, _PATTERNS, _lexicon(spark))
 
 

@@ -79,3 +79,15 @@ def test_small_tables_need_no_python_workers(spark):
     assert found.count() == 3
     # the texts' own workers only
     assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_kept_of_hits_is_bounded():
+    """By characters, not by the number of hits: those of a pattern may be long."""
+    scanner = Scanner(compiled([Entry(0, "regex", [r"<[^>]*>"])]))
+    texts = [f"<{i} {'Ab ' * 1_000}>" for i in range(3_000)] + ["<" + "b " * 3_000 + ">"]
+    for at in range(0, len(texts), 50):
+        for _, made in scanner.rows(texts[at : at + 50], automaton.SLICE):
+            assert all(len(form) == len(t) and form == t.lower() for form, t in zip(made[8], texts[at : at + 50], strict=True))
+            assert made[7][0].split()[-1] in "ab"
+    held = sum(len(k) + len(a) + len(b) for k, (a, b) in scanner.said.items())
+    assert 0 < held <= 3 * automaton.SAID

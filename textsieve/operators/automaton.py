@@ -27,6 +27,8 @@ ORDERED, FREE, SURNAME = 0, 1, 2
 MOST_WORDS = 1_000_000
 #: Bytes of the texts that are held as tokens at a time, some 50 bytes for each. A text of more characters is cut to windows.
 SLICE = 1 << 19
+#: Characters of the hits' tokens that are kept with their words, each counted as 100 more.
+SAID = 1 << 22
 #: Behind this a text may be cut: one token ends, a word begins, and no words with a hyphen between them reach over it.
 CUT = re.compile(r"[^\w-](?=\w)")
 WORDS = re.compile(r"\w+")
@@ -240,6 +242,7 @@ class Scanner:
         self.apart = bool((self.hashes[1:] != self.hashes[:-1]).all())
         self.patterns = [(number, re.compile(p)) for number, p in a.patterns]
         self.said: dict[str, tuple[str, str]] = {}
+        self.room = SAID
 
     def text_ids(self, cut: Tokens, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The dictionary's words that stand, folded, from start to end, or -1."""
@@ -348,11 +351,16 @@ class Scanner:
 
     def words_and_form(self, tokens: str, form: str) -> tuple[str, str]:
         """The folded words of the tokens of a hit, and what it covers of them, folded."""
-        if len(self.said) > 1 << 16:
-            self.said.clear()
-        if tokens not in self.said:
-            self.said[tokens] = (" ".join(fold(t) for t in TOKEN.findall(tokens) if is_word(t)), fold(tokens))
-        words, whole = self.said[tokens]
+        if tokens in self.said:
+            words, whole = self.said[tokens]
+        else:
+            words, whole = " ".join(fold(t) for t in WORDS.findall(tokens)), fold(tokens)
+            self.room -= len(tokens) + 100
+            if self.room < 0:
+                self.said.clear()
+                self.room = SAID
+            if len(tokens) < SAID >> 10:
+                self.said[tokens] = words, whole
         return words, whole if form == tokens else fold(form)
 
     def in_order(self, doc: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

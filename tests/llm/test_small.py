@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import re
 from array import array
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textsieve.llm import bpe, chat, fingerprint, jaccard, linededup, neighbours, packing, quality, substrings, toxicity
@@ -265,6 +267,63 @@ def test_jaccard_hot_group(spark, block, monkeypatch):
     assert block > 7 or all((most or 0) <= 4 * block for _, most, _ in made)
 
 
+def test_jaccard_moves_what_may_link(spark, monkeypatch):
+    """Texts of one passage but else unrelated: few are members of shards, their vectors are short, and no text is moved."""
+    draw, words = np.random.default_rng(21), [f"w{i}" for i in range(5000)]
+    passage = " ".join(draw.choice(words, 30))
+    texts = [f"{passage} {' '.join(draw.choice(words, 40 + 60 * (i % 8)))}" for i in range(80)]
+    copies = [" ".join(draw.choice(words, 300)) for _ in range(3)]
+    texts += [t for c in copies for t in (c, c + " other")]
+    made, written, tree_pairs = {}, jaccard.written, jaccard._tree_pairs
+    def noted(df, name):
+        out = written(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+    def measured(members, *a):
+        made.setdefault("bytes", []).append(members.agg(F.avg(F.length("counts"))).first()[0] or 0)
+        return tree_pairs(members, *a)
+    monkeypatch.setattr(jaccard, "written", noted)
+    monkeypatch.setattr(jaccard, "_tree_pairs", measured)
+    monkeypatch.setattr(jaccard, "frequent", lambda docs: np.empty(0, np.uint64))  # as if most texts were without the passage
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*range(81), 80, 82, 82, 84, 84]
+    assert 0 < max(made["bytes"]) < 600 and max(made["texts"]) <= 12, made
+    sets = [jaccard.shingles(t) for t in texts]
+    keys = Counter(k for x in sets for k in jaccard.first_shingles(x, np.empty(0, np.uint64), 80).tolist())
+    assert 0 < made["shards"][0] < 0.7 * sum(v for v in keys.values() if v > 1)
+
+
+@pytest.mark.parametrize("held", [200_000, 4])
+def test_shards(spark, held, monkeypatch):
+    """Members that another one fits, against all pairs; of a shard with too many members every one."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    draw = np.random.default_rng(22)
+    rows = [(i, int(draw.integers(20, 60)), int(i // 2 if i < 20 else i), [int(k) for k in draw.permutation(12)[: draw.integers(1, 6)]]) for i in range(120)]
+    rows = [(i, *rows[i - i % 2][1:]) if i < 20 else rows[i] for i in range(120)]  # the first ones are pairs of equal sets
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    sets = spark.createDataFrame(rows, "doc_id long, n long, sign long, firsts array<long>")
+    got = [r.asDict() for r in jaccard._shards(sets, 80).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shards = {}
+    for doc, n, _, firsts in rows:
+        if doc >= 20 or doc % 2 == 0:
+            for at, k in enumerate(firsts):
+                shards.setdefault(k, {})[doc] = (n, (100 * n - 180 * at) // 80)
+    fit = {(k, d) for k, m in shards.items() for d, (n, most) in m.items() if any(e != d and n <= upto and size <= most for e, (size, upto) in m.items())}
+    found = [(r["key"], r["doc_id"]) for r in got]
+    assert len(set(found)) == len(found) and fit <= set(found) <= {(k, d) for k, m in shards.items() for d in m}
+    assert held == 4 or set(found) == fit
+    for r in got:
+        assert (r["n"], r["most"]) == shards[r["key"]][r["doc_id"]] and (r["center_n"], r["center_most"]) == shards[r["key"]][r["center"]]
+        assert (r["key"], r["center"]) in found
+    assert len({(r["key"], r["center"]) for r in got}) == len({r["key"] for r in got})
+
+
+def test_packed_counts():
+    rows = [np.zeros(jaccard.GROUPS, np.int64), np.arange(jaccard.GROUPS), np.full(jaccard.GROUPS, 70_000)]
+    assert (jaccard.unpacked([jaccard.packed(r) for r in rows]) == np.array(rows)).all() and jaccard.unpacked([]).shape == (0, jaccard.GROUPS)
+
+
 def test_tree_skips_one_component():
     points = np.repeat(np.random.default_rng(9).poisson(0.2, (1, jaccard.GROUPS)), 2001, axis=0)
     parts = np.r_[np.zeros(2000, int), 1]

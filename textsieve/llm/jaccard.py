@@ -8,8 +8,10 @@ pairs that survive are verified on their shingles.
 One tree over all documents can't be cut by machine: the counts of unrelated texts fill the same box, and no box can be
 left out. So there is one tree for each shard, and a shard is the documents that hold one shingle among the first of an
 order over all shingles, rarest first: two sets of similarity t have one of their first (1 - t) * n + 1 shingles in
-common, so every similar pair meets in a shard (exactly, not with some probability). Documents that already are in one
-component need not be compared, so a shard first links its documents to one of them; the tree then joins what is left,
+common, so every similar pair meets in a shard (exactly, not with some probability). At the first shingle that two sets
+have in common they share no more than either has left from there on, which bounds the size of the other set: a document
+that no other one of its shard fits by that is left out of it. Documents that already are in one component need not be
+compared, so a shard first links its documents to one of them; the tree then joins what is left,
 and does not compare boxes of one component. A large shard is cut into blocks, and each pair of these is a task's work.
 """
 
@@ -18,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,10 @@ from .components import components
 GROUPS, COARSE, FAN_OUT, WORDS = 1024, 128, 16, 5
 #: Members of a shard, or of a block of a larger one, that one task compares with each other or with those of another block.
 BLOCK = 1000
+#: Members of a shard that are held together; of a larger one none is left out.
+HELD = 200_000
+#: Bits of the map by which ids are looked for in a table that isn't shuffled: 4 MB at most, whatever the number of ids.
+ID_BITS = 1 << 25
 #: Bytes that are hashed at once.
 _SEGMENT = 1 << 19
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -144,6 +151,17 @@ def first_shingles(own: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray
     return np.concatenate([own[~late], own[late]])[:wanted]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector in few bytes: most counts are 0, 1 or 2."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+
+def unpacked(vectors: Iterable[bytes]) -> np.ndarray:
+    """Packed count vectors as rows."""
+    raw = map(zlib.decompress, vectors)
+    return np.array([np.frombuffer(r, f"u{len(r) // GROUPS}") for r in raw], np.int32).reshape(-1, GROUPS)
+
+
 def _sets(docs: DataFrame, hot: np.ndarray, percent: int, with_text: bool = False) -> DataFrame:
     """doc_id, n, sign and sign2 (of the set), counts, first shingles; and text, if asked for."""
 
@@ -155,7 +173,7 @@ def _sets(docs: DataFrame, hot: np.ndarray, percent: int, with_text: bool = Fals
                 n.append(len(own))
                 signs.append(int.from_bytes(digest[:8], "little", signed=True))
                 signs2.append(int.from_bytes(digest[8:], "little", signed=True))
-                counts.append(np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32).tobytes())
+                counts.append(packed(np.bincount((own >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)))
                 firsts.append(first_shingles(own, hot, percent).view(np.int64) if len(own) else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts) if firsts else []))
             more = {"text": b.column(1)} if with_text else {}
@@ -164,44 +182,78 @@ def _sets(docs: DataFrame, hot: np.ndarray, percent: int, with_text: bool = Fals
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sign long, sign2 long, counts binary, firsts array<long>" + ", text string" * with_text)
 
 
-def _shards(sets: DataFrame) -> DataFrame:
-    """key, doc_id, n, center, center_n: the members of each shard with two sets at least, one document for equal sets,
-    and the first of them as the shard's center. Shards stream through their tasks, sorted, whatever their size."""
+def _fitting(shard: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which members have one of another set in their shard (ascending numbers) so that neither is larger than the other's
+    `most`."""
+    order = np.lexsort((n, shard))
+    base = shard[order].astype(np.int64) << 32  # values of a later shard are greater than those of all before
+    size, upto = base + n[order], base + most[order]
+    top = np.maximum.accumulate(upto)
+    second = np.maximum.accumulate(np.minimum(upto, np.r_[-1, top[:-1]]))
+    last = np.searchsorted(size, upto, "right") - 1  # the largest set that a member may meet
+    own = (np.arange(len(size)) <= last) & (upto >= top[last])
+    out = np.empty(len(size), bool)
+    out[order] = (last >= 0) & (np.where(own, second[last], top[last]) >= size)
+    return out
+
+
+def _shards(sets: DataFrame, percent: int) -> DataFrame:
+    """key, doc_id, n, most, center, center_n, center_most: the members of each shard that another one fits by its size, one
+    document for equal sets, and the first of them as the shard's center. `most` is the size of the largest set that can be
+    similar, if the shard's shingle is the first in common. Shards stream through their tasks, sorted, whatever their size:
+    of one with over HELD members all are given out, in pieces."""
+
+    def given(key: np.ndarray, doc: np.ndarray, n: np.ndarray, most: np.ndarray, center: tuple | None) -> pa.RecordBatch:
+        if center is None:
+            fits = _fitting(np.cumsum(np.r_[False, key[1:] != key[:-1]]), n, most)
+            key, doc, n, most = (c[fits] for c in (key, doc, n, most))
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(key)])
+            centers = [np.repeat(c[starts], sizes) for c in (doc, n, most)]
+        else:
+            centers = [np.full(len(key), c) for c in center]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, doc, n, most, *centers)], names=["key", "doc_id", "n", "most", "center", "center_n", "center_most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, center = None, None  # the last member, not yet given out if the first of its shard; (key, doc_id, n)
+        # the last shard's members so far; its last set and its center, if its first members are given out
+        held, last, center = None, None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            key, sign, doc, n = (c.to_numpy() for c in b.columns)
-            if held is not None:
-                key, sign, doc, n = (np.r_[x, c] for x, c in zip(held, (key, sign, doc, n), strict=True))
-            new = np.r_[True, (key[1:] != key[:-1]) | (sign[1:] != sign[:-1])]
-            key, sign, doc, n = key[new], sign[new], doc[new], n[new]
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            centers, center_ns = np.repeat(doc[starts], sizes), np.repeat(n[starts], sizes)
-            member = np.repeat(sizes > 1, sizes)
-            if held is not None:
-                if center is not None and center[0] == key[0]:  # the shard began in an earlier batch
-                    centers[: sizes[0]], center_ns[: sizes[0]] = center[1], center[2]
-                    member[: sizes[0]] = True
-                    member[0] = False  # given out already
-            last = len(starts) - 1
-            if member[-1] or (last == 0 and center is not None and center[0] == key[0]):
-                center = (key[-1], centers[-1], center_ns[-1])
-            else:
-                center = None
-            held = [c[-1:] for c in (key, sign, doc, n)]
-            if member.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[member]) for c in (key, doc, n, centers, center_ns)], names=["key", "doc_id", "n", "center", "center_n"])
-
-    rows = sets.select(F.explode("firsts").alias("key"), "sign", "doc_id", "n").repartition("key").sortWithinPartitions("key", "sign", "doc_id")
-    return rows.mapInArrow(run, "key long, doc_id long, n long, center long, center_n long")
-
-
-def _similar_sizes(a: str, b: str, percent: int) -> Column:
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+            cols = [c.to_numpy() for c in b.columns]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            key, sign = cols[:2]
+            new = np.r_[last != (key[0], sign[0]), (key[1:] != key[:-1]) | (sign[1:] != sign[:-1])]
+            key, sign, doc, n, most = cols = [c[new] for c in cols]
+            if not len(key):
+                held = None
+                continue
+            if center is not None and (at := int(np.searchsorted(key, last[0], "right"))):
+                yield given(*(c[:at] for c in (key, doc, n, most)), center)
+                last = (key[at - 1], sign[at - 1])
+                key, sign, doc, n, most = cols = [c[at:] for c in cols]
+            if not len(key):
+                held = None
+                continue
+            last, center = None, None
+            at = int(np.searchsorted(key, key[-1]))
+            if at:
+                yield given(key[:at], doc[:at], n[:at], most[:at], None)
+            held = [c[at:] for c in cols]
+            if len(held[0]) > HELD:
+                key, sign, doc, n, most = held
+                center, last = (doc[0], n[0], most[0]), (key[-1], sign[-1])
+                yield given(key, doc, n, most, center)
+                held = None
+        if held is not None:
+            key, _, doc, n, most = held
+            yield given(key, doc, n, most, None)
+
+    # of n shingles the first so many are not in common
+    most = F.expr(f"least((100 * n - {100 + percent} * place) div {percent}, {(1 << 32) - 1})") if percent else F.lit((1 << 32) - 1)
+    rows = sets.select(F.posexplode("firsts").alias("place", "key"), "sign", "doc_id", "n").select("key", "sign", "doc_id", "n", most.cast("long").alias("most"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "sign", "doc_id")
+    return rows.mapInArrow(run, "key long, doc_id long, n long, most long, center long, center_n long, center_most long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -235,7 +287,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.int32).reshape(-1, GROUPS) for i in (2, 3))
+                x, y = (unpacked(b.column(i).to_pylist()) for i in (2, 3))
                 shared = shared_counts(x, y).astype(np.int64)
                 may = pa.array(shared * (100 + percent) >= percent * (x.sum(axis=1) + y.sum(axis=1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may), pa.array(shared).filter(may)], names=["a", "b", "shared"])
@@ -358,7 +410,7 @@ def _tree_pairs(members: DataFrame, percent: int, spanning: bool) -> DataFrame:
 
     def join(rows: list[tuple]) -> pa.RecordBatch:
         units, docs, parts, sides, counts = zip(*rows, strict=True)
-        points = np.frombuffer(b"".join(counts), np.int32).reshape(-1, GROUPS).astype(np.int64)
+        points = unpacked(counts).astype(np.int64)
         docs, parts = np.array(docs), np.array(parts)
         # sides are null in a unit that is compared with itself
         labels = (parts,) if None in sides else (parts, np.array(sides))
@@ -397,6 +449,27 @@ def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
+def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is one of ids (distinct). A map of bits, of bounded size, keeps most others out of the
+    shuffle."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("bucket")).where(F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return some.select(docs.columns).join(ids, "doc_id")  # a semi join would be made before the map is used
+
+
+def _texts(docs: DataFrame, pairs: DataFrame, several: DataFrame | None, percent: int) -> DataFrame:
+    """doc_id, text of the documents in pairs (a, b): of those with several sets (doc_id, least), a text of the one that is
+    compared."""
+    texts = _holding(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    if several is not None:
+        marked = _sets(texts.join(several, "doc_id", "left_semi"), np.empty(0, np.uint64), percent, True).join(several, "doc_id").where("sign = least")
+        texts = texts.join(several, "doc_id", "left_anti").unionByName(marked.groupBy("doc_id").agg(F.min("text").alias("text")))
+    return written(texts.dropDuplicates(["doc_id"]), "texts")
+
+
 def _settled(candidates: DataFrame, found: DataFrame | None, texts: DataFrame, percent: int, rounds: int, whole: bool) -> DataFrame:
     """The components after verifying candidates (a, b, shared); found are those before. Pairs within one component need no
     look: in each of `rounds` rounds, of the pairs between two components the likeliest is verified; then, if `whole`, all
@@ -438,19 +511,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     own = sets.where("n > 0")
     if not several.isEmpty():
         own = own.join(several, "doc_id", "left").where("least is null or sign = least").drop("least")
-    shards = written(_shards(own), "shards")
+    shards = written(_shards(own, percent), "shards")
     points = written(own.select("doc_id", "n", "counts", "sign").join(shards.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "points")
     forget(sets)
-    texts = docs.join(points.select("doc_id"), "doc_id", "left_semi")
-    if not several.isEmpty():  # the texts of the sets that are compared
-        marked = _sets(texts.join(several, "doc_id", "left_semi"), np.empty(0, np.uint64), percent, True).join(several, "doc_id").where("sign = least")
-        texts = texts.join(several, "doc_id", "left_anti").unionByName(marked.groupBy("doc_id").agg(F.min("text").alias("text")))
-    texts = written(texts.dropDuplicates(["doc_id"]), "texts")
+    several = None if several.isEmpty() else several
+
+    def settled(pairs: DataFrame, found: DataFrame | None, whole: bool) -> DataFrame:
+        texts = _texts(docs, pairs, several, percent)
+        out = _settled(pairs, found, texts, percent, 1, whole)
+        forget(texts)
+        return out
 
     # 1: members and their shard's center
-    near = shards.where("doc_id <> center").where(_similar_sizes("n", "center_n", percent)).select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
+    near = shards.where("doc_id <> center and n <= center_most and center_n <= most").select(F.least("center", "doc_id").alias("a"), F.greatest("center", "doc_id").alias("b")).distinct()
     near = written(_bounded(near, points, percent), "near")
-    found = _settled(near, None, texts, percent, 1, False)
+    found = settled(near, None, False)
     forget(near)
 
     # 2: what different components have in a shard, by its tree
@@ -463,7 +538,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     likeliest = lambda pairs: pairs.groupBy("a", "b").agg(F.max("shared").alias("shared"))
     # the likeliest pairs that span what may be linked: as many as members, however large a group
     spans = written(_tree_pairs(units.join(counts, "doc_id"), percent, True), "spans")
-    found = _settled(likeliest(spans), found, texts, percent, 1, True)
+    found = settled(likeliest(spans), found, True)
     # 3: where all of a unit's were links, what its tree gives is in one component; where one was not, every pair that still
     # lies between two is verified
     open_units = _in_components(_in_components(spans, found, "a", "x"), found, "b", "y").where("x <> y").select("unit").distinct()
@@ -471,8 +546,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = written(likeliest(_tree_pairs(rest.join(counts, "doc_id"), percent, False)), "pairs")
     forget(units, spans, points)
     if not pairs.isEmpty():
-        found = _settled(pairs, found, texts, percent, 1, True)
-    forget(texts, pairs)
+        found = settled(pairs, found, True)
+    forget(pairs)
 
     # equal sets, and ids that are repeated, are links too
     same = full.join(equal, ["sign", "sign2"]).where("doc_id <> same_as").select(F.col("same_as").alias("a"), F.col("doc_id").alias("b"))
